@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import format_score, parse_numeric
-from ..session import settle
+from ..session import settle, settle_measured
 from .dataset import covariate_columns, require_columns
 from .joins import attach
 from .models import CONSTANT, LOGISTIC, covariate_means, feature_rows
@@ -33,7 +33,7 @@ def representative_values(dataset: DataFrame) -> DataFrame:
     there are up to two, else the smallest, the upper middle of the distinct
     values and the largest. Missing values are no representatives.
     """
-    values = settle(
+    settled = settle_measured(
         dataset.where(F.col("TreatmentVal").isNotNull())
         .select(
             F.col("TreatmentVar").alias("treatment_var"),
@@ -41,13 +41,14 @@ def representative_values(dataset: DataFrame) -> DataFrame:
         )
         .distinct()
     )
+    values = settled.table
     facts = values.groupBy("treatment_var").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("v").alias("low"),
         F.max("v").alias("high"),
         F.bool_and(F.col("v").isin(0.0, 1.0)).alias("switch"),
     )
-    placed = running_total(values, ["treatment_var"], ["v"], out="place")
+    placed = running_total(values, ["treatment_var"], ["v"], out="place", rows=settled.rows)
     middle = attach(placed, facts, ["treatment_var"]).where(F.expr("place = n div 2 + 1"))
     # a single value is its own middle only at place 1
     single = facts.where("n = 1").withColumn("v", F.col("low"))
@@ -201,9 +202,9 @@ def score_forest(dataset: DataFrame, forests: dict, reps: DataFrame | None = Non
     """``avg_outcome_by_rep`` for random forests, one per named variable."""
     from pyspark.ml.functions import array_to_vector
 
-    reps = settle(representative_values(dataset) if reps is None else reps)
+    reps = representative_values(dataset) if reps is None else reps
     rows = settle(feature_rows(dataset))
-    grid = attach(rows, reps, ["treatment_var"], settled=True).withColumn(
+    grid = attach(rows, reps, ["treatment_var"]).withColumn(
         "rep", F.explode("reps")
     )
     covariates = F.slice("x", 1, F.size("x") - 1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.bags import entry_map, with_entries
 from ..functions.text import binarize_outcome, is_number, to_number
-from ..session import settle
+from ..session import Settled, settle_measured
 from .joins import attach
 from .ranks import exact_median, running_total
 
@@ -56,9 +56,11 @@ def covariate_types(records: DataFrame, order: list[str]) -> DataFrame:
 def encode_first_seen(values: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
     """``(*keys, value, code)``: codes from 0 in order of first appearance.
 
-    ``at`` is the position of the value's first appearance, unique inside a key.
+    ``values`` holds each value of a key once; ``at`` is where it appears first,
+    unique inside a key.
     """
-    numbered = running_total(values, keys, [at], out="_place")
+    settled = settle_measured(values)
+    numbered = running_total(settled.table, keys, [at], out="_place", rows=settled.rows)
     return numbered.select(*keys, value, (F.col("_place") - 1).cast("int").alias("code"))
 
 
@@ -69,22 +71,23 @@ class CovariateSummary:
     numeric: list[str]
     categorical: list[str]
     medians: dict[str, float | None]
-    codes: DataFrame
+    codes: Settled | None
 
 
-def covariate_codes(records: DataFrame, order: list[str], types: DataFrame) -> DataFrame:
+def covariate_codes(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
     """``(key, value, code)`` of the categorical keys."""
     texts = parse_covariates(records, order).withColumn("at", row_order(order))
-    categorical = types.where(~F.col("is_numeric")).select("key")
-    seen = attach(texts, categorical, ["key"], "left_semi").groupBy("key", "value")
-    return encode_first_seen(settle(seen.agg(F.min("at").alias("at"))), ["key"], "value", "at")
+    categorical = types.table.where(~F.col("is_numeric")).select("key")
+    wanted = attach(texts, categorical, ["key"], "left_semi", size=types.bytes)
+    seen = wanted.groupBy("key", "value").agg(F.min("at").alias("at"))
+    return encode_first_seen(seen, ["key"], "value", "at")
 
 
-def covariate_medians(records: DataFrame, order: list[str], types: DataFrame) -> DataFrame:
+def covariate_medians(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
     """``(key, median)`` of the numeric keys, over all rows that hold a number."""
     texts = parse_covariates(records, order)
-    numeric = types.where("is_numeric").select("key")
-    numbers = attach(texts, numeric, ["key"], "left_semi").select(
+    numeric = types.table.where("is_numeric").select("key")
+    numbers = attach(texts, numeric, ["key"], "left_semi", size=types.bytes).select(
         "key", to_number(F.col("value")).alias("num")
     )
     counts = numbers.groupBy("key", "num").agg(F.count(F.lit(1)).alias("n"))
@@ -100,15 +103,15 @@ def _column_names(types: DataFrame) -> list:
 
 def summarise_covariates(records: DataFrame, order: list[str]) -> CovariateSummary:
     """Collect the column layout of the dataset; its size is the number of columns."""
-    types = settle(covariate_types(records, order))
-    columns = _column_names(types)
+    types = settle_measured(covariate_types(records, order))
+    columns = _column_names(types.table)
     numeric = [r["key"] for r in columns if r["is_numeric"]]
     categorical = [r["key"] for r in columns if not r["is_numeric"]]
     medians: dict[str, float | None] = dict.fromkeys(numeric)
     if numeric:
         found = covariate_medians(records, order, types).limit(MAX_COLUMNS).collect()
         medians.update({r["key"]: r["median"] for r in found})
-    codes = settle(covariate_codes(records, order, types)) if categorical else types
+    codes = settle_measured(covariate_codes(records, order, types)) if categorical else None
     return CovariateSummary(numeric, categorical, medians, codes)
 
 
@@ -136,22 +139,22 @@ def treatment_types(records: DataFrame) -> DataFrame:
     )
 
 
-def treatment_codes(records: DataFrame, order: list[str], types: DataFrame) -> DataFrame:
+def treatment_codes(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
     """``(TreatmentVar, TreatmentVal, code)`` of the categorical treatment variables."""
-    categorical = types.where(~F.col("is_numeric")).select("TreatmentVar")
+    categorical = types.table.where(~F.col("is_numeric")).select("TreatmentVar")
     seen = (
-        attach(records, categorical, ["TreatmentVar"], "left_semi")
+        attach(records, categorical, ["TreatmentVar"], "left_semi", size=types.bytes)
         .where(F.col("TreatmentVal").isNotNull())
         .groupBy("TreatmentVar", "TreatmentVal")
         .agg(F.min(row_order(order)).alias("at"))
     )
-    return encode_first_seen(settle(seen), ["TreatmentVar"], "TreatmentVal", "at")
+    return encode_first_seen(seen, ["TreatmentVar"], "TreatmentVal", "at")
 
 
-def treatment_medians(records: DataFrame, types: DataFrame) -> DataFrame:
+def treatment_medians(records: DataFrame, types: Settled) -> DataFrame:
     """``(TreatmentVar, median)`` for numeric variables that miss values."""
-    wanted = types.where("is_numeric AND missing > 0").select("TreatmentVar")
-    numbers = attach(records, wanted, ["TreatmentVar"], "left_semi").select(
+    wanted = types.table.where("is_numeric AND missing > 0").select("TreatmentVar")
+    numbers = attach(records, wanted, ["TreatmentVar"], "left_semi", size=types.bytes).select(
         "TreatmentVar", to_number(F.col("TreatmentVal")).alias("num")
     )
     counts = numbers.groupBy("TreatmentVar", "num").agg(F.count(F.lit(1)).alias("n"))
@@ -160,24 +163,25 @@ def treatment_medians(records: DataFrame, types: DataFrame) -> DataFrame:
 
 def treatment_values(records: DataFrame, order: list[str]) -> DataFrame:
     """Records with ``value``: number (imputed by the variable's median) or code, as double."""
-    types = settle(treatment_types(records))
-    numeric, coded, lacking = types.agg(
-        F.count_if("is_numeric"),
-        F.count_if(~F.col("is_numeric")),
-        F.count_if(F.col("is_numeric") & (F.col("missing") > 0)),
-    ).first()
-    typed = attach(records, types.drop("missing"), ["TreatmentVar"], "left")
-    number = to_number(F.col("TreatmentVal"))
-    if lacking:
-        medians = treatment_medians(records, types)
-        typed = attach(typed, medians, ["TreatmentVar"], "left")
-        number = F.coalesce(number, F.col("median"))
+    numeric = F.col("is_numeric")
+    types = settle_measured(
+        treatment_types(records),
+        coded=F.count_if(~numeric),
+        lacking=F.count_if(numeric & (F.col("missing") > 0)),
+    )
+    facts = types.table.drop("missing")
+    if types.counts["lacking"]:
+        facts = facts.join(treatment_medians(records, types), "TreatmentVar", "left")
+    else:
+        facts = facts.withColumn("median", F.lit(None).cast("double"))
+    typed = attach(records, facts, ["TreatmentVar"], "left")
     code = F.lit(fixed.MISSING_CODE)
-    if coded:
+    if types.counts["coded"]:
         codes = treatment_codes(records, order, types)
         typed = attach(typed, codes, ["TreatmentVar", "TreatmentVal"], "left")
         code = F.coalesce("code", code)
-    value = F.when(F.col("is_numeric"), number).otherwise(code.cast("double"))
+    number = F.coalesce(to_number(F.col("TreatmentVal")), F.col("median"))
+    value = F.when(numeric, number).otherwise(code.cast("double"))
     return typed.withColumn("value", value).drop("median", "code")
 
 
@@ -194,11 +198,13 @@ def training_dataset(
     shaped = shaped.withColumn("bag", entry_map(F.col("entries"))).drop("entries", "Covariates")
     bag = F.col("bag")
     for key in summary.categorical:
-        lookup = summary.codes.where(F.col("key") == key).select(
+        lookup = summary.codes.table.where(F.col("key") == key).select(
             F.col("value").alias(f"_text_{key}"), F.col("code").alias(key)
         )
         shaped = shaped.withColumn(f"_text_{key}", bag[key])
-        shaped = attach(shaped, lookup, [f"_text_{key}"], "left").drop(f"_text_{key}")
+        shaped = attach(
+            shaped, lookup, [f"_text_{key}"], "left", size=summary.codes.bytes
+        ).drop(f"_text_{key}")
     columns = {
         key: F.coalesce(to_number(bag[key]), F.lit(summary.medians[key]).cast("double"))
         for key in summary.numeric

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import settle
+from ..session import settle, settle_measured
 from .graphs import COMPACT_EVERY, NODE, edges_distinct, grow, union_all
 
 PAIR = ["graph_id", "node", "dom"]
@@ -37,27 +37,28 @@ def _dominance(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _candidates(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Every reached node with the nodes on one shortest path to it."""
-    newest = settle(roots.withColumn("dom", F.col("node")))
-    seen, levels = [roots], [newest]
-    while not newest.isEmpty():
-        frontier = newest.where("node = dom").select("graph_id", F.col("node").alias("src"))
+    newest = settle_measured(roots.withColumn("dom", F.col("node")))
+    levels = [newest.table]
+    while newest.rows:
+        frontier = newest.table.where("node = dom").select("graph_id", F.col("node").alias("src"))
+        seen = union_all(levels).where("node = dom").select(*NODE)
         found = (
             frontier.join(links, ["graph_id", "src"])
             .groupBy("graph_id", F.col("dst").alias("node"))
             .agg(F.min("src").alias("parent"))
-            .join(union_all(seen), NODE, "left_anti")
+            .join(seen, NODE, "left_anti")
         )
-        found = settle(found)
-        above = newest.withColumnRenamed("node", "parent")
-        newest = settle(
-            found.join(above, ["graph_id", "parent"])
-            .select(*PAIR)
-            .unionByName(found.select(*NODE, F.col("node").alias("dom")))
+        above = newest.table.withColumnRenamed("node", "parent")
+        # the parent's own pair also makes the new node's own pair
+        own = F.when(F.col("dom") == F.col("parent"), F.array("dom", "node"))
+        newest = settle_measured(
+            found.join(above, ["graph_id", "parent"]).select(
+                *NODE, F.explode(F.coalesce(own, F.array("dom"))).alias("dom")
+            )
         )
-        seen.append(found.select(*NODE))
-        levels.append(newest)
-        if len(seen) >= COMPACT_EVERY:
-            seen, levels = [settle(union_all(seen))], [settle(union_all(levels))]
+        levels.append(newest.table)
+        if len(levels) >= COMPACT_EVERY:
+            levels = [settle(union_all(levels))]
     return settle(union_all(levels))
 
 
@@ -67,25 +68,25 @@ def _strike(links: DataFrame, pairs: DataFrame) -> DataFrame:
     live = links.join(reached, ["graph_id", "src"], "left_semi")
     strict = pairs.where("node <> dom")
     claims = live.withColumnRenamed("dst", "node").join(strict, NODE)
-    newest = settle(
+    newest = settle_measured(
         claims.join(
             pairs.withColumnRenamed("node", "src"), ["graph_id", "src", "dom"], "left_anti"
         )
         .select(*PAIR)
         .distinct()
     )
-    struck = [newest]
-    while not newest.isEmpty():
+    struck = [newest.table]
+    while newest.rows:
         passed = (
-            newest.withColumnRenamed("node", "src")
+            newest.table.withColumnRenamed("node", "src")
             .join(links, ["graph_id", "src"])
             .select("graph_id", F.col("dst").alias("node"), "dom")
             .distinct()
         )
-        newest = settle(
+        newest = settle_measured(
             strict.join(passed, PAIR, "left_semi").join(union_all(struck), PAIR, "left_anti")
         )
-        struck.append(newest)
+        struck.append(newest.table)
         if len(struck) >= COMPACT_EVERY:
             struck = [settle(union_all(struck))]
     return pairs.join(union_all(struck), PAIR, "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import escape_dot, normalise_label, trim_control
-from ..session import settle
+from ..session import settle, settle_measured
 
 NODE = ["graph_id", "node"]
 COMPACT_EVERY = 16
@@ -152,12 +152,12 @@ def grow(seeds: DataFrame, step, keys: list[str]) -> DataFrame:
     Every round's new rows are settled, so the plan stays short and a lost
     executor costs one round's work at most.
     """
-    newest = settle(seeds.select(*keys).distinct())
-    parts = [newest]
-    while not newest.isEmpty():
-        seen = union_all(parts)
-        newest = settle(step(newest).select(*keys).distinct().join(seen, keys, "left_anti"))
-        parts.append(newest)
+    newest = settle_measured(seeds.select(*keys).distinct())
+    parts = [newest.table]
+    while newest.rows:
+        found = step(newest.table).select(*keys).distinct()
+        newest = settle_measured(found.join(union_all(parts), keys, "left_anti"))
+        parts.append(newest.table)
         if len(parts) >= COMPACT_EVERY:
             parts = [settle(union_all(parts))]
     return union_all(parts)

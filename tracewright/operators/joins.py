@@ -6,26 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
+from ..session import settle_measured
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size, from one aggregate over ``df``."""
-    width = F.lit(0).cast("bigint")
-    for field in df.schema:
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text = F.to_json(F.struct(field.name))
-            width = width + 64 + F.coalesce(F.octet_length(text) * 8, F.lit(0))
-        elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            width = width + 32 + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        else:
-            width = width + 16
-    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-
-
 def row_salt(df: DataFrame, salts: int) -> Column:
     """Salt from the row's content, so a task that runs again salts alike."""
     hashable = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
@@ -38,19 +24,21 @@ def attach(
     on: list[str],
     how: str = "inner",
     *,
-    settled: bool = False,
+    size: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``fact`` with ``dim`` on equal columns; ``how`` is inner, left or left_semi.
 
-    ``dim`` is settled and measured first. Below ``broadcast_bytes`` it is
+    ``dim`` is settled and measured first; ``size`` gives the measured size of
+    the settled table it is cut from instead. Up to ``broadcast_bytes`` it is
     broadcast and ``fact`` is not shuffled; above, each ``dim`` row is copied
     once per salt and ``fact`` rows spread over the salts, so a key that holds
     most of ``fact`` still uses many tasks.
     """
-    dim = dim if settled else settle(dim)
-    if measured_bytes(dim) <= broadcast_bytes:
+    if size is None:
+        dim, _, size, _ = settle_measured(dim)
+    if size <= broadcast_bytes:
         return fact.join(F.broadcast(dim), on, how)
     return salted_join(fact, dim, on, how, salts)
 

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import settle
+from ..session import Settled, settle, settle_measured
 from .dataset import covariate_columns
+from .graphs import union_all
 from .joins import attach
 
 CONSTANT = "constant"
@@ -118,19 +119,18 @@ def fit_models(
     names = [*covariate_columns(dataset), "TreatmentVal"]
     constants = constant_models(dataset)
     rows = settle(feature_rows(dataset))
-    state = settle(_start(rows, len(names)))
-    done = []
+    state = settle_measured(_start(rows, len(names)))
+    moving, done = state.rows, [state.table.where("false").withColumn("converged", F.lit(True))]
     for _ in range(rounds):
-        stepped = settle(_round(rows, state, len(names), ridge, tolerance))
-        done.append(stepped.where("converged"))
-        state = stepped.where("NOT converged").drop("converged")
-        if state.isEmpty():
+        if not moving:
             break
-    else:
-        done.append(state.withColumn("converged", F.lit(False)))
-    fitted = done[0]
-    for part in done[1:]:
-        fitted = fitted.unionByName(part)
+        stepped = _round(rows, state, len(names), ridge, tolerance)
+        state = settle_measured(stepped, moving=F.count_if(~F.col("converged")))
+        moving = state.counts["moving"]
+        done.append(state.table.where("converged"))
+    if moving:
+        done.append(state.table.where("NOT converged"))
+    fitted = union_all(done)
     logistic = fitted.select(
         "treatment_var",
         F.lit(LOGISTIC).alias("kind"),
@@ -185,10 +185,13 @@ STATE_SCHEMA = (
 
 
 def _round(
-    rows: DataFrame, state: DataFrame, d: int, ridge: float, tolerance: float
+    rows: DataFrame, settled: Settled, d: int, ridge: float, tolerance: float
 ) -> DataFrame:
+    state = settled.table
+    if "converged" in state.columns:
+        state = state.where("NOT converged").drop("converged")
     params = state.select("treatment_var", "shift", "scale", "beta")
-    joined = attach(rows, params, ["treatment_var"], settled=True)
+    joined = attach(rows, params, ["treatment_var"], size=settled.bytes)
     width = d + 1
     sums = (
         _sums_in_jvm(joined, d)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, settle_measured
 from .joins import attach
 
 WINDOW_ROWS = 1_000_000
@@ -20,6 +20,7 @@ def running_total(
     weight: Column | None = None,
     out: str = "upto",
     *,
+    rows: int | None = None,
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` from the group's first row to this one.
@@ -27,12 +28,15 @@ def running_total(
     ``order`` must be unique inside a group. Without ``weight`` the result is
     the row number. When no group exceeds ``window_rows`` this is one window;
     otherwise rows are range-split over ``keys + order``, summed inside each
-    piece, and shifted by the total of the pieces before. Both are exact. ``df``
-    is read more than once, so pass a settled table when it is dear to compute.
+    piece, and shifted by the total of the pieces before. Both are exact. ``rows``
+    is the row count when it is known. ``df`` is read more than once, so pass a
+    settled table when it is dear to compute.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    biggest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    biggest = rows
+    if rows is None or rows > window_rows:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        biggest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
     if not biggest or biggest <= window_rows:
         frame = Window.partitionBy(*keys).orderBy(*order)
         frame = frame.rowsBetween(Window.unboundedPreceding, 0)
@@ -82,9 +86,10 @@ def exact_median(counts: DataFrame, keys: list[str], value: str, n: str) -> Data
     An even count gives the mean of the two middle values. The input is one row
     per distinct value; groups are never gathered into one aggregate buffer.
     """
-    present = settle(counts.where(F.col(value).isNotNull()).select(*keys, value, n))
-    totals = present.groupBy(*keys).agg(F.sum(n).alias("_all"))
-    placed = attach(running_total(present, keys, [value], F.col(n), "_upto"), totals, keys)
+    present = settle_measured(counts.where(F.col(value).isNotNull()).select(*keys, value, n))
+    totals = present.table.groupBy(*keys).agg(F.sum(n).alias("_all"))
+    upto = running_total(present.table, keys, [value], F.col(n), "_upto", rows=present.rows)
+    placed = attach(upto, totals, keys)
     below = F.col("_upto") - F.col(n)
 
     def holds(position: Column) -> Column:

@@ -414,12 +414,12 @@ hits AS (
          generate_subscripts(regexp_extract_all(code, {_A}, 0), 1) AS col
   FROM code_lines WHERE contains(code, '=')),
 names AS (
-  SELECT file, line, col, unnest(found) AS name, generate_subscripts(found, 1) AS at, var
+  SELECT file, line, col, unnest(found) AS name, generate_subscripts(found, 1) AS place, var
   FROM (SELECT *, regexp_extract_all(regexp_replace(rhs, {_lit(pm.QUOTED)}, ' ', 'g'),
                                      {_lit(pm.NAME)}) AS found FROM hits)),
 firsts AS (
-  SELECT file, line, col, name, min(at) AS at FROM (
-    SELECT file, line, col, var, at, rtrim(replace(name, chr(9), ' ')) AS name FROM names
+  SELECT file, line, col, name, min(place) AS place FROM (
+    SELECT file, line, col, var, place, rtrim(replace(name, chr(9), ' ')) AS name FROM names
     WHERE NOT starts_with(name, '.') AND NOT ends_with(name, '('))
   WHERE name <> var AND name NOT IN ({_WORDS}) GROUP BY ALL),
 occurrences AS (
@@ -427,7 +427,7 @@ occurrences AS (
          CASE WHEN trim(h.kind) = '' THEN 'assign' ELSE 'declare' END AS kind,
          coalesce(r.refs, []) AS refs
   FROM hits h LEFT JOIN (
-    SELECT file, line, col, list(name ORDER BY at) AS refs FROM firsts GROUP BY file, line, col
+    SELECT file, line, col, list(name ORDER BY place) AS refs FROM firsts GROUP BY file, line, col
   ) r ON r.file = h.file AND r.line = h.line AND r.col = h.col),
 parent_map AS (
   SELECT file, var, refs FROM occurrences
@@ -509,14 +509,8 @@ WHERE {CORE.replace('var', 'l.var')}""",
         "expand_covariates": _with(RECORDS, ENTRIES, TYPES)
         + ", g AS (SELECT r.row_id, t.key, t.is_numeric, k.value FROM records r "
         "CROSS JOIN types t LEFT JOIN kept k ON k.row_id = r.row_id AND k.key = t.key) "
-        + "SELECT row_id, "
-        + ", ".join(
-            f"max(CASE WHEN g.key = '{k}' THEN "
-            + (_number("g.value") if k in ("cov_cust", "cov_month", "cov_total") else "g.value")
-            + f" END) AS \"{k}\""
-            for k in COVARIATE_KEYS
-        )
-        + " FROM g GROUP BY row_id",
+        + f"SELECT row_id, key, CASE WHEN is_numeric THEN {_number('value')} END AS num, "
+        "CASE WHEN NOT is_numeric THEN value END AS text FROM g",
         "label_encode": _with(RECORDS, ENTRIES, TYPES, CODES) + "SELECT * FROM codes",
         "median_impute": _with(RECORDS, ENTRIES)
         + f""", vals AS (

@@ -16,7 +16,7 @@ from ..operators import dominance as dom
 from ..operators import graphs as gr
 from ..operators import models as md
 from ..operators import parent_map as pm
-from ..session import scratch_path, settle
+from ..session import scratch_path, settle, settle_measured
 from ..sources import inputs as rnd
 from ..sources import parents as src_parents
 from ..sources import records as src_records
@@ -184,13 +184,23 @@ def covariate_types(spark, sf_dir):
 @query
 def expand_covariates(spark, sf_dir):
     wide = ds.expand_covariates(inputs.order_records(spark, sf_dir), ORDER)
-    return wide.select("row_id", *ds.covariate_columns(wide))
+    # columns are numbers or text as the data has it; shown in long form to compare
+    cells = [
+        F.struct(
+            F.lit(name).alias("key"),
+            (F.col(name) if kind == "double" else F.lit(None).cast("double")).alias("num"),
+            (F.col(name) if kind == "string" else F.lit(None).cast("string")).alias("text"),
+        )
+        for name, kind in wide.dtypes
+        if name in ds.covariate_columns(wide)
+    ]
+    return wide.select("row_id", F.explode(F.array(*cells)).alias("c")).select("row_id", "c.*")
 
 
 @query
 def label_encode(spark, sf_dir):
     records = inputs.order_records(spark, sf_dir)
-    types = settle(ds.covariate_types(records, ORDER))
+    types = settle_measured(ds.covariate_types(records, ORDER))
     return ds.covariate_codes(records, ORDER, types)
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,17 +45,58 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tracewright/{app}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a shared parquet table and return a scan of it.
+class Settled(NamedTuple):
+    """A written table with what was counted while writing it."""
+
+    table: DataFrame
+    rows: int
+    bytes: int
+    counts: dict
+
 
-    Cuts lineage, survives the loss of executors, and keeps column pruning for
-    whoever reads the result.
+def settle_measured(df: DataFrame, **counts: Column) -> Settled:
+    """Write ``df`` as a shared parquet table, counting as it is written.
+
+    Gives a scan of the table, its rows, an upper estimate of its size in memory
+    and the aggregates in ``counts``. The written table cuts lineage, survives
+    the loss of executors and keeps column pruning for whoever reads it.
     """
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    seen = Observation()
+    measured = df.observe(
+        seen,
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(row_bytes(df)).alias("_bytes"),
+        *[c.alias(name) for name, c in counts.items()],
+    )
+    measured.write.parquet(path)
+    found = seen.get
+    table = spark.read.schema(df.schema).parquet(path)
+    return Settled(table, found["_rows"], found["_bytes"] or 0, found)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a shared parquet table and return a scan of it."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Upper estimate of a row's size in memory."""
+    width = F.lit(0).cast("bigint")
+    for field in df.schema:
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(F.struct(F.col(f"`{field.name}`")))
+            width = width + 64 + F.coalesce(F.octet_length(text) * 8, F.lit(0))
+        elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + 32 + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        else:
+            width = width + 16
+    return width
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table this application has settled."""
     root = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}"
