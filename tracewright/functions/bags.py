@@ -11,49 +11,47 @@ from .text import trim_control
 
 def covariate_entries(bag: Column) -> Column:
     """Array of ``(key, value)`` in text order; pairs without exactly two parts are dropped."""
-    parts = F.transform(
-        F.split(bag, ";"),
-        lambda pair: F.split(F.regexp_replace(trim_control(pair), "=+$", ""), "="),
-    )
-    whole = F.filter(parts, lambda pair: F.size(pair) == 2)
+    pieces = F.transform(F.split(bag, ";"), lambda p: F.rtrim(trim_control(p), F.lit("=")))
+    whole = F.filter(pieces, lambda p: (F.instr(p, "=") > 0) & (F.substring_index(p, "=", 2) == p))
     entries = F.transform(
         whole,
-        lambda pair: F.struct(
-            F.concat(F.lit(fixed.COVARIATE_PREFIX), trim_control(pair[0])).alias("key"),
-            trim_control(pair[1]).alias("value"),
+        lambda p: F.struct(
+            F.concat(
+                F.lit(fixed.COVARIATE_PREFIX), trim_control(F.substring_index(p, "=", 1))
+            ).alias("key"),
+            trim_control(F.substring_index(p, "=", -1)).alias("value"),
         ),
     )
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return F.coalesce(entries, empty)
-
+    return F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
 
-def _repeated(entries: Column, key: Column, start: Column, length: Column) -> Column:
-    return F.exists(F.slice(entries, start, length), lambda other: other["key"] == key)
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed one time per row, however often it is read later.
 
-def with_entries(records: DataFrame) -> DataFrame:
-    """Add ``entries``: the bag's pairs, each marked ``first`` and ``kept``.
-
-    ``first`` is the earliest pair of its key in the bag and decides the key's
-    type; ``kept`` is the last one and gives the row's value.
+    Spark may copy a plain column's expression into each of its uses; it does
+    not copy one out of an explode.
     """
-    parsed = records.withColumn("_pairs", covariate_entries(F.col("Covariates")))
-    pairs = F.col("_pairs")
-    marked = F.transform(
-        pairs,
-        lambda e, i: F.struct(
-            e["key"].alias("key"),
-            e["value"].alias("value"),
-            (~_repeated(pairs, e["key"], F.lit(1), i)).alias("first"),
-            (~_repeated(pairs, e["key"], i + 2, F.size(pairs))).alias("kept"),
-        ),
-    )
-    return parsed.withColumn("entries", marked).drop("_pairs")
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def entry_map(entries: Column) -> Column:
-    """``key -> value`` of the kept pairs."""
-    kept = F.filter(entries, lambda e: e["kept"])
-    return F.map_from_arrays(
-        F.transform(kept, lambda e: e["key"]), F.transform(kept, lambda e: e["value"])
-    )
+def with_bag(records: DataFrame, keep: str = "last") -> DataFrame:
+    """Add ``bag``: ``key -> value`` map of the record's covariates.
+
+    Of a repeated key the ``last`` value counts for the row, the ``first`` one
+    for the type of its column.
+    """
+    parsed = once(records, "_entries", covariate_entries(F.col("Covariates")))
+    entries = F.col("_entries")
+
+    def repeated(key: Column, at: Column) -> Column:
+        rest = (
+            F.slice(entries, at + 2, F.size(entries))
+            if keep == "last"
+            else F.slice(entries, F.lit(1), at)
+        )
+        return F.exists(rest, lambda other: other["key"] == key)
+
+    single = F.filter(entries, lambda e, i: ~repeated(e["key"], i))
+    distinct = F.size(F.array_distinct(entries["key"])) == F.size(entries)
+    bag = F.map_from_entries(F.when(distinct, entries).otherwise(single))
+    return once(parsed, "bag", bag).drop("_entries")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
+CONTROL = "".join(map(chr, range(0x21)))
+
 
 def trim_control(text: Column) -> Column:
     """Strip every character up to U+0020 from both ends, not only spaces."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit(CONTROL))
 
 
 def is_number(text: Column) -> Column:

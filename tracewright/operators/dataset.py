@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.bags import entry_map, with_entries
+from ..functions.bags import with_bag
 from ..functions.text import binarize_outcome, is_number, to_number
 from ..session import Settled, settle_measured
 from .joins import attach
@@ -29,27 +29,18 @@ def row_order(order: list[str]) -> Column:
 
 def parse_covariates(records: DataFrame, order: list[str]) -> DataFrame:
     """``(*order, key, value)`` of every bag; the last pair of a repeated key counts."""
-    kept = F.filter("entries", lambda e: e["kept"])
-    return (
-        with_entries(records)
-        .select(*order, F.explode(kept).alias("entry"))
-        .select(*order, "entry.key", "entry.value")
+    return with_bag(records.select(*order, "Covariates")).select(
+        *order, F.explode("bag").alias("key", "value")
     )
 
 
 def covariate_types(records: DataFrame, order: list[str]) -> DataFrame:
-    """``(key, is_numeric, valid)``: type of a key's first value, count of readable numbers."""
-    entry = F.col("entry")
-    return (
-        with_entries(records)
-        .select(row_order(order).alias("at"), F.explode("entries").alias("entry"))
-        .groupBy(entry["key"].alias("key"))
-        .agg(
-            F.min_by(
-                is_number(entry["value"]), F.when(entry["first"], F.col("at"))
-            ).alias("is_numeric"),
-            F.count_if(entry["kept"] & to_number(entry["value"]).isNotNull()).alias("valid"),
-        )
+    """``(key, is_numeric)``: whether a key's first value, by row and place, is a number."""
+    first = with_bag(records.select(*order, "Covariates"), keep="first").select(
+        row_order(order).alias("at"), F.explode("bag").alias("key", "value")
+    )
+    return first.groupBy("key").agg(
+        F.min_by(is_number(F.col("value")), F.col("at")).alias("is_numeric")
     )
 
 
@@ -119,8 +110,7 @@ def expand_covariates(records: DataFrame, order: list[str]) -> DataFrame:
     """One column per key beside the records: double, or text for categorical keys."""
     columns = _column_names(covariate_types(records, order))
     bag = F.col("bag")
-    mapped = with_entries(records).withColumn("bag", entry_map(F.col("entries")))
-    return mapped.select(
+    return with_bag(records).select(
         *order,
         *fixed.RECORD_COLUMNS,
         *[
@@ -194,8 +184,7 @@ def training_dataset(
     Outcome. Numbers missing everywhere stay NULL.
     """
     summary = summary or summarise_covariates(records, order)
-    shaped = with_entries(treatment_values(records, order))
-    shaped = shaped.withColumn("bag", entry_map(F.col("entries"))).drop("entries", "Covariates")
+    shaped = with_bag(treatment_values(records, order)).drop("Covariates")
     bag = F.col("bag")
     for key in summary.categorical:
         lookup = summary.codes.table.where(F.col("key") == key).select(
@@ -287,21 +276,19 @@ def per_test_aggregate(records: DataFrame, order: list[str]) -> DataFrame:
             F.lit(0),
         ).alias("outcome")
     )
-    kept = F.filter("entries", lambda e: e["kept"])
-    pairs = F.transform(
-        kept,
-        lambda e: F.concat(
-            F.substring(e["key"], len(fixed.COVARIATE_PREFIX) + 1, 1 << 30),
-            F.lit("="),
-            e["value"],
-        ),
-    )
     candidates = records.where(~outcome_row)
     means = candidates.groupBy("TestArgs", "TreatmentVar").agg(
         F.avg(to_number(F.col("TreatmentVal"))).alias("value")
     )
-    listed = with_entries(candidates).select(
-        "TestArgs", "TreatmentVar", F.explode_outer(pairs).alias("pair")
+    prefix = len(fixed.COVARIATE_PREFIX) + 1
+    listed = (
+        with_bag(candidates)
+        .select("TestArgs", "TreatmentVar", F.explode_outer("bag").alias("key", "value"))
+        .select(
+            "TestArgs",
+            "TreatmentVar",
+            F.concat(F.substring("key", prefix, 1 << 30), F.lit("="), "value").alias("pair"),
+        )
     )
     own = listed.groupBy("TestArgs", "TreatmentVar").agg(F.collect_set("pair").alias("own"))
     union = listed.groupBy("TestArgs").agg(F.collect_set("pair").alias("all"))

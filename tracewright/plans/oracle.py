@@ -137,13 +137,9 @@ kept AS (
   SELECT row_id, key, arg_max(value, pos) AS value FROM entries GROUP BY row_id, key)"""
 
 TYPES = f"""
-kinds AS (
-  SELECT key, arg_min({_is_number('value')}, row_id * 1000 + pos) AS is_numeric
-  FROM entries GROUP BY key),
 types AS (
-  SELECT kinds.key, any_value(is_numeric) AS is_numeric,
-         count({_number('kept.value')}) AS valid
-  FROM kinds LEFT JOIN kept ON kept.key = kinds.key GROUP BY kinds.key)"""
+  SELECT key, arg_min({_is_number('value')}, row_id * 1000 + pos) AS is_numeric
+  FROM entries GROUP BY key)"""
 
 CODES = """
 codes AS (
@@ -424,7 +420,7 @@ firsts AS (
   WHERE name <> var AND name NOT IN ({_WORDS}) GROUP BY ALL),
 occurrences AS (
   SELECT h.file, h.line, h.col, h.var,
-         CASE WHEN trim(h.kind) = '' THEN 'assign' ELSE 'declare' END AS kind,
+         CASE WHEN coalesce(trim(h.kind), '') = '' THEN 'assign' ELSE 'declare' END AS kind,
          coalesce(r.refs, []) AS refs
   FROM hits h LEFT JOIN (
     SELECT file, line, col, list(name ORDER BY place) AS refs FROM firsts GROUP BY file, line, col
