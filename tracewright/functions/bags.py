@@ -34,24 +34,49 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_bag(records: DataFrame, keep: str = "last") -> DataFrame:
-    """Add ``bag``: ``key -> value`` map of the record's covariates.
+def _parsed(records: DataFrame) -> DataFrame:
+    return once(records, "_entries", covariate_entries(F.col("Covariates")))
 
-    Of a repeated key the ``last`` value counts for the row, the ``first`` one
-    for the type of its column.
+
+def _repeated(start: Column, length: Column, key: Column) -> Column:
+    return F.exists(F.slice("_entries", start, length), lambda other: other["key"] == key)
+
+
+def _is_last(entry: Column, at: Column) -> Column:
+    return ~_repeated(at + 2, F.size("_entries"), entry["key"])
+
+
+def _is_first(entry: Column, at: Column) -> Column:
+    return ~_repeated(F.lit(1), at, entry["key"])
+
+
+def _keys_differ() -> Column:
+    return F.size(F.array_distinct(F.col("_entries")["key"])) == F.size("_entries")
+
+
+def with_bag(records: DataFrame) -> DataFrame:
+    """Add ``bag``: ``key -> value`` of the record's covariates; of a repeated key the last."""
+    last = F.filter("_entries", _is_last)
+    bag = F.map_from_entries(F.when(_keys_differ(), F.col("_entries")).otherwise(last))
+    return once(_parsed(records), "bag", bag).drop("_entries")
+
+
+def explode_entries(records: DataFrame) -> DataFrame:
+    """One row per pair, as ``key, value`` and the marks ``first`` and ``kept``.
+
+    The first pair of a key in a bag counts for the type of its column, the last
+    one is kept as the record's value. Pairs that are neither are left out.
     """
-    parsed = once(records, "_entries", covariate_entries(F.col("Covariates")))
-    entries = F.col("_entries")
-
-    def repeated(key: Column, at: Column) -> Column:
-        rest = (
-            F.slice(entries, at + 2, F.size(entries))
-            if keep == "last"
-            else F.slice(entries, F.lit(1), at)
-        )
-        return F.exists(rest, lambda other: other["key"] == key)
-
-    single = F.filter(entries, lambda e, i: ~repeated(e["key"], i))
-    distinct = F.size(F.array_distinct(entries["key"])) == F.size(entries)
-    bag = F.map_from_entries(F.when(distinct, entries).otherwise(single))
-    return once(parsed, "bag", bag).drop("_entries")
+
+    def mark(entry: Column, first: Column, kept: Column) -> Column:
+        return F.struct(entry["key"], entry["value"], first.alias("first"), kept.alias("kept"))
+
+    plain = F.transform("_entries", lambda e: mark(e, F.lit(True), F.lit(True)))
+    marked = F.transform("_entries", lambda e, i: mark(e, _is_first(e, i), _is_last(e, i)))
+    entries = F.when(_keys_differ(), plain).otherwise(marked)
+    rest = [c for c in records.columns if c != "Covariates"]
+    return (
+        _parsed(records)
+        .select(*rest, F.inline(entries).alias("key", "value", "first", "kept"))
+        .where("first OR kept")
+    )

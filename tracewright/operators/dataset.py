@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.bags import with_bag
+from ..functions.bags import explode_entries, with_bag
 from ..functions.text import binarize_outcome, is_number, to_number
-from ..session import Settled, settle_measured
+from ..session import Settled, settle, settle_measured
 from .joins import attach
 from .ranks import exact_median, running_total
 
@@ -36,14 +36,26 @@ def parse_covariates(records: DataFrame, order: list[str]) -> DataFrame:
 
 def covariate_types(records: DataFrame, order: list[str]) -> DataFrame:
     """``(key, is_numeric)``: whether a key's first value, by row and place, is a number."""
-    first = with_bag(records.select(*order, "Covariates"), keep="first").select(
-        row_order(order).alias("at"), F.explode("bag").alias("key", "value")
-    )
-    return first.groupBy("key").agg(
+    entries = explode_entries(records.select(row_order(order).alias("at"), "Covariates"))
+    return entries.where("first").groupBy("key").agg(
         F.min_by(is_number(F.col("value")), F.col("at")).alias("is_numeric")
     )
 
 
+def covariate_values(records: DataFrame, order: list[str]) -> DataFrame:
+    """``(key, value, seen_at, kept_at, n)``: the distinct values of each key.
+
+    Where a value was seen first, where it was kept first, and how many records
+    keep it. Types, codes and medians all follow from this one pass.
+    """
+    entries = explode_entries(records.select(row_order(order).alias("at"), "Covariates"))
+    return entries.groupBy("key", "value").agg(
+        F.min(F.when(F.col("first"), F.col("at"))).alias("seen_at"),
+        F.min(F.when(F.col("kept"), F.col("at"))).alias("kept_at"),
+        F.count_if("kept").alias("n"),
+    )
+
+
 def encode_first_seen(values: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
     """``(*keys, value, code)``: codes from 0 in order of first appearance.
 
@@ -65,24 +77,29 @@ class CovariateSummary:
     codes: Settled | None
 
 
-def covariate_codes(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
+def types_of(values: DataFrame) -> DataFrame:
+    """``(key, is_numeric)`` from the distinct values."""
+    return values.groupBy("key").agg(
+        F.min_by(is_number(F.col("value")), F.col("seen_at")).alias("is_numeric")
+    )
+
+
+def covariate_codes(values: DataFrame, types: Settled) -> DataFrame:
     """``(key, value, code)`` of the categorical keys."""
-    texts = parse_covariates(records, order).withColumn("at", row_order(order))
     categorical = types.table.where(~F.col("is_numeric")).select("key")
-    wanted = attach(texts, categorical, ["key"], "left_semi", size=types.bytes)
-    seen = wanted.groupBy("key", "value").agg(F.min("at").alias("at"))
-    return encode_first_seen(seen, ["key"], "value", "at")
+    wanted = attach(values, categorical, ["key"], "left_semi", size=types.bytes)
+    kept = wanted.where(F.col("kept_at").isNotNull()).select("key", "value", "kept_at")
+    return encode_first_seen(kept, ["key"], "value", "kept_at")
 
 
-def covariate_medians(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
-    """``(key, median)`` of the numeric keys, over all rows that hold a number."""
-    texts = parse_covariates(records, order)
+def covariate_medians(values: DataFrame, types: Settled) -> DataFrame:
+    """``(key, median)`` of the numeric keys, over all records that hold a number."""
     numeric = types.table.where("is_numeric").select("key")
-    numbers = attach(texts, numeric, ["key"], "left_semi", size=types.bytes).select(
-        "key", to_number(F.col("value")).alias("num")
+    wanted = attach(values, numeric, ["key"], "left_semi", size=types.bytes)
+    counts = wanted.groupBy("key", to_number(F.col("value")).alias("num")).agg(
+        F.sum("n").alias("n")
     )
-    counts = numbers.groupBy("key", "num").agg(F.count(F.lit(1)).alias("n"))
-    return exact_median(counts, ["key"], "num", "n")
+    return exact_median(counts.where("n > 0"), ["key"], "num", "n")
 
 
 def _column_names(types: DataFrame) -> list:
@@ -94,15 +111,16 @@ def _column_names(types: DataFrame) -> list:
 
 def summarise_covariates(records: DataFrame, order: list[str]) -> CovariateSummary:
     """Collect the column layout of the dataset; its size is the number of columns."""
-    types = settle_measured(covariate_types(records, order))
+    values = settle(covariate_values(records, order))
+    types = settle_measured(types_of(values))
     columns = _column_names(types.table)
     numeric = [r["key"] for r in columns if r["is_numeric"]]
     categorical = [r["key"] for r in columns if not r["is_numeric"]]
     medians: dict[str, float | None] = dict.fromkeys(numeric)
     if numeric:
-        found = covariate_medians(records, order, types).limit(MAX_COLUMNS).collect()
+        found = covariate_medians(values, types).limit(MAX_COLUMNS).collect()
         medians.update({r["key"]: r["median"] for r in found})
-    codes = settle_measured(covariate_codes(records, order, types)) if categorical else None
+    codes = settle_measured(covariate_codes(values, types)) if categorical else None
     return CovariateSummary(numeric, categorical, medians, codes)
 
 

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan of fewer splits than cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PARENTS, PARENTS_SCHEMA)
 
@@ -90,7 +96,8 @@ def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five text records per order, ordered by ``row_id``, with untidy bags."""
-    o = table(spark, sf_dir, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+    o = spread(table(spark, sf_dir, "orders").select(*columns, "o_orderdate"))
     cust = F.col("o_custkey")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     month = F.month("o_orderdate").cast("string")

@@ -199,9 +199,8 @@ def expand_covariates(spark, sf_dir):
 
 @query
 def label_encode(spark, sf_dir):
-    records = inputs.order_records(spark, sf_dir)
-    types = settle_measured(ds.covariate_types(records, ORDER))
-    return ds.covariate_codes(records, ORDER, types)
+    values = settle(ds.covariate_values(inputs.order_records(spark, sf_dir), ORDER))
+    return ds.covariate_codes(values, settle_measured(ds.types_of(values)))
 
 
 @query
