@@ -51,6 +51,7 @@ def main() -> None:
         .appName("tracewright-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
     )
     for key, value in RECOMMENDED_CONF.items():

@@ -17,6 +17,7 @@ def make_session() -> SparkSession:
         .appName("tracewright-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TEST_DRIVER_MEMORY", "8g"))
     )
     for key, value in RECOMMENDED_CONF.items():

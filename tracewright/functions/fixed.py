@@ -18,6 +18,7 @@ SCORE_FORMAT = "%.5f"
 
 # What counts as a number or an integer in text.
 NUMBER = r"^[+-]?(NaN|Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
+PRESENT_NUMBER = r"^[+-]?(Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
 INTEGER = r"^[+-]?[0-9]+$"
 
 # Control-flow labels.

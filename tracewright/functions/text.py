@@ -22,8 +22,8 @@ def is_number(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Double value, NULL when the text is no number or is ``NaN``."""
-    value = F.when(is_number(text), trim_control(text).try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    trimmed = trim_control(text)
+    return F.when(trimmed.rlike(fixed.PRESENT_NUMBER), trimmed.try_cast("double"))
 
 
 def parse_numeric(text: Column) -> Column:

@@ -207,8 +207,8 @@ def score_forest(dataset: DataFrame, forests: dict, reps: DataFrame | None = Non
     grid = attach(rows, reps, ["treatment_var"]).withColumn(
         "rep", F.explode("reps")
     )
-    covariates = F.slice("x", 1, F.size("x") - 1)
-    grid = grid.withColumn("features", array_to_vector(F.concat(covariates, F.array("rep"))))
+    covariates = [F.col(f"x{i}") for i in range(len(covariate_columns(dataset)))]
+    grid = grid.withColumn("features", array_to_vector(F.array(*covariates, F.col("rep"))))
     parts = [
         model.transform(grid.where(F.col("treatment_var") == var))
         .groupBy("treatment_var", "rep")

@@ -91,18 +91,26 @@ def fill_covariates(dataset: DataFrame, means: DataFrame | None = None) -> DataF
 
 
 def feature_rows(dataset: DataFrame) -> DataFrame:
-    """``(treatment_var, x, y)`` with missing covariates filled and rows without treatment left out."""
+    """``(treatment_var, y, x0, x1, ..)``: covariates, missing ones filled, then the treatment.
+
+    Rows without treatment are left out.
+    """
     filled = fill_covariates(dataset)
     names = [*covariate_columns(dataset), "TreatmentVal"]
     return filled.where(
         F.col("TreatmentVar").isNotNull() & F.col("TreatmentVal").isNotNull()
     ).select(
         F.col("TreatmentVar").alias("treatment_var"),
-        F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
         F.col("Outcome").cast("double").alias("y"),
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)],
     )
 
 
+def feature_array(rows: DataFrame) -> Column:
+    """The features of ``feature_rows`` as one array."""
+    return F.array(*[F.col(f"x{i}") for i in range(len(rows.columns) - 2)])
+
+
 def fit_models(
     dataset: DataFrame,
     ridge: float = 1e-3,
@@ -155,7 +163,7 @@ def fit_models(
 
 def _start(rows: DataFrame, d: int) -> DataFrame:
     """Zero coefficients, with mean and deviation of each feature, where both classes occur."""
-    x = [F.col("x")[i] for i in range(d)]
+    x = [F.col(f"x{i}") for i in range(d)]
     summary = rows.groupBy("treatment_var").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.avg("y").alias("rate"),
@@ -232,7 +240,7 @@ def _newton(row, width: int, ridge: float, tolerance: float) -> tuple:
 
 def _scaled(d: int) -> list[Column]:
     return [F.lit(1.0)] + [
-        (F.col("x")[i] - F.col("shift")[i]) / F.col("scale")[i] for i in range(d)
+        (F.col(f"x{i}") - F.col("shift")[i]) / F.col("scale")[i] for i in range(d)
     ]
 
 
@@ -270,7 +278,7 @@ def _sums_in_numpy(joined: DataFrame, d: int) -> DataFrame:
             out = []
             for var, part in batch.groupby("treatment_var", sort=False):
                 first = part.iloc[0]
-                x = np.vstack(part["x"].to_numpy())
+                x = part[[f"x{i}" for i in range(d)]].to_numpy()
                 z = np.ones((len(part), width))
                 z[:, 1:] = (x - np.asarray(first["shift"])) / np.asarray(first["scale"])
                 y = part["y"].to_numpy()
@@ -306,7 +314,8 @@ def fit_forest(dataset: DataFrame, variables: list[str], **params) -> dict:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = settle(feature_rows(dataset).withColumn("features", array_to_vector("x")))
+    rows = feature_rows(dataset)
+    rows = settle(rows.withColumn("features", array_to_vector(feature_array(rows))))
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", **{"seed": 1, **params})
     return {v: forest.fit(rows.where(F.col("treatment_var") == v)) for v in variables}
 

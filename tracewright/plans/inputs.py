@@ -62,7 +62,8 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per user: an assignment per event, then the outcome line."""
     kind = F.col("event_type")
     var = F.when(kind == "view", "temp_view").when(kind == "error", "error_debug").otherwise(kind)
-    lines = table(spark, sf_dir, "events").select(
+    columns = ["user_id", "event_id", "event_type", "value"]
+    lines = spread(table(spark, sf_dir, "events").select(*columns)).select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("seq"),
         F.format_string("%s = %.2f", var, F.col("value")).alias("line"),
@@ -78,6 +79,7 @@ def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = ["quantity", "discount", "tax", "extendedprice"]
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *[f"l_{n}" for n in names])
+    lines = spread(lines)
     pairs = F.explode(
         F.array(*[F.struct(F.lit(n).alias("var"), F.col(f"l_{n}").alias("val")) for n in names])
     )
@@ -147,7 +149,8 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the graph of their user and two-day span."""
     span = F.floor(F.unix_date(F.to_date("ts")) / 2)
-    return table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"))
+    return events.select(
         F.concat_ws("-", F.col("user_id").cast("string"), span.cast("string")).alias("graph_id"),
         "event_id",
         F.col("event_type").alias("node"),
@@ -246,10 +249,10 @@ def session_starts(nodes: DataFrame) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file, text)`` of all documents and pages."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "text"
     )
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("file"),
         F.col("html").alias("text"),
     )
