@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import Settled, settle, settle_measured
+from ..session import Settled, scratch_path, settle, settle_measured
 from .dataset import covariate_columns
 from .graphs import union_all
 from .joins import attach
@@ -311,13 +311,19 @@ def fit_forest(dataset: DataFrame, variables: list[str], **params) -> dict:
 
     One training job series per variable, so name the few that matter.
     """
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = feature_rows(dataset)
     rows = settle(rows.withColumn("features", array_to_vector(feature_array(rows))))
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", **{"seed": 1, **params})
-    return {v: forest.fit(rows.where(F.col("treatment_var") == v)) for v in variables}
+    models = {}
+    for variable in variables:
+        path = scratch_path(dataset.sparkSession)
+        forest.fit(rows.where(F.col("treatment_var") == variable)).save(path)
+        # a reloaded model no longer refers to its training run
+        models[variable] = RandomForestClassificationModel.load(path)
+    return models
 
 
 def models_missing(dataset: DataFrame, models: DataFrame) -> DataFrame:
