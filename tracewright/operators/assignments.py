@@ -69,15 +69,21 @@ def covariate_lookup(assignments: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
-def run_outcomes(trace: DataFrame) -> DataFrame:
-    """``(run_id, outcome)``: integer of the run's first outcome line, 0 if none or unreadable."""
+def outcome_lines(trace: DataFrame) -> DataFrame:
+    """``(run_id, outcome)`` of the runs with an outcome line: the first one's integer, or 0."""
     line = F.col("line")
-    marked = line.startswith(fixed.OUTCOME_PREFIX) & (F.instr(line, "=") > 0)
-    first = trace.groupBy("run_id").agg(
-        F.min_by(F.when(marked, line), F.when(marked, F.col("seq"))).alias("line")
-    )
+    marked = trace.where(line.startswith(fixed.OUTCOME_PREFIX) & (F.instr(line, "=") > 0))
     right = F.substring(line, F.instr(line, "=") + 1, F.length(line))
-    return first.select("run_id", F.coalesce(parse_int(right), F.lit(0)).alias("outcome"))
+    outcome = F.coalesce(parse_int(right), F.lit(0))
+    return marked.groupBy("run_id").agg(F.min_by(outcome, "seq").alias("outcome"))
+
+
+def run_outcomes(trace: DataFrame) -> DataFrame:
+    """``(run_id, outcome)`` of every run, 0 for a run without outcome line."""
+    runs = trace.select("run_id").distinct()
+    return runs.join(outcome_lines(trace), "run_id", "left").select(
+        "run_id", F.coalesce("outcome", F.lit(0)).alias("outcome")
+    )
 
 
 def append_outcomes(trace: DataFrame, status: DataFrame) -> DataFrame:
@@ -147,19 +153,19 @@ def execution_records(
         F.col("var").alias("TreatmentVar"),
         F.col("value").alias("TreatmentVal"),
     )
-    runs = run_outcomes(trace)
+    full = attach(listed, outcome_lines(trace), ["run_id"], "left")
     if test_args is not None:
-        runs = runs.join(test_args, "run_id", "left")
+        full = attach(full, test_args, ["run_id"], "left")
     else:
-        runs = runs.withColumn("TestArgs", F.col("run_id").cast("string"))
-    return attach(listed, runs, ["run_id"], "left").select(
+        full = full.withColumn("TestArgs", F.col("run_id").cast("string"))
+    return full.select(
         "run_id",
         "first_seq",
         "TestArgs",
         "Covariates",
         "TreatmentVar",
         "TreatmentVal",
-        F.col("outcome").cast("string").alias("Outcome"),
+        F.coalesce("outcome", F.lit(0)).cast("string").alias("Outcome"),
     )
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import base_name, name_version
-from ..session import settle
-from .graphs import NODE, edges_distinct, grow
+from ..session import partitioned_by, settle
+from .graphs import NODE, SOURCE, edges_distinct, grow
 
 DEFINITION = [*NODE, "var", "version"]
 
@@ -43,20 +43,20 @@ def reaching_definitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     made = settle(label_versions(nodes))
     bounds = settle(made.groupBy(*NODE, "var").agg(F.max("version").alias("bound")))
-    links = settle(edges_distinct(edges))
-
-    def step(newest: DataFrame) -> DataFrame:
-        arriving = (
-            newest.withColumnRenamed("node", "src")
-            .join(links, ["graph_id", "src"])
-            .select("graph_id", F.col("dst").alias("node"), "var", "version")
-            .distinct()
-        )
-        return arriving.join(bounds, [*NODE, "var"], "left").where(
-            "bound IS NULL OR version >= bound"
-        )
-
-    return grow(made, step, DEFINITION)
+    with partitioned_by(settle(edges_distinct(edges)), SOURCE) as links:
+
+        def step(newest: DataFrame) -> DataFrame:
+            arriving = (
+                newest.withColumnRenamed("node", "src")
+                .join(links, SOURCE)
+                .select("graph_id", F.col("dst").alias("node"), "var", "version")
+                .distinct()
+            )
+            return arriving.join(bounds, [*NODE, "var"], "left").where(
+                "bound IS NULL OR version >= bound"
+            )
+
+        return grow(made, step, DEFINITION)
 
 
 def base_names(names: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import settle, settle_measured
-from .graphs import COMPACT_EVERY, NODE, edges_distinct, grow, union_all
+from ..session import partitioned_by, settle, settle_measured
+from .graphs import COMPACT_EVERY, NODE, SOURCE, edges_distinct, grow, union_all
 
 PAIR = ["graph_id", "node", "dom"]
 
@@ -31,8 +31,8 @@ def _dominance(edges: DataFrame, roots: DataFrame) -> DataFrame:
             roots.withColumnRenamed("node", "dst"), ["graph_id", "dst"], "left_anti"
         )
     )
-    pairs = _candidates(links, roots)
-    return _strike(links, pairs)
+    with partitioned_by(links, SOURCE) as kept:
+        return _strike(kept, _candidates(kept, roots))
 
 
 def _candidates(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def _candidates(links: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = newest.table.where("node = dom").select("graph_id", F.col("node").alias("src"))
         seen = union_all(levels).where("node = dom").select(*NODE)
         found = (
-            frontier.join(links, ["graph_id", "src"])
+            frontier.join(links, SOURCE)
             .groupBy("graph_id", F.col("dst").alias("node"))
             .agg(F.min("src").alias("parent"))
             .join(seen, NODE, "left_anti")
@@ -65,7 +65,7 @@ def _candidates(links: DataFrame, roots: DataFrame) -> DataFrame:
 def _strike(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """Drop every pair that does not hold for all reached predecessors."""
     reached = pairs.where("node = dom").select("graph_id", F.col("node").alias("src"))
-    live = links.join(reached, ["graph_id", "src"], "left_semi")
+    live = links.join(reached, SOURCE, "left_semi")
     strict = pairs.where("node <> dom")
     claims = live.withColumnRenamed("dst", "node").join(strict, NODE)
     newest = settle_measured(
@@ -79,7 +79,7 @@ def _strike(links: DataFrame, pairs: DataFrame) -> DataFrame:
     while newest.rows:
         passed = (
             newest.table.withColumnRenamed("node", "src")
-            .join(links, ["graph_id", "src"])
+            .join(links, SOURCE)
             .select("graph_id", F.col("dst").alias("node"), "dom")
             .distinct()
         )
@@ -240,16 +240,17 @@ def _methods(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         "node",
     )
 
-    settled_links = settle(links)
+    ours = settle(links.withColumnRenamed("graph_id", "g"))
+    with partitioned_by(ours, ["g", "src"]) as kept:
 
-    def step(newest: DataFrame) -> DataFrame:
-        return (
-            newest.select("graph_id", F.col("graph_id.graph").alias("g"), F.col("node").alias("src"))
-            .join(settled_links.withColumnRenamed("graph_id", "g"), ["g", "src"])
-            .select("graph_id", F.col("dst").alias("node"))
-        )
+        def step(newest: DataFrame) -> DataFrame:
+            return (
+                newest.select("graph_id", F.col("graph_id.graph").alias("g"), F.col("node").alias("src"))
+                .join(kept, ["g", "src"])
+                .select("graph_id", F.col("dst").alias("node"))
+            )
 
-    members = settle(grow(begun, step, NODE))
+        members = settle(grow(begun, step, NODE))
     parts = settle(
         members.withColumn("g", F.col("graph_id.graph"))
         .join(
@@ -260,5 +261,5 @@ def _methods(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a method holds every node its members lead to, so both ends are inside
     inside = members.select(
         "graph_id", F.col("graph_id.graph").alias("g"), F.col("node").alias("src")
-    ).join(settled_links.withColumnRenamed("graph_id", "g"), ["g", "src"])
+    ).join(ours, ["g", "src"])
     return parts, settle(inside.select("graph_id", "src", "dst"))

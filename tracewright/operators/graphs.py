@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import escape_dot, normalise_label, trim_control
-from ..session import settle, settle_measured
+from ..session import partitioned_by, settle, settle_measured
 
 NODE = ["graph_id", "node"]
+SOURCE = ["graph_id", "src"]
 COMPACT_EVERY = 16
 
 
@@ -165,16 +166,16 @@ def grow(seeds: DataFrame, step, keys: list[str]) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(graph_id, node)`` reachable from ``starts``, the starts included."""
-    links = settle(edges_distinct(edges))
+    with partitioned_by(settle(edges_distinct(edges)), SOURCE) as links:
 
-    def step(newest: DataFrame) -> DataFrame:
-        return (
-            newest.withColumnRenamed("node", "src")
-            .join(links, ["graph_id", "src"])
-            .select("graph_id", F.col("dst").alias("node"))
-        )
+        def step(newest: DataFrame) -> DataFrame:
+            return (
+                newest.withColumnRenamed("node", "src")
+                .join(links, SOURCE)
+                .select("graph_id", F.col("dst").alias("node"))
+            )
 
-    return grow(starts, step, NODE)
+        return grow(starts, step, NODE)
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = "CFG") -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +86,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def partitioned_by(df: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
+    """``df`` hash-partitioned and sorted by ``keys``, kept for the length of the block.
+
+    Rounds that join on ``keys`` then move only their own rows. Partitions of a
+    lost executor are made again from ``df``, so pass a settled table.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.repartition(parts, *keys).sortWithinPartitions(*keys)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Upper estimate of a row's size in memory."""
     width = F.lit(0).cast("bigint")

@@ -32,10 +32,14 @@ def read_parents(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 def write_parents(mapping: DataFrame, path: str, key: str | None = None) -> None:
     """Write ``(var, refs)`` as JSON maps, one object per line.
 
-    All variables go into one object unless ``key`` names a column, such as the
-    source file, whose values get an object each.
+    Without ``key`` each variable is an object of its own and nothing is
+    shuffled. With ``key``, a column such as the source file, the variables of
+    one value share an object, as in one map file per program.
     """
-    keys = [key] if key else []
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("var", "refs"))))
-    objects = mapping.groupBy(*keys).agg(F.to_json(entries).alias("value"))
+    if key is None:
+        entries = F.create_map("var", "refs")
+        objects = mapping.select(F.to_json(entries).alias("value"))
+    else:
+        entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("var", "refs"))))
+        objects = mapping.groupBy(key).agg(F.to_json(entries).alias("value"))
     objects.select("value").write.mode("overwrite").text(path)
