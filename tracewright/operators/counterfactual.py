@@ -106,9 +106,9 @@ def predicted_class(
     predicts for kind ``custom``: a function from a feature array to a class,
     for instance a Pandas UDF.
     """
-    treatment = len(features) - 1
-    score = F.col("intercept") + F.col("coef")[treatment] * features[treatment]
-    for i, value in enumerate(features[:treatment]):
+    # the treatment comes last, so the sum over the covariates is shared by all its values
+    score = F.col("intercept")
+    for i, value in enumerate(features):
         score = score + F.col("coef")[i] * value
     predicted = F.when(F.col("kind") == CONSTANT, F.col("const_class")).when(
         F.col("kind") == LOGISTIC, F.when(score >= 0, 1).when(score < 0, 0)
@@ -158,20 +158,22 @@ def avg_outcome_by_rep(
     value and variable is shuffled.
     """
     reps = representative_values(dataset) if reps is None else reps
+    params = settle_measured(_parameters(dataset, models, reps))
     rows = dataset.withColumn("treatment_var", F.col("TreatmentVar"))
-    joined = attach(rows, _parameters(dataset, models, reps), ["treatment_var"])
+    joined = attach(rows, params.table, ["treatment_var"], size=params.bytes)
     covariates = _filled(dataset)
     slots = [
         credit(predicted_class([*covariates, F.get("reps", F.lit(slot))], custom))
         for slot in range(3)
     ]
     sums = joined.groupBy("treatment_var").agg(
-        F.any_value("reps").alias("reps"),
-        F.array(*[F.avg(slot) for slot in slots]).alias("averages"),
+        *[F.avg(slot).alias(f"avg{i}") for i, slot in enumerate(slots)]
+    )
+    set_to = params.table.select("treatment_var", F.posexplode("reps").alias("slot", "rep"))
+    averages = F.array("avg0", "avg1", "avg2")
+    return sums.join(set_to, "treatment_var").select(
+        "treatment_var", "rep", averages[F.col("slot")].alias("avg_outcome")
     )
-    return sums.select(
-        "treatment_var", F.posexplode("reps").alias("slot", "rep"), "averages"
-    ).select("treatment_var", "rep", F.col("averages")[F.col("slot")].alias("avg_outcome"))
 
 
 def suspiciousness(averages: DataFrame) -> DataFrame:

@@ -249,9 +249,10 @@ def _predicted() -> str:
         if kind == "constant":
             cases.append(f"WHEN '{var}' THEN {float(const == 1)}")
             continue
-        score = f"({intercept!r}::DOUBLE) + ({coef[-1]!r}::DOUBLE) * r.rep"
+        score = f"({intercept!r}::DOUBLE)"
         for c, w in zip(COV_NAMES, coef):
             score += f" + ({w!r}::DOUBLE) * coalesce(d.{c}, m.{c}, 0.0)"
+        score += f" + ({coef[-1]!r}::DOUBLE) * r.rep"
         cases.append(f"WHEN '{var}' THEN CASE WHEN {score} >= 0 THEN 1.0 ELSE 0.0 END")
     return "CASE d.\"TreatmentVar\" " + " ".join(cases) + " END"
 
