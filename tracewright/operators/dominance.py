@@ -190,8 +190,8 @@ def control_dependence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts, links = _methods(nodes, edges)
     pairs = settle(postdominators(parts, links))
     ended = settle(exits(parts).select("graph_id"))
-    parts = settle(parts.join(ended, "graph_id", "left_semi"))
-    links = settle(links.join(ended, "graph_id", "left_semi"))
+    parts = parts.join(ended, "graph_id", "left_semi")
+    links = links.join(ended, "graph_id", "left_semi")
 
     fan = links.groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("n"))
     branches = links.join(fan.where("n >= 2"), ["graph_id", "src"]).drop("n")

@@ -36,7 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan of fewer splits than cores; larger scans stay as they are."""
+    """Use all cores on a scan of fewer splits than cores; larger scans stay as they are.
+
+    For tables whose rows are dear to read apart (bags, texts); a plain scan is
+    faster left alone.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -62,8 +66,7 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per user: an assignment per event, then the outcome line."""
     kind = F.col("event_type")
     var = F.when(kind == "view", "temp_view").when(kind == "error", "error_debug").otherwise(kind)
-    columns = ["user_id", "event_id", "event_type", "value"]
-    lines = spread(table(spark, sf_dir, "events").select(*columns)).select(
+    lines = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("seq"),
         F.format_string("%s = %.2f", var, F.col("value")).alias("line"),
@@ -79,7 +82,6 @@ def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = ["quantity", "discount", "tax", "extendedprice"]
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *[f"l_{n}" for n in names])
-    lines = spread(lines)
     pairs = F.explode(
         F.array(*[F.struct(F.lit(n).alias("var"), F.col(f"l_{n}").alias("val")) for n in names])
     )
@@ -149,8 +151,7 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the graph of their user and two-day span."""
     span = F.floor(F.unix_date(F.to_date("ts")) / 2)
-    events = spread(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"))
-    return events.select(
+    return table(spark, sf_dir, "events").select(
         F.concat_ws("-", F.col("user_id").cast("string"), span.cast("string")).alias("graph_id"),
         "event_id",
         F.col("event_type").alias("node"),

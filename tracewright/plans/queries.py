@@ -286,12 +286,12 @@ def models_missing(spark, sf_dir):
 
 @query
 def fit_models(spark, sf_dir):
-    return md.fit_models(settle(inputs.numeric_dataset(spark, sf_dir)))
+    return md.fit_models(settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir))))
 
 
 @query
 def fit_forest(spark, sf_dir):
-    dataset = settle(inputs.numeric_dataset(spark, sf_dir))
+    dataset = settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir)))
     forests = md.fit_forest(dataset, ["quantity", "discount"], numTrees=5, maxDepth=4)
     return cf.ranking(cf.suspiciousness(cf.score_forest(dataset, forests)))
 
