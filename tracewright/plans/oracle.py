@@ -232,7 +232,7 @@ reps AS (
   SELECT treatment_var, v AS rep FROM placed
   WHERE NOT switch AND (n < 3 OR place IN (1, n // 2 + 1, n))
   UNION ALL
-  SELECT DISTINCT treatment_var, unnest([0.0, 1.0]) FROM placed WHERE switch)"""
+  SELECT DISTINCT treatment_var, unnest([0.0::DOUBLE, 1.0::DOUBLE]) FROM placed WHERE switch)"""
 
 COV_NAMES = [f"cov_{n}" for n in sorted(NAMES)]
 
@@ -247,13 +247,13 @@ def _predicted() -> str:
     cases = []
     for var, kind, const, _, coef, intercept in inputs.LINEAR_MODELS:
         if kind == "constant":
-            cases.append(f"WHEN '{var}' THEN {float(const == 1)}")
+            cases.append(f"WHEN '{var}' THEN {float(const == 1)}::DOUBLE")
             continue
         score = f"({intercept!r}::DOUBLE)"
         for c, w in zip(COV_NAMES, coef):
             score += f" + ({w!r}::DOUBLE) * coalesce(d.{c}, m.{c}, 0.0)"
         score += f" + ({coef[-1]!r}::DOUBLE) * r.rep"
-        cases.append(f"WHEN '{var}' THEN CASE WHEN {score} >= 0 THEN 1.0 ELSE 0.0 END")
+        cases.append(f"WHEN '{var}' THEN CASE WHEN {score} >= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
     return "CASE d.\"TreatmentVar\" " + " ".join(cases) + " END"
 
 
@@ -474,7 +474,8 @@ WHERE {CORE.replace('var', 'l.var')}""",
         + "SELECT *, var || '_' || version AS versioned FROM (SELECT *, row_number() OVER "
         "(PARTITION BY run_id, var ORDER BY seq) AS version FROM assignments)",
         "success_rate": _with(TRACE, OUTCOMES)
-        + "SELECT total, ok, total - ok AS failed, (ok * 10000 // total) / 100.0 AS rate FROM "
+        + "SELECT total, ok, total - ok AS failed, CAST((ok * 10000 // total) / 100.0 AS DOUBLE) "
+        "AS rate FROM "
         "(SELECT count(*) AS total, count(*) FILTER (outcome = 1) AS ok FROM outcomes)",
         "records_scan": _with(RECORDS)
         + 'SELECT row_number() OVER (ORDER BY row_id) AS row_id, "TestArgs", '
