@@ -485,8 +485,8 @@ WHERE {CORE.replace('var', 'l.var')}""",
         )
         + " FROM records",
         "parents_scan": _with(TEXTS, OCCURRENCES)
-        + "SELECT var, unnest(refs) AS parent, generate_subscripts(refs, 1) - 1 AS pos "
-        "FROM parent_map",
+        + "SELECT var, unnest(refs) AS parent, "
+        "CAST(generate_subscripts(refs, 1) - 1 AS INT) AS pos FROM parent_map",
         "random_inputs": "SELECT c_custkey AS id, array_to_string(list_transform(range(1, "
         f"{fixed.INPUT_MIN_LENGTH + 1} + "
         f"{_draw(_lit('length'), fixed.INPUT_MAX_LENGTH - fixed.INPUT_MIN_LENGTH + 1)}), "
@@ -556,7 +556,7 @@ LEFT JOIN first_outcomes f USING ("TestArgs") GROUP BY c."TestArgs", c."Treatmen
         "treatment_counts": _with(NUMERIC)
         + 'SELECT "TreatmentVar" AS treatment_var, count(*) AS n FROM numeric GROUP BY 1',
         "class_cardinality": _with(*ALL_DATASET)
-        + 'SELECT "TreatmentVar" AS treatment_var, count(DISTINCT "Outcome") AS n_classes, '
+        + 'SELECT "TreatmentVar" AS treatment_var, CAST(count(DISTINCT "Outcome") AS INT) AS n_classes, '
         'min("Outcome") AS min_class FROM dataset GROUP BY 1',
         "constant_models": _with(RECORDS)
         + "SELECT 'status=' || \"TreatmentVal\" AS treatment_var, 'constant' AS kind, "
@@ -687,7 +687,8 @@ SELECT graph_id, 'start', node FROM nodes n WHERE node <> 'start' AND NOT EXISTS
 FROM (SELECT o_orderkey AS file, unnest(['A', 'R_1']) AS var FROM orders) w
 LEFT JOIN names n ON n.file = w.file GROUP BY w.file, w.var""",
         "assignment_refs": _with(TEXTS, OCCURRENCES)
-        + "SELECT file, line, col, kind, var, array_to_string(refs, ',') AS refs FROM occurrences",
+        + "SELECT file, CAST(line AS INT) AS line, CAST(col AS INT) AS col, kind, var, "
+        "array_to_string(refs, ',') AS refs FROM occurrences",
         "parent_map": _with(TEXTS, OCCURRENCES)
         + "SELECT file, var, array_to_string(refs, ',') AS refs FROM parent_map",
     }
