@@ -30,8 +30,10 @@ from .text import ascii_lower, batches, grouped, hashes, only, ragged, shingles,
 LONG_LIST = 64
 #: Bits that mark such tokens, by hash; a token marked by chance only moves back in the order.
 MARK_BITS = 22
-#: Sets of which less than this share is in the leader are not counted as similar to it.
-NEAR = 0.5
+#: Bits of a set's parities for each element, at least.
+PARITY = 8
+#: Sets that share less than this part of the greater one are not counted as similar to their leader.
+NEAR = 0.6
 #: Near sets of one leader that are compared in one task.
 CHUNK = 2048
 
@@ -115,7 +117,7 @@ def _full_sets(rows: DataFrame, width: int) -> DataFrame:
         for batch in batches(parts, 500):
             size, tokens, parity = [], [], []
             for _, s in _sets(batch, width):
-                bits = 1 << min(16, max(6, math.ceil(math.log2(2 * len(s) + 1))))
+                bits = 1 << max(6, math.ceil(math.log2(PARITY * len(s) + 1)))
                 odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 size.append(len(s))
                 tokens.append(s.tobytes())
@@ -346,7 +348,7 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
 
     star = led.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     bounded = settle(_bounded(star, sets))
-    close = F.col("most") >= NEAR * F.least("n_a", "n_b")
+    close = F.col("most") >= NEAR * F.greatest("n_a", "n_b")
     exact = settle(_verified(bounded.where(close).select("a", "b"), sets))
     label = components(exact.where(_linked(percent)).select("a", "b"))
 
