@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces packed together, about. Groups are packed apart from each other, so each may leave one bin underfull.
 GROUP_PIECES = 16_384
+#: Moves and exchanges of the local search in one group, at most.
+STEPS = 5_000
 #: Words whose ids a task remembers before it forgets them all.
 REMEMBERED = 600_000
 LATIN = frozenset(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
@@ -29,35 +32,56 @@ class WordIds:
     """Token ids of words between ASCII white space.
 
     The tokenizer works on each such word for itself (it normalises and splits at white space), so the ids
-    of a text are those of its words in order. Each word is encoded once as long as it is remembered.
+    of a text are those of its words in order. Each word is encoded once as long as it is remembered: it has a number,
+    and its ids stand in one long array.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(tokenizer)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.stems: dict[str, list[int]] = {}
+        self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for word, found in zip(part, self.encoder.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, np.uint32)
-
-    def of(self, found: list[str]) -> list[np.ndarray]:
-        """Ids of each word; a Latin word before a stop or comma is looked up in lower case and without it."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, bare, wanted = self.known, [], set(".,")
-        for word in found:
+        """Number new words; a Latin word is encoded in lower case, and apart from a stop or comma after it."""
+        parts, wanted = [], {".": None, ",": None}
+        for word in new:
             stem = word[:-1] if word[-1] in ".," else word
             if stem and LATIN.issuperset(stem):
-                bare.append((stem.lower(), word[-1] if stem is not word else ""))
+                parts.append((stem.lower(), word[-1] if stem is not word else None))
             else:
-                bare.append((word, ""))
-        wanted.update(x for x, _ in bare)
-        self._learn([w for w in wanted if w not in known])
-        return [np.concatenate([known[x], known[end]]) if end else known[x] for x, end in bare]
+                parts.append((word, None))
+            wanted[parts[-1][0]] = None
+        stems = self.stems
+        wanted = [w for w in wanted if w not in stems]
+        for at in range(0, len(wanted), 5000):
+            some = wanted[at : at + 5000]
+            for word, found in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False)):
+                stems[word] = found.ids
+        ids = [stems[x] + stems[end] if end else stems[x] for x, end in parts]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        ends = self.start[-1] + np.cumsum([len(x) for x in ids])
+        self.start = np.concatenate([self.start, ends])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
+
+    def numbers(self, found: list[str]) -> np.ndarray:
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        new = [w for w in found if w not in self.number]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+
+
+@lru_cache(maxsize=2)
+def _encoder(tokenizer: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(tokenizer)
 
 
 def flat_ids(texts: pa.Array, encoder: WordIds) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +90,20 @@ def flat_ids(texts: pa.Array, encoder: WordIds) -> tuple[np.ndarray, np.ndarray]
     offsets = split.offsets.to_numpy()
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
-    distinct = coded.dictionary.to_pylist()
-    ids = encoder.of([w for w in distinct if w]) if distinct else []
-    empty = next((i for i, w in enumerate(distinct) if not w), None)
-    if empty is not None:
-        ids.insert(empty, np.zeros(0, np.uint32))
-    if not ids:
-        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    size = np.array([len(x) for x in ids])
-    start = np.concatenate([[0], np.cumsum(size)])
-    table = np.concatenate(ids)
-    code = coded.indices.to_numpy()
-    ends = np.concatenate([[0], np.cumsum(size[code])])
-    at = np.repeat(start[code] - ends[:-1], size[code]) + np.arange(ends[-1])
-    return table[at], ends[offsets]
+    distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if "" in distinct:  # beside white space at the ends of a text
+        some = code != distinct.index("")
+        offsets = np.concatenate([[0], np.cumsum(some)])[offsets]
+        code = code[some]
+        at = distinct.index("")
+        code = code - (code > at)
+        del distinct[at]
+    number = encoder.numbers(distinct)[code] if distinct else np.zeros(0, np.int64)
+    first = encoder.start[number]
+    size = encoder.start[number + 1] - first
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+    return encoder.flat[at], ends[offsets]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -87,15 +111,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     longer than ``capacity``. A null text counts as empty and gives the end id alone."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
-        for batch in batches(parts, 500):
+        encoder = _encoder(tokenizer)
+        for batch in batches(parts, 1000):
             ids, offsets = flat_ids(batch["text"], encoder)
-            rows = []
-            for doc, a, b in zip(batch["doc_id"].to_pylist(), offsets[:-1], offsets[1:]):
-                own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(own), capacity)):
-                    part = own[at : at + capacity]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
+            rows, whole, end = [], ids.astype("<u4").tobytes(), np.array([END_ID], "<u4").tobytes()
+            for doc, a, b in zip(batch["doc_id"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                own = whole[4 * a : 4 * b] + end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = [list(c) for c in zip(*rows)] or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -152,7 +176,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
     From the emptiest bin on, each of its items is moved to the fullest bin with room, or
     exchanged for one item, or two, of a fuller underfull bin such that this bin gets fuller
     and the emptier one emptier still. A bin without items is closed. Each move raises the sum of squares of whole
-    numbers, which has an upper bound, so the search ends; it ends early at the least number of bins there can be.
+    numbers, which has an upper bound, so the search ends; it ends early at the least number of bins there can be, or
+    after ``STEPS`` moves. Every item stays packed throughout.
     """
     size = lengths.tolist()
     bins = [list(b) for b in bins]
@@ -196,7 +221,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
         return False
 
     stuck: set[int] = set()
-    while count > least:
+    steps = STEPS
+    while count > least and steps:
         left = [i for i in open_bins if i not in stuck]
         if not left:
             break
@@ -204,11 +230,11 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
         if not better(source):
             stuck.add(source)
             continue
-        stuck &= {i for i in open_bins if fill[i] < fill[source]}
+        steps -= 1
+        stuck.clear()
         if not bins[source]:
             open_bins.discard(source)
             count -= 1
-            stuck.clear()
         open_bins -= {i for i in open_bins if fill[i] == capacity}
     return [b for b in bins if b]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -166,6 +167,12 @@ class Pieces:
         return whole[1:] if whole.startswith(" ") else whole
 
 
+@lru_cache(maxsize=2)
+def _pieces(model: str) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(model)
+
+
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row of ``docs`` (``doc_id, text``): ids (begin and end included) as
     little-endian unsigned 32-bit numbers and the text that they decode to, both as bytes.
@@ -186,7 +193,7 @@ def _encoded(docs: DataFrame, model: str, shown, schema: str) -> DataFrame:
     kind = pa.binary() if "binary" in schema else pa.string()
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = _pieces(model)
         for batch in batches(parts, 200):
             found = [pieces.encode(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
