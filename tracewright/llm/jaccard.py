@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from ..operators.joins import attach
 from ..session import settle
 from .components import components
-from .text import ascii_lower, batches, grouped, hashes, only, ragged, shingles, words
+from .text import ascii_lower, batches, grouped, only, shingles, word_hashes, words
 
 #: Lists longer than this come late in the order of tokens.
 LONG_LIST = 64
@@ -54,8 +55,7 @@ def _marked(tokens: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    values, offsets = ragged(batch["w"])
-    values = values.astype(np.int64, copy=False)
+    values, offsets = word_hashes(pc.ascii_lower(batch["text"]))
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
         yield i, np.unique(shingles(values[a:b], width))
 
@@ -330,7 +330,7 @@ def _near_links(near: DataFrame, percent: int) -> DataFrame:
 
 
 def set_components(rows: DataFrame, width: int, percent: int, longest: int = LONG_LIST) -> DataFrame:
-    """(id, component) of sets that are linked to any other. ``rows``: (id, w), hashes of the words in order; ids are unique."""
+    """(id, component) of sets that are linked to any other. ``rows``: (id, text), an id for each text."""
     marks = _long_lists(rows, width, percent, longest)
     entries = _entries(rows, width, percent, marks)
     size = F.count("*").over(Window.partitionBy("token"))
@@ -391,30 +391,28 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, longe
     A document's set: distinct shingles of ``width`` words (A-Z in lower case), or its whole sequence when it has fewer words;
     a null text and one without words have none and are linked with nothing. Two documents are linked when
     their Jaccard similarity is ``percent`` / 100 or more; the component id is the smallest doc_id reachable. Rows
-    with the same words are one set, and rows with a null id are a component of their own with a null id.
+    with the same text are one set, and rows with a null id are a component of their own with a null id.
     """
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), words(text).alias("w"))
-    base = base.select("doc_id", "w", F.xxhash64(F.lit(1), F.array_join("w", " ")).alias("id"))
-    members = settle(base.select("doc_id", "id", F.size("w").alias("size")))
-    real = F.col("doc_id").isNotNull() & (F.col("size") > 0)
+    base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("id", F.xxhash64(F.lit(1), "text"))
+    counted = base.select("doc_id", "id", words(ascii_lower(F.col("text"))).alias("w"))
+    members = settle(counted.select("doc_id", "id", _n_shingles(F.col("w"), width).alias("n_shingles")))
+    real = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     firsts = settle(members.where(real).groupBy("id").agg(F.min("doc_id").alias("first")))
     copies = members.where(real).join(firsts, "id").where("doc_id > first").select("doc_id", "id", F.lit(True).alias("copy")).distinct()
     # one row of each group of copies stands for it
-    rows = attach(base.where("doc_id is not null and size(w) > 0"), copies, ["doc_id", "id"], "left")
-    rows = rows.where("copy is null").select("id", hashes("w").alias("w"))
+    rows = attach(base.where("doc_id is not null"), copies, ["doc_id", "id"], "left").where("copy is null").select("id", "text")
     found = set_components(rows, width, percent, longest)
     least = found.join(firsts, "id").groupBy("component").agg(F.min("first").alias("least"))
     least = found.join(least, "component").select("id", "least")
     by_set = settle(firsts.join(least, "id", "left").select("id", F.coalesce("least", "first").alias("component_id")))
-    counted = base.select("doc_id", "id", _n_shingles(F.col("w"), width).alias("n_shingles"))
-    return counted.join(by_set, "id", "left").select(
+    return members.join(by_set, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def _n_shingles(w: Column, width: int) -> Column:
     """Distinct shingles of the words ``w``."""
-    starts = F.slice(w, 1, F.greatest(F.size(w) - width + 1, F.lit(1)))
+    starts = F.slice(w, 1, F.greatest(F.size(w) - width + 1, F.least(F.size(w), F.lit(1))))
     each = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)]))
     return F.size(F.array_distinct(each)).cast("bigint")

@@ -9,20 +9,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle_measured
-from .text import batches, only
+from .text import batches, coded_words, only
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces packed together, about. Groups are packed apart from each other, so each may leave one bin underfull.
 GROUP_PIECES = 16_384
 #: Moves and exchanges of the local search in one group, at most.
-STEPS = 5_000
+STEPS = 500
 #: Words whose ids a task remembers before it forgets them all.
 REMEMBERED = 600_000
 LATIN = frozenset(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
@@ -86,18 +85,7 @@ def _encoder(tokenizer: str) -> WordIds:
 
 def flat_ids(texts: pa.Array, encoder: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each text's begin and end."""
-    split = pc.ascii_split_whitespace(texts)
-    offsets = split.offsets.to_numpy()
-    coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    offsets = offsets - offsets[0]
-    distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    if "" in distinct:  # beside white space at the ends of a text
-        some = code != distinct.index("")
-        offsets = np.concatenate([[0], np.cumsum(some)])[offsets]
-        code = code[some]
-        at = distinct.index("")
-        code = code - (code > at)
-        del distinct[at]
+    distinct, code, offsets = coded_words(texts)
     number = encoder.numbers(distinct)[code] if distinct else np.zeros(0, np.int64)
     first = encoder.start[number]
     size = encoder.start[number + 1] - first

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import batches, hashes, mix, only, ragged, words
+from .text import batches, mix, only, word_hashes, words
 
 WIDTH = 50
 #: Words that a minimiser is made of.
@@ -52,15 +52,14 @@ def super_kmers(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
 def _runs(rows: DataFrame, width: int) -> DataFrame:
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, 500):
-            owner, start, size, mini = super_kmers(*ragged(batch["w"]), width)
+            owner, start, size, mini = super_kmers(*word_hashes(batch["text"]), width)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [batch["rid"].take(at), batch["doc_id"].take(at), pa.array(start), pa.array(size), pa.array(mini)],
                 ["rid", "doc_id", "start", "size", "mini"],
             )
 
-    hashed = rows.select("rid", "doc_id", hashes(words(F.col("text"))).alias("w"))
-    return hashed.mapInArrow(task, "rid bigint, doc_id bigint, start bigint, size bigint, mini bigint")
+    return rows.select("rid", "doc_id", "text").mapInArrow(task, "rid bigint, doc_id bigint, start bigint, size bigint, mini bigint")
 
 
 def _packed(shared: DataFrame, width: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, each word's number among them, and where each text's words begin and end."""
+    split = pc.ascii_split_whitespace(texts)
+    offsets = split.offsets.to_numpy()
+    coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets = offsets - offsets[0]
+    distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if "" in distinct:  # beside white space at the ends of a text
+        at = distinct.index("")
+        some = code != at
+        offsets = np.concatenate([[0], np.cumsum(some)])[offsets]
+        code = code[some]
+        code = code - (code > at)
+        del distinct[at]
+    return distinct, code, offsets
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, one after the other, and where each text's begin and end."""
+    distinct, code, offsets = coded_words(texts)
+    if not distinct:
+        return np.zeros(0, np.int64), offsets
+    found = pd.util.hash_array(np.array(distinct, object), categorize=False)
+    return found[code].view(np.int64), offsets
+
+
 def mix(a: np.ndarray, b: np.ndarray, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A 64-bit hash of pairs of 64-bit hashes."""
     x = (a * np.uint64(odd)) ^ (a >> np.uint64(29))
