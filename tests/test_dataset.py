@@ -10,12 +10,11 @@ RECORD = (
 )
 
 SAMPLE = [
-    ("test1", "mem=1024;cpu=2", "Outcome", "1", "1"),
-    ("test1", "mem=1024;cpu=2", "heapSize", "512", "1"),
-    ("test1", "mem=1024;cpu=2", "optimizer", "aggressive", "1"),
-    ("test2", "threads=4;mode=parallel", "Outcome", "0", "0"),
-    ("test2", "threads=4;mode=parallel", "timeout", "30", "0"),
-    ("test2", "threads=4", "logging", "verbose", "0"),
+    ("rain", "depth=3.5;gate=7", "Outcome", "0", "0"),
+    ("rain", "depth=3.5;gate=7;colour=red", "level", "19", "0"),
+    ("sun", "gate=9;colour=blue", "pump", "idle", "1"),
+    ("sun", "gate=9", "pump", "busy", "1"),
+    ("wind", "depth=5.5", "Outcome", "1", "1"),
 ]
 
 
@@ -30,16 +29,16 @@ def bags_of(spark, *bags):
 def test_sample_dataset(spark):
     got = ds.training_dataset(records_of(spark, SAMPLE), ["row_id"]).orderBy("row_id")
     assert got.columns == [
-        "row_id", "TestArgs", "cov_cpu", "cov_mem", "cov_mode", "cov_threads",
+        "row_id", "TestArgs", "cov_colour", "cov_depth", "cov_gate",
         "TreatmentVar", "TreatmentVal", "Outcome",
     ]
     rows = got.collect()
-    assert [r.cov_mem for r in rows] == [1024.0] * 6
-    assert [r.cov_cpu for r in rows] == [2.0] * 6
-    assert [r.cov_threads for r in rows] == [4.0] * 6
-    assert [r.cov_mode for r in rows] == [-1, -1, -1, 0, 0, -1]
-    assert [r.TreatmentVal for r in rows] == [1.0, 512.0, 0.0, 0.0, 30.0, 0.0]
-    assert [r.Outcome for r in rows] == [1, 1, 1, 0, 0, 0]
+    # medians fill in numbers, -1 stands for a missing category
+    assert [r.cov_depth for r in rows] == [3.5, 3.5, 3.5, 3.5, 5.5]
+    assert [r.cov_gate for r in rows] == [7.0, 7.0, 9.0, 9.0, 8.0]
+    assert [r.cov_colour for r in rows] == [-1, 0, 1, -1, -1]
+    assert [r.TreatmentVal for r in rows] == [0.0, 19.0, 0.0, 1.0, 1.0]
+    assert [r.Outcome for r in rows] == [0, 0, 1, 1, 1]
 
 
 def test_covariate_columns_and_types(spark):

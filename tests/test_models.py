@@ -93,7 +93,28 @@ def test_separable_rows_still_give_a_model(spark):
 )
 def test_representative_values(spark, values, expected):
     data = values_of(spark, *[None if v is None else float(v) for v in values])
-    assert cf.representative_values(data).first().reps == expected
+    assert [r.reps for r in cf.representative_values(data).collect()] == [expected]
+
+
+def test_single_value_gives_each_row_once(spark):
+    data = values_of(spark, 5.0, 5.0)
+    grid = cf.counterfactual_grid(data, cf.representative_values(data)).collect()
+    assert [r.rep for r in grid] == [5.0, 5.0]
+
+
+def test_outcomes_other_than_0_and_1_are_classes(spark):
+    data = values_of(spark, 1.0, 2.0).withColumn("Outcome", F.lit(2))
+    row = md.class_cardinality(data).first()
+    assert (row.n_classes, row.min_class) == (1, 2)
+    assert md.constant_models(data).first().const_class == 2
+
+
+def test_ranking_without_covariates(spark):
+    rows = [("t", "", "v", str(i), str(int(i > 3))) for i in range(8)]
+    schema = "TestArgs string, Covariates string, TreatmentVar string, TreatmentVal string, Outcome string"
+    records = spark.createDataFrame(rows, schema).withColumn("row_id", F.col("TreatmentVal").cast("bigint"))
+    ranked = rank_records(records, ["row_id"]).collect()
+    assert [r.treatment_var for r in ranked] == ["v"] and ranked[0].score > 0
 
 
 def linear(spark, kind, const, coef, intercept):

@@ -44,19 +44,19 @@ def test_parse_splits_at_first_equals_and_skips_separators(spark):
 
 def test_temporaries_get_no_record(spark):
     got = records_of(
-        spark, [["a = 1", "b = 2", "tempVar = 100", "result_temp = 3", "x_debug = true"]]
+        spark, [["temp_1 = 8", "speed = 12", "my_temp = 4", "door_debug = shut", "seats = 2"]]
     )
-    assert [r[2] for r in got] == ["a", "b", "result_temp"]
+    assert [r[2] for r in got] == ["speed", "my_temp", "seats"]
 
 
 def test_reassignment_keeps_first_seen_order(spark):
-    got = records_of(spark, [["a = 3", "b = 4", "result = 7", "a = 5", "result = 9"]])
-    assert [(r[2], r[3]) for r in got] == [("a", "5"), ("b", "4"), ("result", "9")]
+    got = records_of(spark, [["k = x", "j = 1", "k = y", "j = 2", "k = z", "h = 0"]])
+    assert [(r[2], r[3]) for r in got] == [("k", "z"), ("j", "2"), ("h", "0")]
 
 
 def test_null_and_empty_values(spark):
-    got = records_of(spark, [["a = null", "b = "]])
-    assert [(r[2], r[3]) for r in got] == [("a", "null"), ("b", "")]
+    got = records_of(spark, [["first = ", "second = null", "third =  "]])
+    assert [(r[2], r[3]) for r in got] == [("first", ""), ("second", "null"), ("third", "")]
 
 
 def test_empty_trace(spark):
@@ -76,9 +76,9 @@ def test_covariates_follow_parent_order_and_see_temporaries(spark):
 
 def test_outcomes(spark):
     runs = [
-        ["value = 5", "Outcome = 1"],
-        ["error = Invalid number: abc", "Outcome = 0"],
-        ["value = 5"],
+        ["pages = 31", "Outcome = 1"],
+        ["stop = no paper", "Outcome = 0"],
+        ["pages = 31"],
         ["Outcome", "OutcomeX = 7", "Outcome = 1"],
         ["Outcome = no", "Outcome = 1"],
     ]

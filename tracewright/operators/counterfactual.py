@@ -50,19 +50,13 @@ def representative_values(dataset: DataFrame) -> DataFrame:
     )
     placed = running_total(values, ["treatment_var"], ["v"], out="place", rows=settled.rows)
     middle = attach(placed, facts, ["treatment_var"]).where(F.expr("place = n div 2 + 1"))
-    # a single value is its own middle only at place 1
-    single = facts.where("n = 1").withColumn("v", F.col("low"))
     reps = (
         F.when(F.col("switch"), F.array(F.lit(0.0), F.lit(1.0)))
         .when(F.col("n") >= 3, F.array("low", "v", "high"))
         .when(F.col("n") == 2, F.array("low", "high"))
         .otherwise(F.array("low"))
     )
-    return (
-        middle.select(*single.columns)
-        .unionByName(single)
-        .select("treatment_var", reps.alias("reps"))
-    )
+    return middle.select("treatment_var", reps.alias("reps"))
 
 
 def counterfactual_grid(dataset: DataFrame, reps: DataFrame) -> DataFrame:

@@ -34,8 +34,7 @@ def class_cardinality(dataset: DataFrame) -> DataFrame:
         dataset.where(F.col("TreatmentVar").isNotNull())
         .groupBy(F.col("TreatmentVar").alias("treatment_var"))
         .agg(
-            (F.max(F.when(F.col("Outcome") == 0, 1).otherwise(0))
-             + F.max(F.when(F.col("Outcome") == 1, 1).otherwise(0))).alias("n_classes"),
+            F.count_distinct("Outcome").cast("int").alias("n_classes"),
             F.min("Outcome").alias("min_class"),
         )
     )
@@ -68,10 +67,13 @@ def constant_models(dataset: DataFrame) -> DataFrame:
 
 def covariate_means(dataset: DataFrame) -> DataFrame:
     """One row per variable: the mean of each covariate over its values, 0.0 if none."""
+    names = covariate_columns(dataset)
+    if not names:
+        return treatment_vars(dataset)
     return dataset.groupBy(F.col("TreatmentVar").alias("treatment_var")).agg(
         *[
-            F.coalesce(F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))), F.lit(0.0)).alias(c)
-            for c in covariate_columns(dataset)
+            F.coalesce(F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))), F.lit(0.0)).alias(c)
+            for c in names
         ]
     )
 

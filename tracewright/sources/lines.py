@@ -11,10 +11,10 @@ PLACE = ["file", "block", "at"]
 
 
 def with_place(df: DataFrame) -> DataFrame:
-    """Add ``file, block, at``: name, split and position in the split of each row."""
+    """Add ``file, block, at``: full path, split and position in the split of each row."""
     return df.select(
         "*",
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
@@ -28,7 +28,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def number_rows(placed: DataFrame, marker: str | None = None) -> DataFrame:
     """Replace the place columns by ``line_no`` and, with ``marker``, ``run_no``.
 
-    ``line_no`` counts rows from 1 over files in name order. ``run_no`` counts
+    ``line_no`` counts rows from 1 over files in the order of their paths. ``run_no`` counts
     the rows before this one for which ``marker`` holds. Rows are counted inside
     their split, which the reader bounds, and shifted by the totals of the
     earlier splits; only one total per split is ordered globally.

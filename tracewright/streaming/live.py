@@ -35,7 +35,7 @@ def append_finished_runs(
     """
     lines = spark.readStream.text(logs).select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
     )
 
