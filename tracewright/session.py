@@ -48,6 +48,18 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tracewright/{app}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs of the block delete their shuffle files when they end: what they wrote is read from the table from then on."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class Settled(NamedTuple):
     """A written table with what was counted while writing it."""
 
@@ -73,7 +85,8 @@ def settle_measured(df: DataFrame, **counts: Column) -> Settled:
         F.sum(row_bytes(df)).alias("_bytes"),
         *[c.alias(name) for name, c in counts.items()],
     )
-    measured.write.parquet(path)
+    with _shuffles_freed(spark):
+        measured.write.parquet(path)
     found = seen.get
     table = spark.read.schema(df.schema).parquet(path)
     return Settled(table, found["_rows"], found["_bytes"] or 0, found)
@@ -82,7 +95,8 @@ def settle_measured(df: DataFrame, **counts: Column) -> Settled:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a shared parquet table and return a scan of it."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
