@@ -272,12 +272,11 @@ class _Groups:
 def _near_links(near: DataFrame, percent: int) -> DataFrame:
     """Links between sets near the same leader, as many as it takes to join their labels.
 
-    ``near``: (leader, n_leader, id, n, label, inside, private). What two sets share follows from what each has of the
-    leader (one matrix product for all pairs) and, where this does not decide, from the few elements that the leader
-    lacks. A leader with more than ``CHUNK`` near sets has them in chunks, and each pair of chunks is a task's work.
+    ``near``: (leader, of, id, n, label, inside, private), ``of`` being the number of the leader's near sets. What two
+    sets share follows from what each has of the leader (one matrix product for all pairs) and, where this does not
+    decide, from the few elements that the leader lacks. A leader with more than ``CHUNK`` near sets has them in chunks, and each pair of chunks is a task's work.
     """
-    of = near.groupBy("leader").agg(F.count("*").alias("of"))
-    rows = near.join(of, "leader").withColumn("chunks", F.ceil(F.col("of") / CHUNK).cast("int"))
+    rows = near.withColumn("chunks", F.ceil(F.col("of") / CHUNK).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
@@ -378,7 +377,7 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
     # sets near a leader, where they do not all hang together and there are two beside the leader
     near = met.where("near").select("leader", "id", "n", "label").distinct()
     open_ = near.groupBy("leader").agg(F.count("*").alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    near = near.where("leader <> id").join(open_.where("of > 2 and lo <> hi").select("leader"), "leader")
+    near = attach(near.where("leader <> id"), open_.where("of > 2 and lo <> hi").select("leader", "of"), ["leader"])
     parts = exact.select(F.col("a").alias("leader"), F.col("b").alias("id"), "inside", "private")
     again = again.union(_near_links(near.join(parts, ["leader", "id"]), percent))
     held = label.where("id <> component").select("id", F.col("component"))
