@@ -117,6 +117,13 @@ def test_ranking_without_covariates(spark):
     assert [r.treatment_var for r in ranked] == ["v"] and ranked[0].score > 0
 
 
+def test_ranking_with_dots_in_names(spark):
+    rows = [(i, "t", f"a.b={i % 3};c.d={'xy'[i % 2]}", "v.w", str(i), str(int(i > 3))) for i in range(8)]
+    schema = "row_id bigint, TestArgs string, Covariates string, TreatmentVar string, TreatmentVal string, Outcome string"
+    ranked = rank_records(spark.createDataFrame(rows, schema), ["row_id"]).collect()
+    assert [r.treatment_var for r in ranked] == ["v.w"] and ranked[0].score > 0
+
+
 def linear(spark, kind, const, coef, intercept):
     features = ["cov_a", "cov_b", "TreatmentVal"]
     return spark.createDataFrame([("v", kind, const, features, coef, intercept)], md.MODEL_SCHEMA)

@@ -167,3 +167,4 @@ def test_finished_runs_are_recorded_once(spark, tmp_path):
         (0, "a", "2", "0"),
         (1, "c", "3", "0"),
     ]
+    assert len({r.run_id for r in got}) == 3 and {r.batch_id for r in got if r.run_id >= 1 << 40} == {1}

@@ -23,7 +23,7 @@ def coerce_rows(raw: DataFrame) -> DataFrame:
     require_columns(raw, ["TreatmentVar", "TreatmentVal", "Outcome"])
     texts = [c for c in raw.columns if c in ("TreatmentVal", "Outcome", *covariate_columns(raw))]
     rows = raw.where(~F.col("TreatmentVar").eqNullSafe("TreatmentVar"))
-    return rows.withColumns({c: parse_numeric(F.col(c).cast("string")) for c in texts})
+    return rows.withColumns({c: parse_numeric(F.col(f"`{c}`").cast("string")) for c in texts})
 
 
 def representative_values(dataset: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def _parameters(dataset: DataFrame, models: DataFrame, reps: DataFrame) -> DataF
     means = covariate_means(dataset)
     packed = means.select(
         "treatment_var",
-        F.array(*[F.col(c) for c in names]).cast("array<double>").alias("means"),
+        F.array(*[F.col(f"`{c}`") for c in names]).cast("array<double>").alias("means"),
     )
     return aligned.join(reps, "treatment_var").join(packed, "treatment_var")
 
@@ -119,7 +119,7 @@ def credit(predicted: Column) -> Column:
 
 def _filled(dataset: DataFrame) -> list[Column]:
     return [
-        F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col("means")[i], F.lit(0.0))
+        F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.col("means")[i], F.lit(0.0))
         for i, c in enumerate(covariate_columns(dataset))
     ]
 
@@ -137,7 +137,7 @@ def predict_grid(
         "rep", F.explode("reps")
     )
     predicted = credit(predicted_class([*_filled(dataset), F.col("rep")], custom))
-    return grid.select(*dataset.columns, "rep", predicted.alias("predicted"))
+    return grid.select(*[F.col(f"`{c}`") for c in dataset.columns], "rep", predicted.alias("predicted"))
 
 
 def avg_outcome_by_rep(

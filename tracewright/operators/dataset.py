@@ -204,18 +204,17 @@ def training_dataset(
     summary = summary or summarise_covariates(records, order)
     shaped = with_bag(treatment_values(records, order)).drop("Covariates")
     bag = F.col("bag")
-    for key in summary.categorical:
+    code_of = {key: f"_code_{i}" for i, key in enumerate(summary.categorical)}
+    for key, code in code_of.items():
         lookup = summary.codes.table.where(F.col("key") == key).select(
-            F.col("value").alias(f"_text_{key}"), F.col("code").alias(key)
+            F.col("value").alias("_text"), F.col("code").alias(code)
         )
-        shaped = shaped.withColumn(f"_text_{key}", bag[key])
-        shaped = attach(
-            shaped, lookup, [f"_text_{key}"], "left", size=summary.codes.bytes
-        ).drop(f"_text_{key}")
+        shaped = shaped.withColumn("_text", bag[key])
+        shaped = attach(shaped, lookup, ["_text"], "left", size=summary.codes.bytes).drop("_text")
     columns = {
         key: F.coalesce(to_number(bag[key]), F.lit(summary.medians[key]).cast("double"))
         for key in summary.numeric
-    } | {key: F.coalesce(key, F.lit(fixed.MISSING_CODE)) for key in summary.categorical}
+    } | {key: F.coalesce(code, F.lit(fixed.MISSING_CODE)) for key, code in code_of.items()}
     return shaped.select(
         *order,
         "TestArgs",

@@ -84,12 +84,12 @@ def fill_covariates(dataset: DataFrame, means: DataFrame | None = None) -> DataF
     means = covariate_means(dataset) if means is None else means
     renamed = means.withColumnsRenamed({c: f"_mean_{c}" for c in names})
     filled = {
-        c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col(f"_mean_{c}"))
+        c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.col(f"`_mean_{c}`"))
         for c in names
     }
     rows = dataset.withColumn("treatment_var", F.col("TreatmentVar"))
     joined = attach(rows, renamed, ["treatment_var"])
-    return joined.withColumns(filled).select(*dataset.columns)
+    return joined.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in dataset.columns])
 
 
 def feature_rows(dataset: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def feature_rows(dataset: DataFrame) -> DataFrame:
     ).select(
         F.col("TreatmentVar").alias("treatment_var"),
         F.col("Outcome").cast("double").alias("y"),
-        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)],
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)],
     )
 
 

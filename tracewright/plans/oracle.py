@@ -648,7 +648,7 @@ UNION ALL SELECT graph_id, 2, '  "' || src || '" -> "' || dst || '";' FROM edges
 UNION ALL SELECT DISTINCT graph_id, 3, '}' FROM nodes""",
         "reachable": _with(
             GRAPHS,
-            "reach AS (SELECT graph_id, node FROM nodes WHERE ord = 2 UNION "
+            "reach AS (SELECT graph_id, node FROM nodes WHERE ord = 1 UNION "
             "SELECT r.graph_id, e.dst FROM reach r JOIN edges e "
             "ON e.graph_id = r.graph_id AND e.src = r.node)",
             recursive=True,

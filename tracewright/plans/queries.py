@@ -453,7 +453,7 @@ def dot_lines(spark, sf_dir):
 def reachable(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     # from each graph's first event type, not from its start
-    return gr.reachable(edges, nodes.where("ord = 2").select("graph_id", "node"))
+    return gr.reachable(edges, nodes.where("ord = 1").select("graph_id", "node"))
 
 
 def _dominators(spark, sf_dir):

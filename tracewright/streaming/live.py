@@ -31,7 +31,7 @@ def append_finished_runs(
 
     Each file holds whole runs, closed by separators. A batch writes its own
     ``batch_id`` folder and replaces it when the batch is run again, so no run
-    is recorded twice.
+    is recorded twice. Run ids go on at a new multiple of 2^40 in each batch.
     """
     lines = spark.readStream.text(logs).select(
         F.col("value").alias("line"),
@@ -41,7 +41,7 @@ def append_finished_runs(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("at", F.monotonically_increasing_id())
-        runs = split_runs(placed)
+        runs = split_runs(placed).withColumn("run_id", F.col("run_id") + F.lit(batch_id << 40))
         records = execution_records(runs, parents)
         records.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
