@@ -299,6 +299,21 @@ def test_quality_rules_on_odd_rows(spark):
     assert not kept[999] and sum(kept.values()) == 200
 
 
+def test_quality_rules_of_rare_and_unnamed_languages(spark):
+    rng = np.random.default_rng(4)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(n))
+
+    english = [(i, text("abcdefghijklmnop", 120), "en", "s", 0) for i in range(100)]
+    rare = [(1000, "абвгдежзиклмн", "ru"), (1001, "αβγδεζηθικλμν", "el"), (1002, "абвгдежзиклмн", None)]
+    rare = [(i, text(letters, 70), lang, "s", 0) for i, letters, lang in rare]
+    rows = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(english + rare, DOCS)).collect()}
+    assert len(rows) == 103 and all(rows[i].kept for i in (1000, 1001, 1002))
+    assert rows[1002].char_distance is None and rows[1002].word_distance is None
+    assert rows[1000].char_distance is not None and rows[1000].word_distance is not None
+
+
 def labelled(spark):
     rng = np.random.default_rng(8)
     docs, labels = [], []

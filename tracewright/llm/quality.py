@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import settle
+from ..operators.joins import attach
+from ..session import settle, settle_measured
 from .text import let, only, words
 
 #: Classes of the bytes of a text; what is left (lower case, rare signs) is the last class.
@@ -21,10 +22,6 @@ UPPER, DIGIT, SYMBOL, MARK = "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", "[.,;:?!'\"()-]+
 #: Words of at most so many characters are counted as common words of a language.
 SHORT = 6
 COMMON = 24
-#: Languages with a reference of their own, most frequent first; others meet that of all text.
-LANGUAGES = 200
-#: A language needs so many bytes to have its own reference.
-LEAST_BYTES = 20_000
 #: Documents below these are not judged on characters, or on words.
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Greatest Jensen-Shannon distances (0 to 1) from the reference.
@@ -90,39 +87,26 @@ def _classes(total) -> dict[str, Column]:
 
 
 def references(measures: DataFrame) -> DataFrame:
-    """A row per language, and one with null for all text: ``ref_lang``, ``ref_classes`` (shares of the
-    classes), ``ref_words`` (common words) and ``ref_shares`` (theirs, the last for all others).
+    """A row per named language, however rare: ``ref_lang``, ``ref_classes`` (shares of the classes),
+    ``ref_words`` (common words) and ``ref_shares`` (theirs, the last for all others).
 
-    Every document counts. At most ``LANGUAGES`` + 1 rows of ``COMMON`` short words, so it can be broadcast.
+    Every document of the language counts. Without one of text, a language has no row.
     """
+    measures = measures.where(F.col("lang").isNotNull())
     sums = _classes(F.sum)
     by_lang = measures.groupBy("lang").agg(
         *[sums[c].alias(c) for c in CLASSES], sums["bytes"].alias("bytes"), F.sum("n_words").alias("all_words")
     )
-    by_lang = settle(by_lang)
-    counted = settle(
-        measures.select("lang", F.explode("short").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    )
-    names = [*CLASSES, "bytes", "all_words"]
-    large = (
-        by_lang.where(F.col("lang").isNotNull() & (F.col("bytes") >= LEAST_BYTES))
-        .orderBy(F.desc("bytes"), "lang")
-        .limit(LANGUAGES)
-        .select("lang", *names)
-    )
-    everything = by_lang.agg(*[F.sum(n).alias(n) for n in names]).select(F.lit(None).cast("string").alias("lang"), *names)
-    sizes = settle(large.union(everything))
-    own = counted.join(F.broadcast(sizes.select("lang")), "lang").select("lang", "word", "n")
-    pooled = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    pooled = pooled.select(F.lit(None).cast("string").alias("lang"), "word", "n")
+    by_lang = by_lang.where(F.col("bytes") > 0)
+    counted = measures.select("lang", F.explode("short").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = own.union(pooled).withColumn("k", F.row_number().over(first)).where(F.col("k") <= COMMON)
+    top = counted.withColumn("k", F.row_number().over(first)).where(F.col("k") <= COMMON)
     listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("t"))
     listed = listed.select(
         F.col("lang").alias("w_lang"), F.col("t.word").alias("ref_words"), F.col("t.n").alias("ref_counts")
     )
     shares = F.transform("ref_counts", lambda n: n / F.col("all_words"))
-    return sizes.join(F.broadcast(listed), F.col("lang").eqNullSafe(F.col("w_lang")), "left").select(
+    return by_lang.join(listed, F.col("lang") == F.col("w_lang"), "left").select(
         F.col("lang").alias("ref_lang"),
         F.array(*[F.coalesce(F.col(c) / F.col("bytes"), F.lit(0.0)) for c in CLASSES]).alias("ref_classes"),
         F.coalesce("ref_words", F.array().cast("array<string>")).alias("ref_words"),
@@ -185,25 +169,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     n_repeat_words, base_failed, char_distance, word_distance, kept``.
 
     ``docs`` has ``doc_id, text, lang``; further columns are left alone. A distance is null where
-    the document is too short for it, and then does not speak against the document. A null text
-    counts as empty, and fails for want of words. Documents of an unknown or rare language meet
-    the reference of all text. Repeated rows are judged each for itself.
+    the document is too short for it or its ``lang`` is null, and then does not speak against the
+    document. A null text counts as empty, and fails for want of words. Repeated rows are judged
+    each for itself.
     """
     measures = settle(measured(docs))
-    refs = settle(references(measures))
-    pooled = F.broadcast(
-        refs.where("ref_lang is null").select(*[F.col(f"ref_{x}").alias(f"any_{x}") for x in ("classes", "words", "shares")])
-    )
-    known = F.broadcast(refs.where("ref_lang is not null"))
-    met = measures.join(known, F.col("lang") == F.col("ref_lang"), "left").join(pooled, F.lit(True), "left")
-    for x in ("classes", "words", "shares"):
-        use = F.when(F.col("ref_lang").isNotNull(), F.col(f"ref_{x}")).otherwise(F.col(f"any_{x}"))
-        met = met.withColumn(f"use_{x}", use)
+    refs = settle_measured(references(measures))
+    met = attach(measures.withColumn("ref_lang", F.col("lang")), refs.table, ["ref_lang"], "left", size=refs.bytes)
+    known = F.col("ref_classes").isNotNull()
     found = _classes(lambda c: c)
     own = F.array(*[found[c] / F.col("bytes") for c in CLASSES])
     common = let(
-        _common_counts(F.col("short"), F.col("use_words"), F.col("n_words")),
-        lambda c: js_distance(_shares(c, F.col("n_words")), F.col("use_shares")),
+        _common_counts(F.col("short"), F.col("ref_words"), F.col("n_words")),
+        lambda c: js_distance(_shares(c, F.col("n_words")), F.col("ref_shares")),
     )
     out = met.select(
         "doc_id",
@@ -212,8 +190,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        F.when(F.col("chars") >= MIN_CHARS, js_distance(own, F.col("use_classes"))).alias("char_distance"),
-        F.when(F.col("n_words") >= MIN_WORDS, common).alias("word_distance"),
+        F.when(known & (F.col("chars") >= MIN_CHARS), js_distance(own, F.col("ref_classes"))).alias("char_distance"),
+        F.when(known & (F.col("n_words") >= MIN_WORDS), common).alias("word_distance"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     usual = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (
