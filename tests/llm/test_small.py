@@ -280,6 +280,28 @@ def test_field_learns_its_table():
     assert right >= 0.95 * len(lines)
 
 
+def added(text, field):
+    base = pii.base_spans(text)
+    return [(pii.KINDS[kind], text[a:b]) for a, kind, b in pii.added_spans([text], field, [base])[0]]
+
+
+def test_every_labelled_line_is_found_in_text():
+    field = pii.train()
+    for line in pii.LABELLED.strip().split("\n"):
+        text = re.sub(r"\[(?:email|ip|card|phone) ([^ ].*?)\](?= |$)", r"\1", line)
+        wanted = re.findall(r"\[(email|ip|card|phone) ([^ ].*?)\](?= |$)", line)
+        base = [(pii.KINDS[kind], text[a:b]) for a, kind, b in pii.base_spans(text)]
+        assert sorted(base + added(text, field)) == sorted(wanted), line
+
+
+def test_long_words_are_read_by_their_parts():
+    field = pii.train()
+    packed = json.dumps({"note": "x" * 60, "mail": "max@firma", "tel": "555-123-4567", "z": ["q"] * 20}, separators=(",", ":"))
+    assert added(packed, field) == [("email", "max@firma"), ("phone", "555-123-4567")]
+    row = ",".join(["jan", "max@firma", "anna(at)example.com", "tom[at]example.org", *[f"x{i}" for i in range(30)]])
+    assert added(row, field) == [("email", "max@firma"), ("email", "anna(at)example.com"), ("email", "tom[at]example.org")]
+
+
 def test_quality_rules_on_odd_rows(spark):
     rows = quality.quality_rules(docs_of(spark, ODD, clash=True)).collect()
     assert len(rows) == len(ODD)

@@ -231,20 +231,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TOLD = re.compile(r"[0-9@]")
-#: Plain words on either side of a word with a digit or an at sign that are decoded with it.
+#: What words of the kinds in ``LABELLED`` have: a digit, an at sign, or one spelt out in brackets.
+TOLD = re.compile(r"[0-9@]|\(at\)|\[at\]", re.IGNORECASE)
+#: Plain words on either side of a told word that are decoded with it.
 BESIDE = 2
-#: Longer words are not words: they stand as plain ones.
+#: Longer words are split at signs that stand in no kind; what is still longer, at all signs but those inside names.
 LONGEST = 80
+PART = re.compile(r"(?:[^\x20\x09-\x0D\"',;{}<>|=&\\\[\]]|\[at\])+", re.IGNORECASE)
+BIT = re.compile(r"(?:[\w@.+%-]|\(at\)|\[at\])+", re.IGNORECASE)
+
+
+def _words(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Places of the words between ``start`` and ``end``, long ones as their parts."""
+    out = []
+    for m in WORD.finditer(text, start, end):
+        if m.end() - m.start() <= LONGEST:
+            out.append(m.span())
+            continue
+        for part in PART.finditer(text, m.start(), m.end()):
+            if part.end() - part.start() <= LONGEST:
+                out.append(part.span())
+            else:
+                out += [bit.span() for bit in BIT.finditer(text, part.start(), part.end())]
+    return out
 
 
 def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of words to decode: those with a digit or an at sign, and what stands beside them on their line."""
+    """Stretches of words to decode: those that are told, and what stands beside them on their line."""
     chains, start = [], 0
     for line in text.split("\n"):
         if TOLD.search(line):
-            found = [(m.start() + start, m.end() + start) for m in WORD.finditer(line)]
-            told = [i for i, (a, b) in enumerate(found) if b - a <= LONGEST and TOLD.search(text, a, b)]
+            found = _words(text, start, start + len(line))
+            told = [i for i, (a, b) in enumerate(found) if TOLD.search(text, a, b)]
             at = 0
             while at < len(told):
                 end = at
@@ -257,8 +275,8 @@ def _chains(text: str) -> list[list[tuple[int, int]]]:
 
 
 def added_spans(texts: list[str], field: Field, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """What the field finds in each text beside ``base``: runs of equally tagged words, without signs at their
-    ends, that overlap no span of ``base``."""
+    """What the field finds in each text beside ``base``: runs of equally tagged words with only white space between
+    them, without signs at their ends, that overlap no span of ``base``."""
     owner, places, scores = [], [], []
     for k, text in enumerate(texts):
         if TOLD.search(text):
@@ -271,7 +289,7 @@ def added_spans(texts: list[str], field: Field, base: list[list[tuple[int, int,
         i = 0
         while i < len(chain):
             j = i
-            while j + 1 < len(chain) and tags[j + 1] == tags[i]:
+            while j + 1 < len(chain) and tags[j + 1] == tags[i] and texts[k][chain[j][1] : chain[j + 1][0]].isspace():
                 j += 1
             if tags[i]:
                 start, end = chain[i][0], chain[j][1]
@@ -279,7 +297,7 @@ def added_spans(texts: list[str], field: Field, base: list[list[tuple[int, int,
                 start += len(inner) - len(inner.lstrip("\"'<>,;:.!?=|"))
                 end -= len(inner) - len(inner.rstrip("\"'<>,;:.!?=|"))
                 free = all(end <= a or b <= start for a, _, b in base[k])
-                if start < end and free and TOLD.search(texts[k], start, end):
+                if start < end and free:
                     out[k].append((start, int(tags[i]) - 1, end))
             i = j + 1
     return out
