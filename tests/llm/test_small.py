@@ -302,6 +302,17 @@ def test_long_words_are_read_by_their_parts():
     assert added(row, field) == [("email", "max@firma"), ("email", "anna(at)example.com"), ("email", "tom[at]example.org")]
 
 
+def test_neighbours_of_base_spans_are_found():
+    field = pii.train()
+    assert added("tel 0171 555 0199, +44 20 7946 0018", field) == [("phone", "0171 555 0199")]
+    assert added("<jane@x.com>,max@firma", field) == [("email", "max@firma")]
+    assert added("call +44 20 7946 0018, 0171 555 0199, +44 20 7946 0019, 020 7946 0958", field) == [
+        ("phone", "0171 555 0199"),
+        ("phone", "020 7946 0958"),
+    ]
+    assert added("http://10.0.0.12:8080/path and [10.0.0.1]:80", field) == []
+
+
 def test_quality_rules_on_odd_rows(spark):
     rows = quality.quality_rules(docs_of(spark, ODD, clash=True)).collect()
     assert len(rows) == len(ODD)

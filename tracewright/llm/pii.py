@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,12 +257,51 @@ def _words(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of words to decode: those that are told, and what stands beside them on their line."""
+#: Not part of a span at its ends.
+ENDS = "\"'<>,;:.!?=|"
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, _, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cut(text: str, words: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``words`` cut where a span of ``base`` starts or ends inside them; pieces of signs alone beside a span go."""
+    out = []
+    for a, b in words:
+        k = bisect_right(base, a, key=lambda x: x[1])
+        if k == len(base) or base[k][0] >= b:
+            out.append((a, b))
+            continue
+        while k < len(base) and base[k][0] < b:
+            out += _bare(text, a, base[k][0])
+            out.append((max(a, base[k][0]), min(b, base[k][1])))
+            a = base[k][1]
+            k += 1
+        out += _bare(text, a, b)
+    return out
+
+
+def _bare(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The place without signs at its ends, where letters or digits are left."""
+    inner = text[start:end]
+    a, b = start + len(inner) - len(inner.lstrip(ENDS)), end - len(inner) + len(inner.rstrip(ENDS))
+    return [(a, b)] if a < b and any(c.isalnum() for c in inner) else []
+
+
+def _chains(text: str, base: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Stretches of words to decode: those that are told, and what stands beside them on their line. Spans of
+    ``base`` are words of their own."""
     chains, start = [], 0
     for line in text.split("\n"):
         if TOLD.search(line):
-            found = _words(text, start, start + len(line))
+            found = _cut(text, _words(text, start, start + len(line)), base)
             told = [i for i, (a, b) in enumerate(found) if TOLD.search(text, a, b)]
             at = 0
             while at < len(told):
@@ -276,29 +316,32 @@ def _chains(text: str) -> list[list[tuple[int, int]]]:
 
 def added_spans(texts: list[str], field: Field, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """What the field finds in each text beside ``base``: runs of equally tagged words with only white space between
-    them, without signs at their ends, that overlap no span of ``base``."""
+    them, without signs at their ends, as far as no span of ``base`` covers them."""
     owner, places, scores = [], [], []
+    covers = [_merged(spans) for spans in base]
     for k, text in enumerate(texts):
         if TOLD.search(text):
-            for chain in _chains(text):
+            for chain in _chains(text, covers[k]):
                 owner.append(k)
                 places.append(chain)
                 scores.append(field.emissions([text[a:b] for a, b in chain]))
     out = [[] for _ in texts]
     for k, chain, tags in zip(owner, places, field.decode(scores)):
+        cover = covers[k]
+        at = [bisect_right(cover, a, key=lambda x: x[1]) for a, _ in chain]
+        free = [c == len(cover) or b <= cover[c][0] for c, (_, b) in zip(at, chain)]
         i = 0
         while i < len(chain):
             j = i
-            while j + 1 < len(chain) and tags[j + 1] == tags[i] and texts[k][chain[j][1] : chain[j + 1][0]].isspace():
+            while (
+                j + 1 < len(chain)
+                and tags[j + 1] == tags[i]
+                and free[j + 1] == free[i]
+                and texts[k][chain[j][1] : chain[j + 1][0]].isspace()
+            ):
                 j += 1
-            if tags[i]:
-                start, end = chain[i][0], chain[j][1]
-                inner = texts[k][start:end]
-                start += len(inner) - len(inner.lstrip("\"'<>,;:.!?=|"))
-                end -= len(inner) - len(inner.rstrip("\"'<>,;:.!?=|"))
-                free = all(end <= a or b <= start for a, _, b in base[k])
-                if start < end and free:
-                    out[k].append((start, int(tags[i]) - 1, end))
+            if tags[i] and free[i]:
+                out[k] += [(a, int(tags[i]) - 1, b) for a, b in _bare(texts[k], chain[i][0], chain[j][1])]
             i = j + 1
     return out
 
