@@ -65,6 +65,11 @@ def test_one_outcome_gives_a_constant_model(spark, tmp_path):
     assert (flat.kind, flat.const_class) == ("constant", 1)
 
 
+def test_unfinished_fits_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="still move after 1 rounds"):
+        md.fit_models(sample(spark), rounds=1)
+
+
 def test_separable_rows_still_give_a_model(spark):
     rows = [
         ("1", 6.5, 0.0, "v", 2.0, 1), ("2", 6.5, 0.0, "v", 6.0, 0), ("3", 6.5, 0.0, "v", 10.0, 1),

@@ -125,6 +125,8 @@ def fit_models(
     rows of the variables still moving, giving gradient and curvature sums, and
     one Newton step per variable. ``ridge`` weighs half the squared norm of the
     standardised coefficients against the mean log-loss; the intercept is free.
+    Only finished fits are returned: variables still moving after ``rounds`` are
+    an error.
     """
     names = [*covariate_columns(dataset), "TreatmentVal"]
     constants = constant_models(dataset)
@@ -139,7 +141,11 @@ def fit_models(
         moving = state.counts["moving"]
         done.append(state.table.where("converged"))
     if moving:
-        done.append(state.table.where("NOT converged"))
+        some = state.table.where("NOT converged").select("treatment_var").limit(5).collect()
+        raise RuntimeError(
+            f"{moving} variables still move after {rounds} rounds, among them "
+            f"{sorted(r.treatment_var for r in some)}; allow more rounds or a larger ridge"
+        )
     fitted = union_all(done)
     logistic = fitted.select(
         "treatment_var",
