@@ -28,5 +28,10 @@ def test_gives_rows(spark, name):
     assert queries()[name](spark, SF).count() > 0
 
 
+def test_forest_of_every_treatment(spark):
+    found = {r.treatment_var for r in queries()["fit_forest"](spark, SF).collect()}
+    assert found == {"quantity", "discount", "tax", "extendedprice"}
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["treatment_var", "score"]

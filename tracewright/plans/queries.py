@@ -292,7 +292,8 @@ def fit_models(spark, sf_dir):
 @query
 def fit_forest(spark, sf_dir):
     dataset = settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir)))
-    forests = md.fit_forest(dataset, ["quantity", "discount"], numTrees=5, maxDepth=4)
+    names = [r.treatment_var for r in md.treatment_vars(dataset).orderBy("treatment_var").collect()]
+    forests = md.fit_forest(dataset, names, numTrees=5, maxDepth=4)
     return cf.ranking(cf.suspiciousness(cf.score_forest(dataset, forests)))
 
 
