@@ -150,6 +150,20 @@ def test_substrings_against_all_windows(spark, bucket_rows):
     assert sorted(map(tuple, got.collect()), key=str) == removed(rows, 12)
 
 
+def test_few_texts_of_many_windows_are_a_large_bucket(spark, monkeypatch):
+    rows = [(i, "la " * 2000 + f"end{i}") for i in range(3)]
+    seen, plain = [], substrings._sorted_by_spark
+
+    def counted(packed, width):
+        seen.append(packed.count())
+        return plain(packed, width)
+
+    monkeypatch.setattr(substrings, "_sorted_by_spark", counted)
+    got = substrings.repeat_digests(docs_of(spark, rows), 12, 1000)
+    assert sorted(map(tuple, got.collect()), key=str) == removed(rows, 12)
+    assert seen[0] >= 3
+
+
 def test_removal_keeps_columns_and_white_space(spark):
     same = " ".join(f"p{i}" for i in range(20))
     docs = docs_of(spark, [(1, "a\n\n" + same), (2, "b\tc\n" + same + "\nend  here"), (3, same), (4, None)])

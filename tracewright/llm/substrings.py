@@ -22,7 +22,7 @@ from .text import batches, mix, only, word_hashes, words
 WIDTH = 50
 #: Words that a minimiser is made of.
 SEED_WORDS = 8
-#: Packed strings that one bucket sorts; the windows of greater ones are sorted by Spark instead.
+#: Windows that one bucket sorts; those of greater ones are sorted by Spark instead.
 BUCKET_ROWS = 50_000
 PART = re.compile(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)")
 
@@ -138,14 +138,20 @@ def _sorted_by_spark(packed: DataFrame, width: int) -> DataFrame:
     """The same for windows of large buckets, keyed each by its 128-bit digest: a bucket is then spread over all tasks."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*rows)] or [[]] * 4
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["window", "rid", "doc_id", "at"])
+
         for batch in batches(parts, 200):
             rows = []
             for rid, doc_id, start, text in zip(*[batch[c].to_pylist() for c in ("rid", "doc_id", "start", "packed")]):
                 for i, window in enumerate(_windows(text, width)):
                     rows.append((hashlib.blake2b(window.encode(), digest_size=16).digest(), rid, doc_id, start + i))
-            columns = [list(c) for c in zip(*rows)] or [[]] * 4
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["window", "rid", "doc_id", "at"])
+                if len(rows) >= BUCKET_ROWS:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
 
     each = settle(packed.mapInArrow(task, "window binary, rid bigint, doc_id bigint, at bigint"))
     first = settle(each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
@@ -187,7 +193,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, bucket_rows: int = BUCKET_ROWS)
     members = settle(members)
     runs = settle(_runs(rows.where("doc_id is not null"), width))
     runs = runs.join(members.where("copy").select("rid").distinct(), "rid", "left_anti")
-    minis = runs.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    minis = runs.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("size").alias("n"))
     minis = settle(minis.where("lo < hi").select("mini", (F.col("n") > bucket_rows).alias("large")))
     picks = (
         runs.join(minis, "mini")
