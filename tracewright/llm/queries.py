@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, language, ordinal, packing, pii, quality, sentencepieces, substrings, toxicity
+from . import (
+    ann,
+    collocations,
+    conversations,
+    decontamination,
+    jaccard,
+    language,
+    ordinal,
+    packing,
+    pii,
+    quality,
+    sentencepieces,
+    substrings,
+    toxicity,
+)
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -60,6 +74,19 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digests(_table(spark, sf_dir, "documents"), width=50)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(_table(spark, sf_dir, "conversations"))
+    return conversations.repair_digests(damaged, _table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ordinal,
         op9_pii,
         op10_substrings,
+        op11_collocations,
+        op12_leaks,
+        op13_conversations,
     )
 }
 

@@ -123,4 +123,76 @@ SELECT d.doc_id, coalesce(n_words, 0)::bigint AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN summed s ON s.doc_id = d.doc_id
 """
 
-SQL = {"op2_quality": QUALITY, "op10_substrings": SUBSTRINGS}
+CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), {CAPITALS}), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), spoken AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM spoken, (VALUES (1), (2), (3), (4)) AS widths(k)
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 30
+), places AS MATERIALIZED (
+  SELECT *, array_to_string(w[1:j], ' ') AS left_part, array_to_string(w[j + 1:], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates)
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.w, c.a, j, l.f AS l, r.f AS r, (2000000::hugeint * c.a) // (l.f::hugeint + r.f) AS score
+  FROM places c JOIN f l ON l.lang = c.lang AND l.phrase = c.left_part JOIN f r ON r.lang = c.lang AND r.phrase = c.right_part
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, unnest(flatten([[array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase
+    FROM candidates
+  ) GROUP BY lang, phrase
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.most IS NULL OR 100::hugeint * i.most < 80::hugeint * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score::bigint AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+BARE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+LEAKS = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {CAPITALS}), '{BARE}') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {CAPITALS}), '{BARE}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size,
+         unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(10, len(w)) + 2)]) AS text
+  FROM items WHERE len(w) > 0
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT r, size, unnest(range(1, len(w) - size + 2)) AS i,
+         unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS text
+  FROM d, sizes
+), found AS (
+  SELECT p.r, p.i, p.size, x.item_id FROM places p JOIN windows x ON x.text = p.text AND x.size = p.size
+), hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r
+), listed AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item_id::varchar AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+"""
+
+SQL = {"op2_quality": QUALITY, "op10_substrings": SUBSTRINGS, "op11_collocations": COLLOCATIONS, "op12_leaks": LEAKS}
