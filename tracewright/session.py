@@ -100,6 +100,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read any more, so that long jobs do not keep all of theirs on disk.
+
+    Results that are not computed yet must not read them: settle those first.
+    """
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/tracewright/" not in folder:
+                raise ValueError(f"{folder} is not a settled table")
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def partitioned_by(df: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
     """``df`` hash-partitioned and sorted by ``keys``, kept for the length of the block.
