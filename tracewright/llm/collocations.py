@@ -30,9 +30,9 @@ from .text import mix, only, text_bytes
 
 LONGEST = 4
 #: Suffixes that one group may hold: about 36 bytes each, and as much again to sort them.
-BUDGET = 1 << 20
+BUDGET = 1 << 19
 #: Text bytes that a task works on at once; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits for each frequent word in the filter that cuts suffixes at rare words, and the most that it has in all (8 MB).
 FILTER_SHARE, FILTER_BITS = 16, 1 << 26
 BUCKET_BITS = 1 << 15

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.joins import attach
-from ..session import settle
+from ..session import drop_settled, settle
 from .components import components
 from .text import ascii_lower, batches, grouped, only, shingles, word_hashes, words
 
@@ -337,11 +337,10 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
 
     # the most central set of each list: its tokens are those that most others have
     central = lists.groupBy("id").agg(F.sum("m").alias("score"))
-    scored = settle(lists.join(central, "id"))
+    scored = lists.select("id", "token").join(settle(central), "id")
     leaders = scored.groupBy("token").agg(F.max(F.struct(F.col("score"), -F.col("id"))).alias("best"))
     leaders = settle(leaders.select("token", (-F.col("best.col2")).alias("leader")))
-    led = scored.drop("score", "m").join(leaders, "token")
-    led = settle(led)
+    led = lists.drop("m").join(leaders, "token")
     members = lists.select("id").distinct()
     sets = settle(_full_sets(attach(rows, members, ["id"], "left_semi"), width))
 
@@ -369,6 +368,7 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
         (own | F.coalesce("near", F.lit(False))).alias("near"),
     )
     met = settle(met)
+    drop_settled(lists, leaders, bounded, known)
     rest = _left_over(met, percent)
     done = exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = settle(_bounded(rest.join(done, ["a", "b"], "left_anti"), sets)).where(_linked(percent, "most")).select("a", "b")

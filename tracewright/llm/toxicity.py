@@ -67,8 +67,10 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
 
 def _fit(table: pa.Table) -> pa.Table:
     values, offsets = ragged(table["w"].combine_chunks())
-    feature, owner = distinct(*features(values, offsets))
-    rows = np.split(feature, np.searchsorted(owner, np.arange(1, len(offsets) - 1)))
+    rows = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        found, owner = features(values[a:b], np.array([0, b - a]))
+        rows.append(distinct(found, owner)[0].astype(np.int32))
     w, bias = ftrl(rows, table["label"].to_numpy().astype(float))
     at = np.flatnonzero(w)
     return pa.table({"feature": pa.array(np.append(at, -1)), "weight": pa.array(np.append(w[at], bias))})
