@@ -10,6 +10,8 @@ from ..functions.text import args_string
 from ..operators.assignments import append_outcomes
 from ..operators.graphs import union_all
 from ..operators.models import CONSTANT, LOGISTIC, MODEL_SCHEMA
+from ..operators.ranks import running_total
+from ..session import settle
 from ..sources.parents import PARENTS_SCHEMA
 
 # Order of a record made from one order row; see ``order_records``.
@@ -74,6 +76,22 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append_outcomes(lines, user_status(spark, sf_dir))
 
 
+def log_deliveries(spark: SparkSession, sf_dir: str, deliveries: int = 3, sources: int = 4) -> DataFrame:
+    """``(delivery, source, pos, line)``: the trace as log lines of several sources, delivered in equal parts.
+
+    A source writes its runs one after the other, each closed by the separator; a delivery ends wherever it does.
+    """
+    rows = trace(spark, sf_dir).select("run_id", "seq", "line", F.lit(0).alias("closing"))
+    closing = rows.groupBy("run_id").agg(F.max("seq").alias("seq")).select(
+        "run_id", "seq", F.lit(fixed.SEPARATOR_LINE).alias("line"), F.lit(1).alias("closing")
+    )
+    lines = settle(rows.unionByName(closing).withColumn("source", F.pmod("run_id", F.lit(sources))))
+    placed = running_total(lines, ["source"], ["run_id", "seq", "closing"], out="pos")
+    totals = lines.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    cut = F.expr(f"int((pos - 1) * {deliveries} div n)").alias("delivery")
+    return placed.join(F.broadcast(totals), "source").select(cut, "source", "pos", "line")
+
+
 def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four treatments per order line, each with the other three as covariates."""
     orders = table(spark, sf_dir, "orders").select(

@@ -66,6 +66,13 @@ assignments AS (
   FROM trace
   WHERE instr(line, '=') > 0 AND NOT starts_with({_trim('line')}, '-----'))"""
 
+#: Runs as four sources log them: numbered by source, lines counted from 1.
+LIVE_TRACE = TRACE.replace("trace AS (", "whole AS (") + """,
+trace AS (
+  SELECT (run_id % 4) || '-' || (dense_rank() OVER (PARTITION BY run_id % 4 ORDER BY run_id) - 1) AS run_id,
+         row_number() OVER (PARTITION BY run_id ORDER BY seq) AS seq, line
+  FROM whole)"""
+
 CORE = "NOT starts_with(var, 'temp') AND NOT ends_with(var, '_debug')"
 
 LAST = """
@@ -93,6 +100,14 @@ outcomes AS (
          AS outcome
   FROM (SELECT DISTINCT run_id FROM trace) r LEFT JOIN outcome_lines o USING (run_id))"""
 
+RECORD_ROWS = f"""SELECT l.run_id, l.first_seq, CAST(l.run_id AS VARCHAR) AS "TestArgs",
+  coalesce(b.bag, '') AS "Covariates", l.var AS "TreatmentVar", l.value AS "TreatmentVal",
+  CAST(o.outcome AS VARCHAR) AS "Outcome"
+FROM last_values l JOIN outcomes o ON o.run_id = l.run_id
+LEFT JOIN (SELECT run_id, var, string_agg(parent || '=' || value, ';' ORDER BY pos) AS bag
+           FROM lookup GROUP BY run_id, var) b ON b.run_id = l.run_id AND b.var = l.var
+WHERE {CORE.replace('var', 'l.var')}"""
+
 # --- records --------------------------------------------------------------------------
 
 RECORDS = """
@@ -462,14 +477,10 @@ def oracle_sql() -> dict[str, str]:
         "final_assignments": _with(*trace, LAST) + f"SELECT * FROM last_values WHERE {CORE}",
         "covariate_lookup": _with(*trace, LAST, PARENTS, LOOKUP) + "SELECT * FROM lookup",
         "run_outcomes": _with(TRACE, OUTCOMES) + "SELECT * FROM outcomes",
-        "execution_records": _with(*trace, LAST, PARENTS, LOOKUP, OUTCOMES)
-        + f"""SELECT l.run_id, l.first_seq, CAST(l.run_id AS VARCHAR) AS "TestArgs",
-  coalesce(b.bag, '') AS "Covariates", l.var AS "TreatmentVar", l.value AS "TreatmentVal",
-  CAST(o.outcome AS VARCHAR) AS "Outcome"
-FROM last_values l JOIN outcomes o ON o.run_id = l.run_id
-LEFT JOIN (SELECT run_id, var, string_agg(parent || '=' || value, ';' ORDER BY pos) AS bag
-           FROM lookup GROUP BY run_id, var) b ON b.run_id = l.run_id AND b.var = l.var
-WHERE {CORE.replace('var', 'l.var')}""",
+        "execution_records": _with(*trace, LAST, PARENTS, LOOKUP, OUTCOMES) + RECORD_ROWS,
+        "live_runs": _with(LIVE_TRACE, ASSIGNMENTS, LAST, PARENTS, LOOKUP, OUTCOMES) + RECORD_ROWS,
+        "live_last_values": _with(*trace)
+        + "SELECT run_id, var, arg_max(value, seq) AS value, max(seq) AS seq FROM assignments GROUP BY run_id, var",
         "assignment_versions": _with(*trace)
         + "SELECT *, var || '_' || version AS versioned FROM (SELECT *, row_number() OVER "
         "(PARTITION BY run_id, var ORDER BY seq) AS version FROM assignments)",

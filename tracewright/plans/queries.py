@@ -21,6 +21,8 @@ from ..sources import inputs as rnd
 from ..sources import parents as src_parents
 from ..sources import records as src_records
 from ..sources import traces as src_traces
+from ..sources.upserts import UpsertTable
+from ..streaming import live, runs
 from . import inputs, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +80,35 @@ def execution_records(spark, sf_dir):
     return asg.execution_records(inputs.trace(spark, sf_dir), inputs.parents(spark))
 
 
+@query
+def live_runs(spark, sf_dir):
+    """Records of runs whose logs arrive in three deliveries that cut runs anywhere."""
+    landing, out, checkpoint = (scratch_path(spark) for _ in range(3))
+    lines = settle(inputs.log_deliveries(spark, sf_dir))
+    for delivery in range(3):
+        arrived = lines.where(F.col("delivery") == delivery).repartitionByRange("source", "pos")
+        arrived.sortWithinPartitions("source", "pos").select("source", "line").write.partitionBy("source").text(
+            f"{landing}/{delivery}"
+        )
+        stream = runs.read_log_files(spark, landing)
+        runs.append_live_runs(stream, inputs.parents(spark), out, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{out}/finished").drop("batch_id")
+
+
+@query
+def live_last_values(spark, sf_dir):
+    """Last values of a trace that arrives in three deliveries; the last batch is merged a second time."""
+    landing, path, checkpoint = (scratch_path(spark) for _ in range(3))
+    trace = settle(inputs.trace(spark, sf_dir))
+    table = UpsertTable(spark, path, ["run_id", "var"], live.LAST_VALUES)
+    for delivery in range(3):
+        arrived = trace.where(F.pmod(F.xxhash64("run_id", "seq"), F.lit(3)) == delivery)
+        arrived.write.mode("append").json(landing)
+        live.upsert_last_values(live.read_live_trace(spark, landing), table, checkpoint).awaitTermination()
+    table.upsert(table.read().withColumn("value", F.lit("merged twice")), table.versions()[-1])
+    return table.read()
+
+
 @query
 def assignment_versions(spark, sf_dir):
     return asg.assignment_versions(asg.parse_assignments(inputs.trace(spark, sf_dir)))

@@ -8,6 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.assignments import execution_records, parse_assignments
 from ..sources.traces import TRACE_SCHEMA, split_runs
+from ..sources.upserts import UpsertTable
+
+
+LAST_VALUES = "run_id bigint, var string, value string, seq bigint"
 
 
 def read_live_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +28,27 @@ def running_last_values(trace: DataFrame) -> DataFrame:
     )
 
 
+def upsert_last_values(trace: DataFrame, table: UpsertTable, checkpoint: str) -> StreamingQuery:
+    """Keep ``table`` (``run_id, var, value, seq`` by run and variable) at the last values of a streamed trace.
+
+    Only values that changed are merged; a batch that is run again after a failure leaves the table as it is.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if not table.upsert(batch, batch_id):
+            # the batch's state is committed only if its rows are computed
+            batch.write.format("noop").mode("overwrite").save()
+
+    return (
+        running_last_values(trace)
+        .writeStream.outputMode("update")
+        .foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_finished_runs(
     spark: SparkSession, logs: str, parents: DataFrame, out: str, checkpoint: str
 ) -> StreamingQuery:
