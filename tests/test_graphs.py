@@ -103,11 +103,21 @@ def expected_pairs(graphs, backward):
     return pairs, lost
 
 
+#: All graphs in tasks, and the larger ones by rounds over tables.
+WAYS = pytest.mark.parametrize("graph_rows", [200_000, 12])
+
+
+@WAYS
 @pytest.mark.parametrize("backward", [False, True])
-def test_dominance_on_random_graphs(spark, backward):
+def test_dominance_on_random_graphs(spark, backward, graph_rows):
     graphs = random_graphs(150, seed=11 + backward)
     nodes, edges = frames(spark, graphs)
-    got = dom.postdominators(nodes, edges) if backward else dom.dominators(edges, starts_of(nodes))
+    if backward:
+        got = dom.postdominators(nodes, edges, graph_rows)
+        tree = dom.postdominance_tree(nodes, edges, graph_rows)
+    else:
+        got = dom.dominators(edges, starts_of(nodes), graph_rows)
+        tree = dom.dominance_tree(edges, starts_of(nodes), graph_rows)
     pairs, lost = expected_pairs(graphs, backward)
     assert rows(got, "graph_id", "node", "dom") == pairs
     assert rows(dom.unreached(nodes, got), "graph_id", "node") == lost
@@ -122,6 +132,7 @@ def test_dominance_on_random_graphs(spark, backward):
         )
     idoms = {(r.graph_id, r.node): r.idom for r in dom.immediate(nodes, got).collect()}
     assert idoms == {(g, n): closest.get((g, n)) for g, (ls, _) in graphs.items() for n in ls}
+    assert {(r.graph_id, r.node, r.idom) for r in tree.collect()} == {(g, n, closest.get((g, n))) for g, n, _ in pairs}
 
 
 def walked_dependence(labels, edges):
@@ -161,17 +172,19 @@ def walked_dependence(labels, edges):
     return found | {(start, n) for n in part if n != start and n not in covered}
 
 
-def test_control_dependence_on_random_graphs(spark):
+@WAYS
+def test_control_dependence_on_random_graphs(spark, graph_rows):
     graphs = random_graphs(150, seed=5)
     nodes, edges = frames(spark, graphs)
     expected = {
         (g, c, d) for g, (labels, es) in graphs.items() for c, d in walked_dependence(labels, es)
     }
-    got = dom.control_dependence(nodes, edges)
+    got = dom.control_dependence(nodes, edges, graph_rows)
     assert rows(got, "graph_id", "controller", "dependent") == expected
 
 
-def test_reaching_definitions_on_random_graphs(spark):
+@WAYS
+def test_reaching_definitions_on_random_graphs(spark, graph_rows):
     graphs = random_graphs(100, seed=8)
     nodes, edges = frames(spark, graphs)
     made = {"x_1 = y_2": {("x", 1), ("y", 2)}, "x_3 = x_1": {("x", 3), ("x", 1)}}
@@ -190,7 +203,7 @@ def test_reaching_definitions_on_random_graphs(spark):
                 if new != out[n]:
                     out[n], changed = new, True
         expected |= {(g, n, v, k) for n in labels for v, k in out[n]}
-    got = defs.reaching_definitions(nodes, edges)
+    got = defs.reaching_definitions(nodes, edges, graph_rows)
     assert rows(got, "graph_id", "node", "var", "version") == expected
 
 
@@ -241,12 +254,35 @@ def test_known_graphs_in_one_job(spark):
 
 def test_long_chain_compacts_between_rounds(spark):
     nodes, edges = frames(spark, {"long": LONG})
-    pairs = dom.dominators(edges, starts_of(nodes))
+    pairs = dom.dominators(edges, starts_of(nodes), graph_rows=0)
     assert pairs.count() == 40 * 41 // 2
-    got = gr.reachable(edges, starts_of(nodes))
+    got = gr.reachable(edges, starts_of(nodes), graph_rows=0)
     assert got.count() == got.distinct().count() == 40
 
 
+def test_deep_graphs_need_no_rounds(spark):
+    n = 3000
+    names = {f"n{i}": START if not i else END if i == n - 1 else "a" for i in range(n)}
+    links = [(f"n{i}", f"n{i + 1}") for i in range(n - 1)]
+    back = [(f"n{i}", f"n{i - i % 50}") for i in range(n) if i % 7 == 3]
+    nodes, edges = frames(spark, {"deep": (names, links + back), "short": LINEAR})
+    tree = {(r.graph_id, r.node): r.idom for r in dom.dominance_tree(edges, starts_of(nodes)).collect()}
+    assert tree == {("deep", f"n{i}"): f"n{i - 1}" if i else None for i in range(n)} | {
+        ("short", "1"): None,
+        ("short", "2"): "1",
+        ("short", "3"): "2",
+    }
+    assert gr.reachable(edges, starts_of(nodes)).count() == n + 3
+
+
+def test_reachable_from_several_starts(spark):
+    graphs = random_graphs(60, seed=21)
+    nodes, edges = frames(spark, graphs)
+    starts = nodes.where("ord % 3 = 1").select("graph_id", "node")
+    found = [rows(gr.reachable(edges, starts, r), "graph_id", "node") for r in (200_000, 8, 0)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_empty_graph(spark):
     nodes, edges = frames(spark, {})
     assert dom.control_dependence(nodes, edges).count() == 0

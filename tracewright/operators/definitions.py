@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import base_name, name_version
 from ..session import partitioned_by, settle
+from .graph_tasks import GRAPH_ROWS, each_graph, holding, of_graphs, split_graphs
 from .graphs import NODE, SOURCE, edges_distinct, grow
 
 DEFINITION = [*NODE, "var", "version"]
@@ -35,13 +36,31 @@ def gen_kill(nodes: DataFrame) -> DataFrame:
     )
 
 
-def reaching_definitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def reaching_definitions(nodes: DataFrame, edges: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
     """``(graph_id, node, var, version)`` that hold after each node.
 
     A node passes on what reaches it, without versions below the largest it
-    makes of the same variable, and adds its own.
+    makes of the same variable, and adds its own. Graphs of more than ``graph_rows`` edges and
+    definitions are worked on by rounds over tables.
     """
-    made = settle(label_versions(nodes))
+    made = label_versions(nodes)
+    nothing = F.lit(None)
+    rows = edges_distinct(edges).select(
+        "graph_id", "src", "dst", nothing.cast("string").alias("var"), nothing.cast("bigint").alias("version")
+    )
+    definitions = made.select("graph_id", nothing.cast("string").alias("src"), F.col("node").alias("dst"), "var", "version")
+    # a version too long to count is no version
+    rows = settle(rows.unionByName(definitions.where(F.col("version").isNotNull())))
+    small, large = split_graphs(rows, graph_rows)
+    found = each_graph(small, holding, "node string, var string, version bigint")
+    if large is None:
+        return found
+    return found.unionByName(_table_reaching(of_graphs(nodes, large), of_graphs(edges, large)))
+
+
+def _table_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``reaching_definitions`` by rounds over tables."""
+    made = settle(label_versions(nodes).where(F.col("version").isNotNull()))
     bounds = settle(made.groupBy(*NODE, "var").agg(F.max("version").alias("bound")))
     with partitioned_by(settle(edges_distinct(edges)), SOURCE) as links:
 

@@ -1,5 +1,7 @@
 """Dominators and postdominators.
 
+Graphs that fit in a task are worked on whole (``graph_tasks``); what follows holds for larger ones.
+
 A node's dominators lie on every path from the root, so those found along one
 breadth-first path are a complete set of candidates: rows grow with nodes times
 depth, not with all pairs of nodes. Candidates that some predecessor lacks are
@@ -18,13 +20,51 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import partitioned_by, settle, settle_measured
+from .graph_tasks import (
+    GRAPH_ROWS,
+    control_pairs,
+    dominator_pairs,
+    each_graph,
+    of_graphs,
+    parents_of,
+    reached,
+    split_graphs,
+)
 from .graphs import COMPACT_EVERY, NODE, SOURCE, edges_distinct, grow, union_all
 
 PAIR = ["graph_id", "node", "dom"]
 
 
-def _dominance(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _tree_rows(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges, and roots as edges from nowhere, in one settled table."""
+    nowhere = F.lit(None).cast("string").alias("src")
+    return settle(
+        edges_distinct(edges).unionByName(roots.select("graph_id", nowhere, F.col("node").alias("dst")).distinct())
+    )
+
+
+def _dominance(edges: DataFrame, roots: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
     """Pairs of the nodes reached from ``roots``; edges into a root do not count."""
+    small, large = split_graphs(_tree_rows(edges, roots), graph_rows)
+    pairs = each_graph(small, dominator_pairs, "node string, dom string")
+    if large is None:
+        return pairs
+    return pairs.unionByName(_table_dominance(of_graphs(edges, large), of_graphs(roots, large)))
+
+
+def dominance_tree(edges: DataFrame, roots: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
+    """``(graph_id, node, idom)`` of the nodes reached from ``roots``, NULL for those, without a table of pairs
+    for graphs of up to ``graph_rows`` rows."""
+    small, large = split_graphs(_tree_rows(edges, roots), graph_rows)
+    tree = each_graph(small, parents_of, "node string, idom string")
+    if large is None:
+        return tree
+    pairs = settle(_table_dominance(of_graphs(edges, large), of_graphs(roots, large)))
+    return tree.unionByName(immediate(pairs.select(*NODE).distinct(), pairs))
+
+
+def _table_dominance(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``_dominance`` by rounds over tables."""
     roots = settle(roots.select(*NODE).distinct())
     links = settle(
         edges_distinct(edges).join(
@@ -98,9 +138,12 @@ def unreached(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select(*NODE).join(reached, NODE, "left_anti")
 
 
-def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(graph_id, node, dom)`` for every node reached from the graph's entry."""
-    return _dominance(edges, entries)
+def dominators(edges: DataFrame, entries: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
+    """``(graph_id, node, dom)`` for every node reached from the graph's entry.
+
+    Graphs of more than ``graph_rows`` edges and entries are worked on by rounds over tables.
+    """
+    return _dominance(edges, entries, graph_rows)
 
 
 def immediate(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -155,12 +198,22 @@ def graphs_without_exit(nodes: DataFrame) -> DataFrame:
     return nodes.select("graph_id").distinct().join(exits(nodes), "graph_id", "left_anti")
 
 
-def postdominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def postdominators(nodes: DataFrame, edges: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
     """``(graph_id, node, dom)`` with ``dom`` a postdominator of ``node``.
 
     Roots are the exit, whose own successors do not count, and every node
     without successors. Graphs without an exit give no rows.
     """
+    return _dominance(*_backward(nodes, edges), graph_rows)
+
+
+def postdominance_tree(nodes: DataFrame, edges: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
+    """``(graph_id, node, idom)`` of the nodes that :func:`postdominators` has rows for, without its pairs."""
+    return dominance_tree(*_backward(nodes, edges), graph_rows)
+
+
+def _backward(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges turned round, and the ends of each graph that has an exit."""
     ends = settle(exits(nodes))
     ended = nodes.join(ends.select("graph_id"), "graph_id", "left_semi").select(*NODE)
     sources = edges.select("graph_id", F.col("src").alias("node")).distinct()
@@ -168,7 +221,7 @@ def postdominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     backward = edges.join(ends.select("graph_id"), "graph_id", "left_semi").select(
         "graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")
     )
-    return _dominance(backward, sinks)
+    return backward, sinks
 
 
 def immediate_postdominators(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -176,40 +229,34 @@ def immediate_postdominators(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return immediate(nodes, pairs)
 
 
-def control_dependence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def control_dependence(nodes: DataFrame, edges: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
     """``(graph_id, controller, dependent)`` over all methods of each graph.
 
     Each method is the part of the graph reachable from its start. A branch X
     with successor Y controls the nodes met when walking from Y up the immediate
     postdominators, before X or X's own immediate postdominator. These are
-    exactly the postdominators of Y that do not postdominate X, so one anti join
-    replaces the walk. A loop condition also controls the successor that is its
+    exactly the postdominators of Y that do not postdominate X. A loop condition also controls the successor that is its
     immediate postdominator. Nodes left without a controller hang under the
     method start.
     """
-    parts, links = _methods(nodes, edges)
-    pairs = settle(postdominators(parts, links))
+    parts, links = _methods(nodes, edges, graph_rows)
     ended = settle(exits(parts).select("graph_id"))
     parts = parts.join(ended, "graph_id", "left_semi")
-    links = links.join(ended, "graph_id", "left_semi")
+    links = settle(links.join(ended, "graph_id", "left_semi"))
 
     fan = links.groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("n"))
     branches = links.join(fan.where("n >= 2"), ["graph_id", "src"]).drop("n")
-
-    # nodes of endless loops have no pairs; they still postdominate themselves
-    alone = unreached(parts, pairs).withColumn("dom", F.col("node"))
-    chains = pairs.unionByName(alone)
-    walked = branches.join(chains.withColumnRenamed("node", "dst"), ["graph_id", "dst"]).select(
-        "graph_id", F.col("src").alias("controller"), F.col("dom").alias("dependent")
-    )
-    above = chains.select(
-        "graph_id", F.col("node").alias("controller"), F.col("dom").alias("dependent")
-    )
-    walked = walked.join(above, ["graph_id", "controller", "dependent"], "left_anti")
+    small, large = split_graphs(_tree_rows(*_backward(parts, links)), graph_rows)
+    walked = each_graph(small, control_pairs, "controller string, dependent string")
+    trees = each_graph(small, parents_of, "node string, idom string")
+    if large is not None:
+        pairs = settle(_table_dominance(*_backward(of_graphs(parts, large), of_graphs(links, large))))
+        walked = walked.unionByName(_table_walks(of_graphs(parts, large), of_graphs(branches, large), pairs))
+        trees = trees.unionByName(immediate(pairs.select(*NODE).distinct(), pairs))
 
     loops = parts.where(F.col("label").startswith(fixed.LOOP_CONDITION)).select(*NODE)
     closing = (
-        immediate_postdominators(loops, pairs)
+        trees.join(loops, NODE, "left_semi")
         .where(F.col("idom").isNotNull())
         .select("graph_id", F.col("node").alias("src"), F.col("idom").alias("dst"))
         .join(branches, ["graph_id", "src", "dst"], "left_semi")
@@ -231,26 +278,26 @@ def control_dependence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _methods(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _table_walks(parts: DataFrame, branches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(graph_id, controller, dependent)`` of the walks, by one anti join of postdominator pairs."""
+    # nodes of endless loops have no pairs; they still postdominate themselves
+    alone = unreached(parts, pairs).withColumn("dom", F.col("node"))
+    chains = pairs.unionByName(alone)
+    walked = branches.join(chains.withColumnRenamed("node", "dst"), ["graph_id", "dst"]).select(
+        "graph_id", F.col("src").alias("controller"), F.col("dom").alias("dependent")
+    )
+    above = chains.select(
+        "graph_id", F.col("node").alias("controller"), F.col("dom").alias("dependent")
+    )
+    return walked.join(above, ["graph_id", "controller", "dependent"], "left_anti").distinct()
+
+
+def _methods(nodes: DataFrame, edges: DataFrame, graph_rows: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of each method, keyed by graph and method start."""
     starts = nodes.where(F.col("label").startswith(fixed.METHOD_START)).select(*NODE)
     links = edges_distinct(edges)
-    begun = starts.select(
-        F.struct(F.col("graph_id").alias("graph"), F.col("node").alias("start")).alias("graph_id"),
-        "node",
-    )
-
+    members = settle(_members(starts, links, graph_rows))
     ours = settle(links.withColumnRenamed("graph_id", "g"))
-    with partitioned_by(ours, ["g", "src"]) as kept:
-
-        def step(newest: DataFrame) -> DataFrame:
-            return (
-                newest.select("graph_id", F.col("graph_id.graph").alias("g"), F.col("node").alias("src"))
-                .join(kept, ["g", "src"])
-                .select("graph_id", F.col("dst").alias("node"))
-            )
-
-        members = settle(grow(begun, step, NODE))
     parts = settle(
         members.withColumn("g", F.col("graph_id.graph"))
         .join(
@@ -263,3 +310,24 @@ def _methods(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         "graph_id", F.col("graph_id.graph").alias("g"), F.col("node").alias("src")
     ).join(ours, ["g", "src"])
     return parts, settle(inside.select("graph_id", "src", "dst"))
+
+
+def _members(starts: DataFrame, links: DataFrame, graph_rows: int) -> DataFrame:
+    """``(graph_id, node)`` of what each start leads to, ``graph_id`` being graph and start."""
+    key = F.struct(F.col("graph_id").alias("graph"), F.col("start")).alias("graph_id")
+    small, large = split_graphs(_tree_rows(links, starts), graph_rows)
+    members = each_graph(small, reached, "start string, node string").select(key, "node")
+    if large is None:
+        return members
+    ours = settle(of_graphs(links, large).withColumnRenamed("graph_id", "g"))
+    begun = of_graphs(starts, large).withColumn("start", F.col("node")).select(key, "node")
+    with partitioned_by(ours, ["g", "src"]) as kept:
+
+        def step(newest: DataFrame) -> DataFrame:
+            return (
+                newest.select("graph_id", F.col("graph_id.graph").alias("g"), F.col("node").alias("src"))
+                .join(kept, ["g", "src"])
+                .select("graph_id", F.col("dst").alias("node"))
+            )
+
+        return members.unionByName(settle(grow(begun, step, NODE)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import escape_dot, normalise_label, trim_control
 from ..session import partitioned_by, settle, settle_measured
+from .graph_tasks import GRAPH_ROWS, each_graph, of_graphs, reached_by_any, split_graphs
 
 NODE = ["graph_id", "node"]
 SOURCE = ["graph_id", "src"]
@@ -164,8 +165,21 @@ def grow(seeds: DataFrame, step, keys: list[str]) -> DataFrame:
     return union_all(parts)
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(graph_id, node)`` reachable from ``starts``, the starts included."""
+def reachable(edges: DataFrame, starts: DataFrame, graph_rows: int = GRAPH_ROWS) -> DataFrame:
+    """``(graph_id, node)`` reachable from ``starts``, the starts included.
+
+    Graphs of more than ``graph_rows`` edges and starts are worked on by rounds over tables.
+    """
+    nowhere = F.lit(None).cast("string").alias("src")
+    begun = starts.select("graph_id", nowhere, F.col("node").alias("dst")).distinct()
+    small, large = split_graphs(settle(edges_distinct(edges).unionByName(begun)), graph_rows)
+    found = each_graph(small, reached_by_any, "node string")
+    if large is None:
+        return found
+    return found.unionByName(_table_reachable(of_graphs(edges, large), of_graphs(starts, large)))
+
+
+def _table_reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     with partitioned_by(settle(edges_distinct(edges)), SOURCE) as links:
 
         def step(newest: DataFrame) -> DataFrame:

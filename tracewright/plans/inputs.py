@@ -245,6 +245,35 @@ def session_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_graphs(spark: SparkSession, sf_dir: str, size: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of graphs that are a chain of ``size`` events each, with ways round and back.
+
+    The fourth of every ten nodes also leads to the eighth, errors back to the first of their ten and refunds
+    to the first of their hundred.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "event_type").withColumn("p", F.col("event_id") % size)
+    graph = F.floor(F.col("event_id") / size).cast("string").alias("graph_id")
+    last = events.agg(F.max("event_id")).first()[0]
+    ends = (F.col("p") == size - 1) | (F.col("event_id") == last)
+    label = (
+        F.when(F.col("p") == 0, F.lit(f"{fixed.METHOD_START} main"))
+        .when(ends, F.lit(f"{fixed.METHOD_END} main"))
+        .otherwise(F.col("event_type"))
+    )
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    nodes = events.select(graph, name.alias("node"), label.alias("label"), F.col("p").cast("int").alias("ord"))
+    kind = F.col("event_type")
+    steps = F.array(
+        F.when(~ends, F.lit(1)),
+        F.when((F.col("p") % 10 == 3) & (F.col("p") + 4 < size) & (F.col("event_id") + 4 <= last), F.lit(4)),
+        F.when((kind == "error") & (F.col("p") % 10 > 0), -(F.col("p") % 10)),
+        F.when((kind == "refund") & (F.col("p") % 100 > 0), -(F.col("p") % 100)),
+    )
+    ways = events.select(graph, name.alias("src"), "event_id", F.explode(F.array_compact(steps)).alias("step"))
+    target = F.concat(F.lit("e"), (F.col("event_id") + F.col("step")).cast("string"))
+    return nodes, ways.select("graph_id", "src", target.alias("dst"))
+
+
 def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session nodes with two more methods per graph; one of them is never called."""
     nodes = session_nodes(spark, sf_dir)

@@ -108,6 +108,39 @@ LEFT JOIN (SELECT run_id, var, string_agg(parent || '=' || value, ';' ORDER BY p
            FROM lookup GROUP BY run_id, var) b ON b.run_id = l.run_id AND b.var = l.var
 WHERE {CORE.replace('var', 'l.var')}"""
 
+# --- deep graphs: what follows from how their edges are laid ---------------------------
+
+DEEP = """
+placed AS (
+  SELECT event_id, event_type, p, graph_id,
+         least(999, (SELECT max(event_id) FROM events) - (event_id - p)) AS final
+  FROM (SELECT event_id, event_type, event_id % 1000 AS p, CAST(event_id // 1000 AS VARCHAR) AS graph_id FROM events)),
+ways AS (
+  SELECT graph_id, p, p + 1 AS q FROM placed WHERE p < final
+  UNION SELECT graph_id, p, p + 4 FROM placed WHERE p % 10 = 3 AND p + 4 <= final
+  UNION SELECT graph_id, p, p - p % 10 FROM placed WHERE event_type = 'error' AND p % 10 > 0
+  UNION SELECT graph_id, p, p - p % 100 FROM placed WHERE event_type = 'refund' AND p % 100 > 0),
+after AS (
+  SELECT graph_id, event_id, p, CASE
+           WHEN p = final THEN NULL
+           WHEN p - p % 10 + 7 <= final AND (p % 10 = 3 OR p % 10 IN (4, 5, 6) AND event_type IN ('error', 'refund'))
+             THEN p - p % 10 + 7
+           ELSE p + 1 END AS next
+  FROM placed)"""
+
+DEEP_WALKS = """
+branches AS (
+  SELECT graph_id, p FROM ways GROUP BY graph_id, p HAVING count(*) > 1),
+walks AS (
+  SELECT w.graph_id, w.p, w.q AS place, a.next AS until
+  FROM ways w JOIN branches USING (graph_id, p) JOIN after a USING (graph_id, p)
+  WHERE w.q <> a.next
+  UNION
+  SELECT w.graph_id, w.p, a.next, w.until
+  FROM walks w JOIN after a ON a.graph_id = w.graph_id AND a.p = w.place
+  WHERE a.next <> w.until AND a.next <> w.p),
+controlled AS (SELECT DISTINCT graph_id, p, place FROM walks)"""
+
 # --- records --------------------------------------------------------------------------
 
 RECORDS = """
@@ -478,6 +511,17 @@ def oracle_sql() -> dict[str, str]:
         "covariate_lookup": _with(*trace, LAST, PARENTS, LOOKUP) + "SELECT * FROM lookup",
         "run_outcomes": _with(TRACE, OUTCOMES) + "SELECT * FROM outcomes",
         "execution_records": _with(*trace, LAST, PARENTS, LOOKUP, OUTCOMES) + RECORD_ROWS,
+        "deep_dominator_tree": _with(DEEP)
+        + "SELECT graph_id, 'e' || event_id AS node, CASE WHEN p = 0 THEN NULL WHEN p % 10 = 7 THEN 'e' || (event_id - 4) "
+        "ELSE 'e' || (event_id - 1) END AS idom FROM placed",
+        "deep_postdominator_tree": _with(DEEP)
+        + "SELECT graph_id, 'e' || event_id AS node, 'e' || (event_id - p + next) AS idom FROM after",
+        "deep_control_dependence": _with(DEEP, DEEP_WALKS, recursive=True)
+        + """SELECT graph_id, 'e' || (CAST(graph_id AS BIGINT) * 1000 + p) AS controller,
+  'e' || (CAST(graph_id AS BIGINT) * 1000 + place) AS dependent FROM controlled
+UNION ALL
+SELECT graph_id, 'e' || (event_id - p), 'e' || event_id FROM placed
+WHERE p > 0 AND NOT EXISTS (SELECT 1 FROM controlled c WHERE c.graph_id = placed.graph_id AND c.place = placed.p)""",
         "live_runs": _with(LIVE_TRACE, ASSIGNMENTS, LAST, PARENTS, LOOKUP, OUTCOMES) + RECORD_ROWS,
         "live_last_values": _with(*trace)
         + "SELECT run_id, var, arg_max(value, seq) AS value, max(seq) AS seq FROM assignments GROUP BY run_id, var",

@@ -498,14 +498,20 @@ def dominators(spark, sf_dir):
     return _dominators(spark, sf_dir)[1]
 
 
+def _immediate_dominators(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    tree = dom.dominance_tree(edges, inputs.session_starts(nodes))
+    return nodes.select("graph_id", "node").join(tree, ["graph_id", "node"], "left")
+
+
 @query
 def immediate_dominators(spark, sf_dir):
-    return dom.immediate_dominators(*_dominators(spark, sf_dir))
+    return _immediate_dominators(spark, sf_dir)
 
 
 @query
 def dominator_tree(spark, sf_dir):
-    return dom.dominator_tree(dom.immediate_dominators(*_dominators(spark, sf_dir)))
+    return dom.dominator_tree(_immediate_dominators(spark, sf_dir))
 
 
 @query
@@ -521,7 +527,8 @@ def postdominators(spark, sf_dir):
 @query
 def immediate_postdominators(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return dom.immediate_postdominators(nodes, settle(dom.postdominators(nodes, edges)))
+    tree = dom.postdominance_tree(nodes, edges)
+    return nodes.select("graph_id", "node").join(tree, ["graph_id", "node"], "left")
 
 
 @query
@@ -529,6 +536,28 @@ def control_dependence(spark, sf_dir):
     return dom.control_dependence(*_graph(spark, sf_dir))
 
 
+def _deep(spark, sf_dir):
+    nodes, edges = inputs.deep_graphs(spark, sf_dir)
+    return settle(nodes), settle(edges)
+
+
+@query
+def deep_dominator_tree(spark, sf_dir):
+    """Immediate dominators in graphs of a thousand nodes in a chain, with back edges."""
+    nodes, edges = _deep(spark, sf_dir)
+    return dom.dominance_tree(edges, inputs.session_starts(nodes))
+
+
+@query
+def deep_postdominator_tree(spark, sf_dir):
+    return dom.postdominance_tree(*_deep(spark, sf_dir))
+
+
+@query
+def deep_control_dependence(spark, sf_dir):
+    return dom.control_dependence(*_deep(spark, sf_dir))
+
+
 @query
 def label_versions(spark, sf_dir):
     return defs.label_versions(inputs.session_nodes(spark, sf_dir))
