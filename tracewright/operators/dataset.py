@@ -147,50 +147,58 @@ def treatment_types(records: DataFrame) -> DataFrame:
     )
 
 
+def variable() -> Column:
+    """The variable as a key that is never NULL itself, so that records without a variable are one variable's."""
+    return F.struct("TreatmentVar")
+
+
 def treatment_codes(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
-    """``(TreatmentVar, TreatmentVal, code)`` of the categorical treatment variables."""
-    categorical = types.table.where(~F.col("is_numeric")).select("TreatmentVar")
+    """``(variable, TreatmentVal, code)`` of the categorical treatment variables, ``variable`` holding ``TreatmentVar``."""
+    categorical = types.table.where(~F.col("is_numeric")).select(variable().alias("variable"))
     seen = (
-        attach(records, categorical, ["TreatmentVar"], "left_semi", size=types.bytes)
+        attach(records.withColumn("variable", variable()), categorical, ["variable"], "left_semi", size=types.bytes)
         .where(F.col("TreatmentVal").isNotNull())
-        .groupBy("TreatmentVar", "TreatmentVal")
+        .groupBy("variable", "TreatmentVal")
         .agg(F.min(row_order(order)).alias("at"))
     )
-    return encode_first_seen(seen, ["TreatmentVar"], "TreatmentVal", "at")
+    return encode_first_seen(seen, ["variable"], "TreatmentVal", "at")
 
 
 def treatment_medians(records: DataFrame, types: Settled) -> DataFrame:
-    """``(TreatmentVar, median)`` for numeric variables that miss values."""
-    wanted = types.table.where("is_numeric AND missing > 0").select("TreatmentVar")
-    numbers = attach(records, wanted, ["TreatmentVar"], "left_semi", size=types.bytes).select(
-        "TreatmentVar", to_number(F.col("TreatmentVal")).alias("num")
+    """``(variable, median)`` for numeric variables that miss values."""
+    wanted = types.table.where("is_numeric AND missing > 0").select(variable().alias("variable"))
+    numbers = attach(records.withColumn("variable", variable()), wanted, ["variable"], "left_semi", size=types.bytes).select(
+        "variable", to_number(F.col("TreatmentVal")).alias("num")
     )
-    counts = numbers.groupBy("TreatmentVar", "num").agg(F.count(F.lit(1)).alias("n"))
-    return exact_median(counts, ["TreatmentVar"], "num", "n")
+    counts = numbers.groupBy("variable", "num").agg(F.count(F.lit(1)).alias("n"))
+    return exact_median(counts, ["variable"], "num", "n")
 
 
 def treatment_values(records: DataFrame, order: list[str]) -> DataFrame:
-    """Records with ``value``: number (imputed by the variable's median) or code, as double."""
+    """Records with ``value``: number (imputed by the variable's median) or code, as double.
+
+    Records with a NULL variable are treated like those of any other one.
+    """
     numeric = F.col("is_numeric")
     types = settle_measured(
         treatment_types(records),
         coded=F.count_if(~numeric),
         lacking=F.count_if(numeric & (F.col("missing") > 0)),
     )
-    facts = types.table.drop("missing")
+    facts = types.table.select(variable().alias("variable"), "is_numeric")
     if types.counts["lacking"]:
-        facts = facts.join(treatment_medians(records, types), "TreatmentVar", "left")
+        facts = facts.join(treatment_medians(records, types), "variable", "left")
     else:
         facts = facts.withColumn("median", F.lit(None).cast("double"))
-    typed = attach(records, facts, ["TreatmentVar"], "left")
+    typed = attach(records.withColumn("variable", variable()), facts, ["variable"], "left")
     code = F.lit(fixed.MISSING_CODE)
     if types.counts["coded"]:
         codes = treatment_codes(records, order, types)
-        typed = attach(typed, codes, ["TreatmentVar", "TreatmentVal"], "left")
+        typed = attach(typed, codes, ["variable", "TreatmentVal"], "left")
         code = F.coalesce("code", code)
     number = F.coalesce(to_number(F.col("TreatmentVal")), F.col("median"))
     value = F.when(numeric, number).otherwise(code.cast("double"))
-    return typed.withColumn("value", value).drop("median", "code")
+    return typed.withColumn("value", value).drop("median", "code", "variable")
 
 
 def training_dataset(

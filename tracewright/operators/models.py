@@ -87,8 +87,10 @@ def fill_covariates(dataset: DataFrame, means: DataFrame | None = None) -> DataF
         c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.col(f"`_mean_{c}`"))
         for c in names
     }
-    rows = dataset.withColumn("treatment_var", F.col("TreatmentVar"))
-    joined = attach(rows, renamed, ["treatment_var"])
+    # as fields, so that rows without a variable find the means of theirs
+    keyed = renamed.withColumn("_variable", F.struct("treatment_var")).drop("treatment_var")
+    rows = dataset.withColumn("_variable", F.struct(F.col("TreatmentVar").alias("treatment_var")))
+    joined = attach(rows, keyed, ["_variable"])
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in dataset.columns])
 
 

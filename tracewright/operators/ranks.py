@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle, settle_measured
 from .joins import attach
@@ -76,6 +77,8 @@ def _attach_null_safe(fact: DataFrame, dim: DataFrame, on: list[str]) -> DataFra
 
 def _filled(df: DataFrame, column: str, source: str | None = None) -> Column:
     kind = df.schema[column].dataType
+    if isinstance(kind, T.StructType):  # never NULL as a key
+        return F.col(source or column)
     zero = F.lit("" if kind.simpleString() == "string" else 0).cast(kind)
     return F.coalesce(F.col(source or column), zero)
 

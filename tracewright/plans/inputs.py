@@ -166,6 +166,28 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def untidy_records(spark: SparkSession, sf_dir: str, pairs: int = 3000) -> DataFrame:
+    """A record per event: ``pairs`` numeric covariates and as many texts whose names differ from theirs in case only,
+    two variables that do so, and records without a variable."""
+    at = F.col("event_id")
+    no = (at % pairs).cast("string")
+    number = F.when((at >= pairs) & (at % 11 == 0), F.lit("N/A")).otherwise((at % 7).cast("string"))
+    word = F.floor(at / pairs) % 3
+    bag = F.concat(F.lit("n"), no, F.lit("="), number, F.lit(";N"), no, F.lit("=c"), word.cast("string"))
+    kind = F.col("event_type")
+    var = F.when(kind == "view", "Price").when(kind == "click", "price").when(kind != "error", kind)
+    text = F.when(kind == "click", F.concat(F.lit("c"), (at % 5).cast("string")))
+    value = F.when(at % 13 != 0, F.format_string("%.2f", F.col("value")))
+    return table(spark, sf_dir, "events").select(
+        at.alias("row_id"),
+        F.col("user_id").cast("string").alias("TestArgs"),
+        bag.alias("Covariates"),
+        var.alias("TreatmentVar"),
+        F.coalesce(text, value).alias("TreatmentVal"),
+        (at % 2).cast("string").alias("Outcome"),
+    )
+
+
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the graph of their user and two-day span."""
     span = F.floor(F.unix_date(F.to_date("ts")) / 2)

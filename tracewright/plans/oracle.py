@@ -250,6 +250,36 @@ dataset AS (
 
 ALL_DATASET = [RECORDS, ENTRIES, TYPES, CODES, MEDIANS, TREATMENTS, GRID, DATASET]
 
+UNTIDY = f"""
+records AS (
+  SELECT event_id AS row_id, CAST(user_id AS VARCHAR) AS "TestArgs",
+         'n' || (event_id % 3000) || '=' || CASE WHEN event_id >= 3000 AND event_id % 11 = 0 THEN 'N/A'
+                                             ELSE CAST(event_id % 7 AS VARCHAR) END
+         || ';N' || (event_id % 3000) || '=c' || (event_id // 3000 % 3) AS "Covariates",
+         CASE event_type WHEN 'view' THEN 'Price' WHEN 'click' THEN 'price' WHEN 'error' THEN NULL ELSE event_type END AS "TreatmentVar",
+         CASE WHEN event_type = 'click' THEN 'c' || (event_id % 5) WHEN event_id % 13 <> 0 THEN printf('%.2f', value) END AS "TreatmentVal",
+         CAST(event_id % 2 AS VARCHAR) AS "Outcome"
+  FROM events),
+cells AS (
+  SELECT row_id, 'cov_n' || (row_id % 3000) AS key,
+         {_number("split_part(split_part(\"Covariates\", ';', 1), '=', 2)")} AS number, NULL AS word FROM records
+  UNION ALL
+  SELECT row_id, 'cov_N' || (row_id % 3000), NULL, split_part(split_part("Covariates", ';', 2), '=', 2) FROM records),
+firsts AS (
+  SELECT *, min(row_id) OVER (PARTITION BY key, word) AS first, median(number) OVER (PARTITION BY key) AS med FROM cells),
+filled AS (
+  SELECT row_id, key, CASE WHEN word IS NULL THEN coalesce(number, med)
+         ELSE CAST(dense_rank() OVER (PARTITION BY key ORDER BY first) - 1 AS DOUBLE) END AS value
+  FROM firsts),
+treated AS (
+  SELECT *, TRY_CAST("TreatmentVal" AS DOUBLE) AS number,
+         min(row_id) OVER (PARTITION BY "TreatmentVar", "TreatmentVal") AS first FROM records),
+treatments AS (
+  SELECT row_id, "TreatmentVar", CAST("Outcome" AS INT) AS "Outcome", round(CASE WHEN "TreatmentVar" = 'price'
+           THEN dense_rank() OVER (PARTITION BY "TreatmentVar" ORDER BY first) - 1
+           ELSE coalesce(number, median(number) OVER (PARTITION BY "TreatmentVar")) END, 6) AS "TreatmentVal"
+  FROM treated)"""
+
 # --- numeric dataset and linear scoring -------------------------------------------------
 
 NAMES = ["quantity", "discount", "tax", "extendedprice"]
@@ -522,6 +552,7 @@ def oracle_sql() -> dict[str, str]:
 UNION ALL
 SELECT graph_id, 'e' || (event_id - p), 'e' || event_id FROM placed
 WHERE p > 0 AND NOT EXISTS (SELECT 1 FROM controlled c WHERE c.graph_id = placed.graph_id AND c.place = placed.p)""",
+        "dataset_untidy_names": _with(UNTIDY) + "SELECT * FROM treatments JOIN filled USING (row_id)",
         "live_runs": _with(LIVE_TRACE, ASSIGNMENTS, LAST, PARENTS, LOOKUP, OUTCOMES) + RECORD_ROWS,
         "live_last_values": _with(*trace)
         + "SELECT run_id, var, arg_max(value, seq) AS value, max(seq) AS seq FROM assignments GROUP BY run_id, var",

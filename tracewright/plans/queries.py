@@ -14,8 +14,10 @@ from ..operators import dataset as ds
 from ..operators import definitions as defs
 from ..operators import dominance as dom
 from ..operators import graphs as gr
+from ..operators import long_dataset as lds
 from ..operators import models as md
 from ..operators import parent_map as pm
+from ..operators.joins import attach
 from ..session import scratch_path, settle, settle_measured
 from ..sources import inputs as rnd
 from ..sources import parents as src_parents
@@ -260,6 +262,15 @@ def training_dataset(spark, sf_dir):
     return _rounded(dataset, [*ds.covariate_columns(dataset), "TreatmentVal"])
 
 
+@query
+def dataset_untidy_names(spark, sf_dir):
+    """The dataset in long form: thousands of names, pairs of them equal but for case, and records without a variable."""
+    dataset = lds.long_dataset(inputs.untidy_records(spark, sf_dir), ORDER)
+    cells = attach(dataset.cells, dataset.names.select("no", "key"), ["no"])
+    rows = dataset.rows.select("row_id", "TreatmentVar", F.round("TreatmentVal", 6).alias("TreatmentVal"), "Outcome")
+    return cells.join(rows, "row_id").select(*rows.columns, "key", "value")
+
+
 def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
 
