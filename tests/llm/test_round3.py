@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,15 +82,18 @@ def test_phrases_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).collect() == []
 
 
-def test_prefixes_are_dealt_out_by_one_word_more(spark):
-    import numpy as np
-
-    heavy = collocations.Prefixes()
-    heavy.add(np.array([[5], [9]], np.uint64))
-    heavy.add(np.array([[5, 9], [9, 5]], np.uint64))
-    heavy.add(np.array([[9, 5, 5]], np.uint64))
-    columns = [np.array(c, np.uint64) for c in ([1, 5, 5, 9, 9, 9], [5, 5, 9, 5, 5, 9], [5, 9, 1, 5, 9, 5], [0, 0, 0, 1, 1, 1])]
-    assert heavy.depth(columns).tolist() == [1, 2, 3, 4, 3, 2]
+def test_shares_keep_what_has_the_same_first_words_together():
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(1, 5, 4000).astype(np.uint64) for _ in range(4)]
+    words, places = np.unique(columns[0], return_counts=True)
+    shares = collocations.Shares(words[:3], places[:3], 60)
+    while shares.deepen(np.bincount(slot[slot >= 0], minlength=shares.slots) if (slot := shares.place(columns)[0]) is not None else None):
+        pass
+    slot, depth = shares.place(columns)
+    assert (slot >= 0).tolist() == (columns[0] < 4).tolist() and set(depth[slot < 0]) == {1} and len(shares.levels) == 3
+    together = {}
+    for i, row in enumerate(zip(*columns)):
+        assert together.setdefault(row[: depth[i]], slot[i]) == slot[i]
 
 
 # benchmark windows

@@ -4,7 +4,7 @@ Every place of a text is a suffix of at most four words. Suffixes are dealt out
 word with few enough places has one group to itself or shares it with others, and the places of a more
 frequent word are dealt out by its first two, three or four words. What a group holds fits in one
 task, which sorts its suffixes (a subtree cut off at depth four) and reads each phrase's frequency from the totals of
-the leaves below it. No group needs another one's rows.
+the leaves below it. Only a phrase shorter than what its places are dealt out by has leaves in several groups, whose totals are added.
 
 Words are 64-bit numbers while they travel; that no two words share one is checked against the table of words, and
 another salt is taken if they do.
@@ -128,31 +128,45 @@ def _frequent_bits(frequent: DataFrame, rows: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-class Prefixes:
-    """Prefixes of more than ``budget`` places, by length: their places are dealt out by one word more."""
+class Shares:
+    """Words of more than ``budget`` places, whose suffixes are dealt out by more words than the first.
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, rows: np.ndarray) -> None:
-        """``rows``: word numbers of prefixes one word longer than those added before."""
-        at = np.zeros(len(rows), np.int64)
-        for d, (words, keys) in enumerate(self.levels):
-            at = np.searchsorted(keys, at * len(words) + np.searchsorted(words, rows[:, d]))
-        words = np.unique(rows[:, -1])
-        self.levels.append((words, np.sort(at * len(words) + np.searchsorted(words, rows[:, -1]))))
+    Level 0 has the shares of each such word, by its second word; level ``d`` those of each share of the level before, by one
+    word more, 1 where that share is small enough.
+    """
 
-    def depth(self, columns: list[np.ndarray]) -> np.ndarray:
-        """By how many of its first words each suffix is dealt out."""
+    def __init__(self, words: np.ndarray, places: np.ndarray, budget: int) -> None:
+        order = np.argsort(words)
+        self.words, self.budget = words[order], budget
+        self.levels = [-(-places[order] // budget)] if len(words) else []
+
+    def deepen(self, places: np.ndarray) -> bool:
+        """Split shares by their ``places``; False if none needs it."""
+        if not len(self.levels) or len(self.levels) == LONGEST - 1 or (places <= 2 * self.budget).all():
+            return False
+        self.levels.append(np.where(places > 2 * self.budget, -(-places // self.budget), 1))
+        return True
+
+    @property
+    def slots(self) -> int:
+        """How many shares there are."""
+        return int(self.levels[-1].sum()) if self.levels else 0
+
+    def place(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The share of each suffix, -1 for those of other words, and by how many of its first words it is dealt out."""
         n = len(columns[0])
-        out, at, still = np.ones(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-        for d, (words, keys) in enumerate(self.levels):
-            i = np.minimum(np.searchsorted(words, columns[d]), len(words) - 1)
-            key = at * len(words) + i
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            still &= (words[i] == columns[d]) & (keys[at] == key)
-            out += still
-        return out
+        depth = np.ones(n, np.int64)
+        if not self.levels:
+            return np.full(n, -1), depth
+        slot = np.minimum(np.searchsorted(self.words, columns[0]), len(self.words) - 1)
+        inside = self.words[slot] == columns[0]
+        by = mix(columns[0], np.full(n, 1, np.uint64))
+        for d, shares in enumerate(self.levels):
+            by = mix(by, columns[d + 1])
+            mine = shares[slot]
+            depth = np.where(inside & (mine > 1), d + 2, depth)
+            slot = (np.cumsum(shares) - shares)[slot] + (by % mine.astype(np.uint64)).astype(np.int64)
+        return np.where(inside, slot, -1), depth
 
 
 def suffixes(numbers: np.ndarray, piece: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
@@ -189,7 +203,7 @@ def counted(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[lis
 
 
 def subtree(columns: list[np.ndarray], n: np.ndarray, depth: np.ndarray, least: int) -> Iterator[tuple]:
-    """Nodes of two words or more with their leaves' total, where it reaches ``least`` and the whole node is in this group.
+    """Nodes of two words or more with their leaves' total: those that reach ``least``, and those that other shares have leaves of as well.
 
     ``columns`` are distinct suffixes in order, which are the leaves.
     """
@@ -200,31 +214,32 @@ def subtree(columns: list[np.ndarray], n: np.ndarray, depth: np.ndarray, least:
         new[1:] |= columns[d][1:] != columns[d][:-1]
         at = np.flatnonzero(new)
         total = np.add.reduceat(n, at) if len(at) else n[:0]
-        keep = (total >= least) & (columns[d][at] != 0) & (depth[at] <= d + 1)
+        keep = (columns[d][at] != 0) & ((total >= least) | (depth[at] > d + 1))
         at = at[keep]
         yield [c[at] if k <= d else np.zeros(len(at), np.uint64) for k, c in enumerate(columns)], total[keep]
 
 
-def _long_prefixes(docs: DataFrame, salt: int, bits: np.ndarray, heavy: Prefixes, budget: int) -> DataFrame:
-    """Prefixes one word longer than the longest of ``heavy`` that begin with one of those, beyond ``budget``."""
-    size = len(heavy.levels) + 1
+def _share_places(docs: DataFrame, salt: int, bits: np.ndarray, shares: Shares) -> np.ndarray:
+    """How many suffixes each share has: a number for each of them."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shares.slots, np.int64)
         for batch in parts:
             for rows in slices(batch, "text"):
                 *_, numbers, piece = word_numbers(rows, salt)
-                columns = suffixes(numbers, piece, bits)
-                some = (columns[size - 1] != 0) & (heavy.depth(columns) == size)
-                found, n = counted([c[some] for c in columns[:size]])
-                filled = [c.view(np.int64) for c in found] + [np.zeros(len(n), np.int64)] * (LONGEST - size)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*filled, n]], [*WORDS, "a"])
+                slot, _ = shares.place(suffixes(numbers, piece, bits))
+                total += np.bincount(slot[slot >= 0], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    found = docs.mapInArrow(task, f"{PLACES}, a bigint").groupBy(*WORDS).agg(F.sum("a").alias("a"))
-    return settle(found.where(F.col("a") > budget))
+    out = np.zeros(shares.slots, np.int64)
+    for slot, n in docs.mapInArrow(task, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        out[slot] = n
+    return out
 
 
-def _nodes(docs: DataFrame, salt: int, bits: np.ndarray, heavy: Prefixes, groups: int, least: int) -> DataFrame:
-    """``c0 .. c3, a``: phrases that occur ``least`` times, but for those that are dealt out themselves."""
+def _nodes(docs: DataFrame, salt: int, bits: np.ndarray, shares: Shares, groups: int, least: int) -> DataFrame:
+    """``c0 .. c3, a``: phrases that occur ``least`` times."""
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -233,11 +248,9 @@ def _nodes(docs: DataFrame, salt: int, bits: np.ndarray, heavy: Prefixes, groups
                 columns, n = counted(suffixes(numbers, piece, bits))
                 if not len(n):
                     continue
-                depth = heavy.depth(columns)
-                by = mix(columns[0], np.full(len(n), salt + 1, np.uint64))
-                for d in range(1, LONGEST):
-                    by = np.where(depth > d, mix(by, columns[d]), by)
-                group = (by % np.uint64(groups)).astype(np.int64)
+                slot, _ = shares.place(columns)
+                light = mix(columns[0], np.full(len(n), salt + 1, np.uint64)) % np.uint64(groups)
+                group = np.where(slot < 0, light.astype(np.int64), groups + slot)
                 order = np.argsort(group, kind="stable")
                 cuts = np.flatnonzero(np.diff(group[order])) + 1
                 found = [(int(group[i[0]]), [c[i].tobytes() for c in columns], n[i].astype(np.int64).tobytes()) for i in np.split(order, cuts)]
@@ -252,13 +265,14 @@ def _nodes(docs: DataFrame, salt: int, bits: np.ndarray, heavy: Prefixes, groups
         columns = [np.concatenate([np.frombuffer(b, np.uint64) for b in table[c].to_pylist()]) for c in WORDS]
         n = np.concatenate([np.frombuffer(b, np.int64) for b in table["a"].to_pylist()])
         columns, n = counted(columns, n)
-        found = list(subtree(columns, n, heavy.depth(columns), least))
+        found = list(subtree(columns, n, shares.place(columns)[1], least))
         whole = [np.concatenate([c[k] for c, _ in found]).view(np.int64) for k in range(LONGEST)]
         return pa.table([pa.array(c) for c in [*whole, np.concatenate([n for _, n in found])]], [*WORDS, "a"])
 
     blobs = ", ".join(f"{c} binary" for c in WORDS)
     dealt = docs.mapInArrow(deal, f"place bigint, {blobs}, a binary")
-    return dealt.groupBy("place").applyInArrow(build, f"{PLACES}, a bigint")
+    nodes = dealt.groupBy("place").applyInArrow(build, f"{PLACES}, a bigint")
+    return nodes.groupBy(*WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _stretch(a: int, b: int, names: list[str]) -> list[Column]:
@@ -340,24 +354,17 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, budget: int
     frequent = settle_measured(
         vocabulary.table.where(F.col("n") >= least),
         places=F.sum("n"),
-        heavy=F.count_if(F.col("n") > budget),
     )
     totals = vocabulary.table.groupBy("lang").agg(F.sum("n").alias("n"))
     bits = _frequent_bits(frequent.table, frequent.rows)
 
-    heavy, shorter, tables = Prefixes(), frequent.table.where(F.col("n") > budget).select("id"), []
-    while len(heavy.levels) < LONGEST - 1:
-        found = shorter.collect()  # at most one of `budget` places each
-        if not found:
-            break
-        heavy.add(np.array([tuple(r)[: len(heavy.levels) + 1] for r in found], np.int64).view(np.uint64))
-        if len(heavy.levels) < LONGEST - 1:
-            tables.append(_long_prefixes(rows, salt, bits, heavy, budget))
-            shorter = tables[-1].select(*WORDS[: len(heavy.levels) + 1])
+    long = frequent.table.where(F.col("n") > budget).select("id", "n").collect()  # at most one of `budget` places each
+    shares = Shares(np.array([r["id"] for r in long], np.int64).view(np.uint64), np.array([r["n"] for r in long], np.int64), budget)
+    while shares.levels and shares.deepen(_share_places(rows, salt, bits, shares)):
+        pass
     groups = -(-(frequent.counts["places"] or 0) // budget) or 1
-    nodes = reduce(DataFrame.unionByName, tables, _nodes(rows, salt, bits, heavy, groups, least))
     size = sum((F.col(c) != 0).cast("int") for c in WORDS)
-    nodes = settle(nodes.where(F.col("a") >= least).withColumn("size", size))
+    nodes = settle(_nodes(rows, salt, bits, shares, groups, least).withColumn("size", size))
 
     zero = F.lit(0).cast("bigint")
     parts = settle_measured(
