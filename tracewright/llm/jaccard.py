@@ -110,24 +110,20 @@ def _long_lists(rows: DataFrame, width: int, percent: int, longest: int) -> byte
     return table.tobytes()
 
 
-def _full_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(id, n, tokens, parity): all tokens in order, and for each of so many bits whether an odd number of them falls there."""
+def _parities(rows: DataFrame, width: int) -> DataFrame:
+    """(id, n, parity): set sizes, and for each of so many bits whether an odd number of tokens falls there."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, 500):
-            size, tokens, parity = [], [], []
+            size, parity = [], []
             for _, s in _sets(batch, width):
                 bits = 1 << max(6, math.ceil(math.log2(PARITY * len(s) + 1)))
                 odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 size.append(len(s))
-                tokens.append(s.tobytes())
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(size, pa.int32()), pa.array(tokens, pa.binary()), pa.array(parity, pa.binary())],
-                ["id", "n", "tokens", "parity"],
-            )
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(size, pa.int32()), pa.array(parity, pa.binary())], ["id", "n", "parity"])
 
-    return rows.mapInArrow(task, "id bigint, n int, tokens binary, parity binary")
+    return rows.mapInArrow(task, "id bigint, n int, parity binary")
 
 
 def _folded(a: np.ndarray, size: int) -> np.ndarray:
@@ -144,13 +140,6 @@ def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
     return min(n_a, n_b, (n_a + n_b - differ) // 2)
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with ``column`` and ``n`` of both sets."""
-    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("of_a"))
-    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("of_b"))
-    return pairs.join(x, "a").join(y, "b")
-
-
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, most): an upper bound of what each pair shares."""
 
@@ -160,32 +149,44 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             most = pa.array([_most_shared(*row) for row in zip(*cols)], pa.int32())
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("a", "b", "n_a", "n_b")] + [most], ["a", "b", "n_a", "n_b", "most"])
 
-    return _beside(pairs, sets, "parity").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(task, "a bigint, b bigint, n_a int, n_b int, most int")
+    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("of_a"))
+    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("of_b"))
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+    return rows.mapInArrow(task, "a bigint, b bigint, n_a int, n_b int, most int")
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared, inside, private), counted on the sets, which are made of the texts once more: ``inside`` has a bit
+    for each element of ``a`` that ``b`` has as well, ``private`` the elements that only ``b`` has. ``pairs`` is settled."""
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, shared, inside, private), counted on the sets themselves: ``inside`` has a bit for each element
-    of ``a`` that ``b`` has as well, ``private`` the elements that only ``b`` has."""
+    def sets_of(column: pa.Array) -> list[np.ndarray]:
+        coded = column.dictionary_encode()
+        distinct = pa.RecordBatch.from_arrays([coded.dictionary], ["text"])
+        found = [s for _, s in _sets(distinct, width)]
+        return [found[k] for k in coded.indices.to_pylist()]
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for piece in batches([batch], 64):
-                shared, inside, private = [], [], []
-                for x, y in zip(piece["of_a"].to_pylist(), piece["of_b"].to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    both = x[at] == y
-                    bits = np.zeros(len(x), np.uint8)
-                    bits[at[both]] = 1
-                    shared.append(int(both.sum()))
-                    inside.append(np.packbits(bits).tobytes())
-                    private.append(y[~both].tobytes())
-                found = [pa.array(shared, pa.int32()), pa.array(inside, pa.binary()), pa.array(private, pa.binary())]
-                yield pa.RecordBatch.from_arrays([piece[c] for c in names[:4]] + found, names)
-
-    names = ["a", "b", "n_a", "n_b", "shared", "inside", "private"]
-    rows = _beside(pairs, sets, "tokens").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+        for piece in batches(parts, 64):
+            size_a, size_b, shared, inside, private = [], [], [], [], []
+            for x, y in zip(sets_of(piece["of_a"]), sets_of(piece["of_b"])):
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                both = x[at] == y
+                bits = np.zeros(len(x), np.uint8)
+                bits[at[both]] = 1
+                size_a.append(len(x))
+                size_b.append(len(y))
+                shared.append(int(both.sum()))
+                inside.append(np.packbits(bits).tobytes())
+                private.append(y[~both].tobytes())
+            found = [pa.array(c, pa.int32()) for c in (size_a, size_b, shared)] + [pa.array(c, pa.binary()) for c in (inside, private)]
+            yield pa.RecordBatch.from_arrays([piece["a"], piece["b"], *found], ["a", "b", "n_a", "n_b", "shared", "inside", "private"])
+
+    def side(name: str) -> DataFrame:
+        named = texts.select(F.col("id").alias(name), F.col("text").alias(f"of_{name}"))
+        return attach(named, pairs.select(name).distinct(), [name], "left_semi")
+
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
     return rows.mapInArrow(task, "a bigint, b bigint, n_a int, n_b int, shared int, inside binary, private binary")
 
 
@@ -342,12 +343,12 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
     leaders = settle(leaders.select("token", (-F.col("best.col2")).alias("leader")))
     led = lists.drop("m").join(leaders, "token")
     members = lists.select("id").distinct()
-    sets = settle(_full_sets(attach(rows, members, ["id"], "left_semi"), width))
+    sets = settle(_parities(attach(rows, members, ["id"], "left_semi"), width))
 
     star = led.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     bounded = settle(_bounded(star, sets))
     close = F.col("most") >= NEAR * F.greatest("n_a", "n_b")
-    exact = settle(_verified(bounded.where(close).select("a", "b"), sets))
+    exact = settle(_verified(bounded.where(close).select("a", "b"), rows, width))
     label = components(exact.where(_linked(percent)).select("a", "b"))
 
     # what each set shares with its leader: exactly, or at most
@@ -372,7 +373,7 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
     rest = _left_over(met, percent)
     done = exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = settle(_bounded(rest.join(done, ["a", "b"], "left_anti"), sets)).where(_linked(percent, "most")).select("a", "b")
-    again = _verified(rest, sets).where(_linked(percent)).select("a", "b")
+    again = _verified(rest, rows, width).where(_linked(percent)).select("a", "b")
 
     # sets near a leader, where they do not all hang together and there are two beside the leader
     near = met.where("near").select("leader", "id", "n", "label").distinct()
