@@ -41,40 +41,26 @@ WITH d AS (
 ), classes AS (
   SELECT *, chars - word_chars AS white_n, bytes - chars AS beyond_n,
          bytes - (upper_n + digit_n + (chars - word_chars) + n_symbols + mark_n + (bytes - chars)) AS other_n FROM m
-), by_lang AS (
+), refs AS (
   SELECT lang, sum(bytes) AS bytes, sum(n_words) AS all_words, sum(upper_n) AS u, sum(digit_n) AS g, sum(white_n) AS s,
          sum(n_symbols) AS y, sum(mark_n) AS k, sum(beyond_n) AS b, sum(other_n) AS o
-  FROM classes GROUP BY lang
-), large AS (
-  SELECT * FROM by_lang WHERE lang IS NOT NULL AND bytes >= 20000 ORDER BY bytes DESC, lang LIMIT 200
-), refs AS (
-  SELECT lang, false AS pooled, * EXCLUDE (lang) FROM large
-  UNION ALL
-  SELECT NULL, true, sum(bytes), sum(all_words), sum(u), sum(g), sum(s), sum(y), sum(k), sum(b), sum(o) FROM by_lang
+  FROM classes WHERE lang IS NOT NULL GROUP BY lang HAVING sum(bytes) > 0
 ), counted AS (
-  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(short) AS word FROM classes) GROUP BY lang, word
-), all_counts AS (
-  SELECT lang, false AS pooled, word, n FROM counted WHERE lang IN (SELECT lang FROM large)
-  UNION ALL
-  SELECT NULL, true, word, sum(n) FROM counted GROUP BY word
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(short) AS word FROM classes WHERE lang IS NOT NULL) GROUP BY lang, word
 ), top AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pooled, lang ORDER BY n DESC, word) AS place FROM all_counts)
-  WHERE place <= 24
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counted) WHERE place <= 24
 ), shares AS (
-  SELECT t.pooled, t.lang, t.word, t.n / r.all_words::double AS share
-  FROM top t JOIN refs r ON r.pooled = t.pooled AND r.lang IS NOT DISTINCT FROM t.lang
-), used AS (
-  SELECT c.*, c.lang IS NULL OR c.lang NOT IN (SELECT lang FROM large) AS use_pooled FROM classes c
+  SELECT t.lang, t.word, t.n / r.all_words::double AS share FROM top t JOIN refs r ON r.lang = t.lang
 ), char_parts AS (
   SELECT c.doc_id, unnest([upper_n, digit_n, white_n, n_symbols, mark_n, beyond_n, other_n]) / c.bytes::double AS p,
          unnest([u, g, s, y, k, b, o]) / r.bytes::double AS q
-  FROM used c JOIN refs r ON r.pooled = c.use_pooled AND (c.use_pooled OR r.lang = c.lang)
+  FROM classes c JOIN refs r ON r.lang = c.lang
   WHERE chars >= 200
 ), own_counts AS (
   SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(short) AS word FROM classes) GROUP BY doc_id, word
 ), word_hits AS (
   SELECT c.doc_id, coalesce(w.n, 0) / c.n_words::double AS p, s.share AS q
-  FROM used c JOIN shares s ON s.pooled = c.use_pooled AND (c.use_pooled OR s.lang = c.lang)
+  FROM classes c JOIN shares s ON s.lang = c.lang
   LEFT JOIN own_counts w ON w.doc_id = c.doc_id AND w.word = s.word
   WHERE c.n_words >= 50
 ), word_parts AS (
