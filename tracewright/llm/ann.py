@@ -2,8 +2,9 @@
 
 Rows are dealt evenly over shards by a hash. A shard's graph is built by inserting its distinct vectors
 one after the other; the candidates of an insertion are the nearest of those inserted before, found for
-a block of vectors at once by a matrix product. Each shard is searched for blocks of queries, and the shards' results
-are merged by exact distances.
+a block of vectors at once by a matrix product. Graphs are built and searched in single precision on vectors that are
+moved to their shard's mean and scaled to its spread. Each shard is searched for blocks of queries, and the shards'
+results are merged by exact distances. Vectors of different lengths are in different shards.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.joins import attach
 from ..session import settle
 
 #: Vectors of one graph, about; queries that one task searches with.
@@ -25,15 +27,41 @@ LINKS, BREADTH, SEARCH = 16, 64, 96
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(vec_id, v) of vectors that take part, as arrays of doubles: of the commonest length, not null or zero, all components finite."""
+    """(vec_id, v, dim) of vectors that take part, as arrays of doubles: not null or zero, all components finite."""
     rows = vectors.select(
         F.col(f"`{id_column}`").cast("bigint").alias("vec_id"), F.col(f"`{column}`").cast("array<double>").alias("v")
     )
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1)
-    found = sizes.collect()
-    return rows.where(F.size("v") == (found[0]["size"] if found else 0))
+    return rows.withColumn("dim", F.size("v"))
+
+
+class Frame:
+    """Where a shard's vectors lie: its mean and spread, found without overflow."""
+
+    def __init__(self, x: np.ndarray):
+        self.unit = float(np.abs(x).max()) if x.size else 1.0
+        y = x / self.unit
+        self.mean = y.mean(axis=0)
+        self.spread = float(np.abs(y - self.mean).max()) or 1.0
+
+    def inside(self, x: np.ndarray) -> np.ndarray:
+        """Single precision, and far outside vectors no farther than it can square."""
+        with np.errstate(over="ignore"):
+            return np.clip((x / self.unit - self.mean) / self.spread, -1e15, 1e15).astype(np.float32)
+
+
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; where squares would overflow or vanish, of scaled differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = x - v
+        d = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(d) | (d < 1e-140))
+        for k in odd.tolist():
+            most = np.abs(apart[k]).max()
+            if 0 < most < np.inf:
+                d[k] = most * np.sqrt(((apart[k] / most) ** 2).sum())
+    return d
 
 
 def _chosen(order: np.ndarray, away: np.ndarray, x: np.ndarray, links: int) -> list[int]:
@@ -146,13 +174,18 @@ def search(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], query: np
     return np.array([b for _, b in sorted((-d, b) for d, b in found)], int)
 
 
-INDEX = "shard int, dim int, x binary, first array<int>, ids array<bigint>, levels array<struct<nodes:binary,links:binary>>"
+INDEX = "dim int, shard int, x binary, first array<int>, ids array<bigint>, levels array<struct<nodes:binary,links:binary>>"
+
+
+def _shards(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """(dim, shards): how many shards the vectors of each length are dealt to."""
+    return rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
 
 
 def index(rows: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, links: int = LINKS, breadth: int = BREADTH) -> DataFrame:
-    """A row per shard: its distinct vectors, the ids of each (the smallest ``keep``), and its graph. Every row is indexed."""
-    shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    """A row per shard of a length: its distinct vectors, the ids of each (the smallest ``keep``), and its graph. Every row is indexed."""
+    dealt = attach(rows, _shards(rows, shard_rows), ["dim"])
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
@@ -168,12 +201,12 @@ def index(rows: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, links: int =
                 ids[k].append(vec_id)
         first = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
         levels = [
-            {"nodes": a.astype(np.int32).tobytes(), "links": b.tobytes()} for a, b in build(x.astype(np.float32), links, breadth)
+            {"nodes": a.astype(np.int32).tobytes(), "links": b.tobytes()} for a, b in build(Frame(x).inside(x), links, breadth)
         ]
-        row = [int(pdf["shard"].iloc[0]), x.shape[1], x.tobytes(), first.tolist(), [i for part in ids for i in part], levels]
-        return pd.DataFrame([row], columns=["shard", "dim", "x", "first", "ids", "levels"])
+        row = [x.shape[1], int(pdf["shard"].iloc[0]), x.tobytes(), first.tolist(), [i for part in ids for i in part], levels]
+        return pd.DataFrame([row], columns=["dim", "shard", "x", "first", "ids", "levels"])
 
-    return dealt.groupBy("shard").applyInPandas(task, INDEX)
+    return dealt.groupBy("dim", "shard").applyInPandas(task, INDEX)
 
 
 def neighbours(
@@ -188,27 +221,29 @@ def neighbours(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` the ``k`` nearest rows of ``vectors`` found, itself left out.
 
-    Nearness is Euclidean distance in double precision on the vectors themselves, ties go to the smaller id. Null and zero vectors,
-    those with a null or non-finite component and those not of the commonest length take no part. Equal vectors are one node of
-    a graph and all found with it. Rows that repeat an id count once each.
+    Nearness is Euclidean distance in double precision on the vectors themselves, ties go to the smaller id. Null and zero vectors
+    and those with a null or non-finite component take no part. There is no distance between vectors of different lengths: a
+    query meets those of its own. Equal vectors are one node of a graph and all found with it. Rows that repeat an id count
+    once each among ``vectors``; of such queries the least vector is asked for, by components.
     """
     rows = settle(usable(vectors, id_column, column))
     built = settle(index(rows, k + 1, shard_rows))
-    asked = settle(usable(queries, id_column, column).dropDuplicates(["vec_id"]))
+    asked = settle(usable(queries, id_column, column).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     blocks = max(1, -(-asked.count() // query_rows))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    shards = built.select(F.col("shard")).distinct().count()
     # each shard meets each block of queries once: a stated set of queries against all rows
     left = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))))
-    right = right.select("shard", "block", F.col("vec_id").alias("query_id"), "v")
+    right = attach(asked.withColumn("block", block), _shards(rows, shard_rows), ["dim"])
+    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    right = right.select("dim", "shard", "block", F.col("vec_id").alias("query_id"), "v")
 
     def task(key: tuple, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(own) and len(ask):
             row = own.iloc[0]
             x = np.frombuffer(row["x"], np.float64).reshape(-1, int(row["dim"]))
-            small = x.astype(np.float32)
+            frame = Frame(x)
+            small = frame.inside(x)
             levels = []
             for part in row["levels"]:
                 nodes = np.frombuffer(part["nodes"], np.int32)
@@ -216,13 +251,13 @@ def neighbours(
             first, ids = np.asarray(row["first"]), np.asarray(row["ids"])
             for query_id, v in zip(ask["query_id"].tolist(), ask["v"]):
                 v = np.asarray(v, float)
-                found = search(small, levels, v.astype(np.float32), max(breadth, k + 1))
-                d = np.sqrt(((x[found] - v) ** 2).sum(axis=1))
+                found = search(small, levels, frame.inside(v), max(breadth, k + 1))
+                d = distances(x[found], v)
                 near = [(s, int(i)) for s, f in zip(d.tolist(), found.tolist()) for i in ids[first[f] : first[f + 1]] if i != query_id]
                 out += [(query_id, i, s) for s, i in sorted(near)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
+    met = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block"))
     found = met.applyInPandas(task, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
