@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle_measured
-from .text import batches, coded_words, only
+from .text import batches, coded_words, only, unused
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces packed together, about. Groups are packed apart from each other, so each may leave one bin underfull.
 GROUP_PIECES = 16_384
-#: Moves and exchanges of the local search in one group, at most.
-STEPS = 500
 #: Words whose ids a task remembers before it forgets them all.
 REMEMBERED = 600_000
 LATIN = frozenset(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
@@ -158,72 +156,117 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+class _Offers:
+    """What underfull bins can give for a greater piece: nothing, one piece or two. Rows are in the order in which they were made."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.n, self.dead, self.clock = capacity, 0, 0, 0
+        self.rows = np.zeros((5, 4096), np.int32)  # what is given, room of the bin, bin, sizes of the pieces given or 0
+        self.made = np.zeros(4096, np.int64)
+        self.at: dict[int, tuple[int, int]] = {}
+
+    def drop(self, at: int) -> None:
+        lo, hi = self.at.pop(at, (0, 0))
+        self.rows[0, lo:hi] = self.capacity + 1
+        self.dead += hi - lo
+
+    def put(self, at: int, sizes: list[int], room: int) -> None:
+        """The offers of a bin instead of those it had. Of offers as large, the one of fewer pieces."""
+        self.drop(at)
+        if room <= 0 or not sizes:
+            return
+        size, count = np.unique(np.array(sizes, np.int32), return_counts=True)
+        x, y = np.triu_indices(len(size))
+        two = (x != y) | (count[x] > 1)
+        x, y = size[x[two]], size[y[two]]
+        zero = np.zeros(1 + len(size), np.int32)
+        one, other = np.concatenate([zero[:1], size, x]), np.concatenate([zero, y])
+        give, first = np.unique(one + other, return_index=True)
+        some = give < self.capacity
+        give, first = give[some], first[some]
+        hi = self.n + len(give)
+        if hi > len(self.made):
+            self._make_room(hi)
+            hi = self.n + len(give)
+        self.rows[:, self.n : hi] = give, np.full(len(give), room), np.full(len(give), at), one[first], other[first]
+        self.clock += 1
+        self.made[self.n : hi] = self.clock
+        self.at[at], self.n = (self.n, hi), hi
+
+    def _make_room(self, size: int) -> None:
+        alive = np.flatnonzero(self.rows[0, : self.n] <= self.capacity)
+        rows, made = self.rows[:, alive], self.made[alive]
+        more = 2 * max(len(alive), size - self.n, 2048)
+        self.rows, self.made = np.zeros((5, more), np.int32), np.zeros(more, np.int64)
+        self.n, self.dead = len(alive), 0
+        self.rows[:, : self.n], self.made[: self.n] = rows, made
+        cuts = np.flatnonzero(np.diff(rows[2], prepend=-1, append=-1))
+        self.at = {int(rows[2, lo]): (int(lo), int(hi)) for lo, hi in zip(cuts[:-1], cuts[1:])}
+
+    def find(self, size: int, source: int, fill: int, since: int) -> tuple[int, list[int]] | None:
+        """The fullest bin, at least as full as ``source``, that takes a piece and gives less, of offers made after ``since``."""
+        lo = int(np.searchsorted(self.made[: self.n], since, side="right"))
+        give, room, at, one, other = self.rows[:, lo : self.n]
+        hit = np.flatnonzero((give < size) & (give + room >= size) & (room <= self.capacity - fill))
+        hit = hit[at[hit] != source]
+        if not len(hit):
+            return None
+        hit = hit[room[hit] == room[hit].min()]
+        hit = hit[at[hit] == at[hit].min()]
+        k = hit[np.lexsort((give[hit], other[hit] > 0, one[hit] > 0))[0]]
+        return int(at[k]), [int(x) for x in (one[k], other[k]) if x]
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Fewer or fuller bins by moves that each make the sum of squared fills greater.
 
-    From the emptiest bin on, each of its items is moved to the fullest bin with room, or
-    exchanged for one item, or two, of a fuller underfull bin such that this bin gets fuller
-    and the emptier one emptier still. A bin without items is closed. Each move raises the sum of squares of whole
-    numbers, which has an upper bound, so the search ends; it ends early at the least number of bins there can be, or
-    after ``STEPS`` moves. Every item stays packed throughout.
+    Bins are gone through from the emptiest on: each of its items, the longest first, is moved to the fullest bin with
+    room, or exchanged for one item, or two, of a fuller underfull bin such that this bin gets fuller and the emptier one
+    emptier still. A bin without items is closed. A bin from which nothing can be moved is only compared with
+    those that change after that. Each move raises the sum of squares of whole numbers, which has an upper bound,
+    so the search ends: when no bin has a move, or at the least number of bins there can be. Every item stays packed throughout.
     """
     size = lengths.tolist()
     bins = [list(b) for b in bins]
     fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    open_bins = {i for i, f in enumerate(fill) if f < capacity}
-    count = len(bins)
-
-    def put(item: int, source: int, target: int) -> None:
-        bins[source].remove(item)
-        bins[target].append(item)
-        fill[source] -= size[item]
-        fill[target] += size[item]
+    count, offers = len(bins), _Offers(capacity)
+    if count <= least:
+        return bins
+    for at, own in enumerate(bins):
+        offers.put(at, [size[i] for i in own], capacity - fill[at])
+    checked = [-1] * len(bins)
+
+    def take(at: int, wanted: int) -> int:
+        item = next(i for i in bins[at] if size[i] == wanted)
+        bins[at].remove(item)
+        return item
 
     def better(source: int) -> bool:
         """One move or exchange out of ``source``, if there is one."""
-        targets = sorted((i for i in open_bins if i != source and fill[i] >= fill[source]), key=lambda i: (-fill[i], i))
-        for item in sorted(bins[source], key=lambda i: -size[i]):
-            for target in targets:
-                room = capacity - fill[target]
-                if size[item] <= room:
-                    put(item, source, target)
-                    return True
-                need = size[item] - room
-                own = [i for i in bins[target] if need <= size[i] < size[item]]
-                if own:
-                    other = min(own, key=lambda i: size[i])
-                    put(other, target, source)
-                    put(item, source, target)
-                    return True
-                small = sorted((i for i in bins[target] if size[i] < size[item]), key=lambda i: size[i])
-                lo, hi = 0, len(small) - 1
-                while lo < hi:
-                    both = size[small[lo]] + size[small[hi]]
-                    if need <= both < size[item]:
-                        put(small[lo], target, source)
-                        put(small[hi], target, source)
-                        put(item, source, target)
-                        return True
-                    lo, hi = (lo + 1, hi) if both < need else (lo, hi - 1)
+        for wanted in sorted({size[i] for i in bins[source]}, reverse=True):
+            found = offers.find(wanted, source, fill[source], checked[source])
+            if found:
+                target, given = found
+                back = [take(target, x) for x in given]
+                bins[target].append(take(source, wanted))
+                bins[source] += back
+                fill[target] += wanted - sum(given)
+                fill[source] -= wanted - sum(given)
+                for at in (source, target):
+                    offers.put(at, [size[i] for i in bins[at]], capacity - fill[at])
+                    checked[at] = -1
+                return True
+        checked[source] = offers.clock
         return False
 
-    stuck: set[int] = set()
-    steps = STEPS
-    while count > least and steps:
-        left = [i for i in open_bins if i not in stuck]
-        if not left:
-            break
-        source = min(left, key=lambda i: (fill[i], i))
-        if not better(source):
-            stuck.add(source)
-            continue
-        steps -= 1
-        stuck.clear()
-        if not bins[source]:
-            open_bins.discard(source)
-            count -= 1
-        open_bins -= {i for i in open_bins if fill[i] == capacity}
+    moved = True
+    while moved and count > least:
+        moved = False
+        for source in sorted((i for i in range(len(bins)) if bins[i] and fill[i] < capacity), key=lambda i: (fill[i], i)):
+            while bins[source] and fill[source] < capacity and count > least and better(source):
+                moved = True
+                count -= not bins[source]
     return [b for b in bins if b]
 
 
@@ -234,7 +277,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES)
     """
     table, rows, _, _ = settle_measured(items)
     groups = max(1, -(-rows // group))
-    dealt = table.withColumn("_group", F.pmod(F.xxhash64(*items.columns), F.lit(groups)))
+    key = unused(items, "_group")
+    dealt = table.withColumn(key, F.pmod(F.xxhash64(*items.columns), F.lit(groups)))
     names = items.columns
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,12 +287,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES)
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         for k, items_in in enumerate(local_search(best_fit(lengths, capacity), lengths, capacity)):
             sizes = lengths[items_in]
-            sequence[items_in] = (int(pdf["_group"].iloc[0]) << 32) + k
+            sequence[items_in] = (int(pdf[key].iloc[0]) << 32) + k
             offset[items_in] = np.cumsum(sizes) - sizes
         return pdf[names].assign(sequence_id=sequence, offset=offset)
 
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.groupBy("_group").applyInPandas(task, schema)
+    return dealt.groupBy(key).applyInPandas(task, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP_PIECES) -> DataFrame:

@@ -118,6 +118,14 @@ def batches(frame: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
             yield batch.slice(at, rows)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, found by exact name, so that extra ones do no harm."""
     return df.select(*[F.col(f"`{n}`") for n in names])
