@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import batches, mix, only, word_hashes, words
+from .text import batches, mix, only, unused, word_hashes, words
 
 WIDTH = 50
 #: Words that a minimiser is made of.
@@ -257,13 +257,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket_rows: int = BUCKE
                 lead = row["text"][: len(row["text"]) - sum(len(a) + len(b) for a, b in found)]
                 stays = _cut(row["spans"], len(found)).tolist()
                 texts.append(lead + "".join(a + b for (a, b), s in zip(found, stays) if s))
-            yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(texts, pa.string())], ["_rid", "_text"])
+            yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(texts, pa.string())], ["rid", "text"])
 
-    some = spans.mapInArrow(task, "_rid bigint, _text string").dropDuplicates(["_rid"])
-    gone = members.where("copy").select(F.col("rid").alias("_rid"), F.lit("").alias("_text")).distinct()
-    changed = some.unionByName(gone)
+    some = spans.mapInArrow(task, "rid bigint, text string").dropDuplicates(["rid"])
+    gone = members.where("copy").select("rid", F.lit("").alias("text")).distinct()
+    own, new = unused(docs, "_rid"), unused(docs, "_text")
+    changed = some.unionByName(gone).select(F.col("rid").alias(own), F.col("text").alias(new))
     rid = F.xxhash64(F.col("`doc_id`").cast("bigint"), F.coalesce("`text`", F.lit("")))
-    joined = docs.withColumn("_rid", rid).join(changed, "_rid", "left").where("_text is null or _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    joined = docs.withColumn(own, rid).join(changed, own, "left")
+    joined = joined.where(F.col(new).isNull() | F.col(new).rlike("[^\\x20\\x09-\\x0D]"))
     return joined.select(
-        *[F.coalesce("_text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+        *[F.coalesce(new, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     )
