@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import jaccard, packing, pii, quality, substrings
 from tracewright.llm.queries import WORD_TOKENIZER
+from tracewright.llm.text import unused
 from tracewright.session import scratch_path
 
 #: Near duplicates: shingles of five words, and a similarity of 0.8 or more.
@@ -16,10 +17,11 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Rows without an id are judged like others, by id and text together."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    judged = quality.quality_rules(keyed.select(F.col("_key").alias("doc_id"), "text", "lang"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").drop("_key")
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    judged = quality.quality_rules(keyed.select(F.col(key).alias("doc_id"), "text", "lang"))
+    kept = judged.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
