@@ -1,8 +1,11 @@
 """The dealt methods against brute force, and columns of documents that are named like inner ones."""
 
+import random
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,17 @@ def test_columns_named_like_inner_ones(spark):
     none = docs.where("false")
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, none, "").collect() == []
+
+
+def test_ids_of_words_are_those_of_whole_texts(monkeypatch):
+    """Also when words are forgotten between batches, and for letters whose lower case is special."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    encoder, rnd = packing.WordIds(path), random.Random(5)
+    letters = "abcXYZ.,\u00c0\u00ff\u00df\u00c9\u00d7\u00f7'\u2019\u0130\u0131\u017f\u212a 1 2-_\ufb01\u0446\u044f \x1c\u0085\t\n\u3000"
+    for _ in range(5):
+        texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 60))) for _ in range(300)] + ["", ".", ",", ".,", "a.,", "..", "a.."]
+        ids, ends = packing.flat_ids(pa.array(texts), encoder)
+        for text, a, b in zip(texts, ends[:-1], ends[1:]):
+            assert ids[a:b].tolist() == encoder.encoder.encode(text, add_special_tokens=False).ids
+    assert packing.flat_ids(pa.array(["", " "]), encoder)[1].tolist() == [0, 0, 0]

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +23,19 @@ END_ID = 1
 GROUP_PIECES = 16_384
 #: Words whose ids a task remembers before it forgets them all.
 REMEMBERED = 600_000
-LATIN = frozenset(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
+#: A word of Latin letters alone (A-Z, a-z, U+00C0 to U+00FF without the two signs), perhaps with a stop or comma after it.
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
+#: Words given to the tokenizer as one sequence.
+SEQUENCE = 4000
 
 
 class WordIds:
     """Token ids of words between ASCII white space.
 
     The tokenizer works on each such word for itself (it normalises and splits at white space), so the ids
-    of a text are those of its words in order. Each word is encoded once as long as it is remembered: it has a number,
-    and its ids stand in one long array.
+    of a text are those of its words in order. A word is one or two units: a Latin word is looked up in lower case, and
+    apart from a stop or comma after it. Each unit is encoded once as long as it is remembered, in a sequence of many
+    units whose ids say which one they are from; its ids stand in one long array. Unit 0 is empty.
     """
 
     def __init__(self, tokenizer: str):
@@ -41,32 +46,41 @@ class WordIds:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.unit: dict[str, int] = {"": 0}
+        self.units = np.zeros((0, 2), np.int64)
+        self.start, self.flat = np.zeros(2, np.int64), np.zeros(0, np.uint32)
+        self._encode([".", ","])
+
+    def _encode(self, new: list[str]) -> None:
+        """Number new units and keep their ids."""
+        self.unit.update(zip(new, range(len(self.unit), len(self.unit) + len(new))))
+        runs = [new[at : at + SEQUENCE] for at in range(0, len(new), SEQUENCE)]
+        flat, sizes = [self.flat], []
+        for run, found in zip(runs, self.encoder.encode_batch(runs, is_pretokenized=True, add_special_tokens=False)):
+            flat.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(run)))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate(flat)
 
     def _learn(self, new: list[str]) -> None:
-        """Number new words; a Latin word is encoded in lower case, and apart from a stop or comma after it."""
-        parts, wanted = [], {".": None, ",": None}
-        for word in new:
-            stem = word[:-1] if word[-1] in ".," else word
-            if stem and LATIN.issuperset(stem):
-                parts.append((stem.lower(), word[-1] if stem is not word else None))
-            else:
-                parts.append((word, None))
-            wanted[parts[-1][0]] = None
-        stems = self.stems
-        wanted = [w for w in wanted if w not in stems]
-        for at in range(0, len(wanted), 5000):
-            some = wanted[at : at + 5000]
-            for word, found in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False)):
-                stems[word] = found.ids
-        ids = [stems[x] + stems[end] if end else stems[x] for x, end in parts]
+        """Number new words and say which units they are made of."""
+        words = pa.array(new, pa.large_string())
+        latin = pc.match_substring_regex(words, LATIN)
+        stems = pc.if_else(latin, pc.utf8_lower(pc.utf8_rtrim(words, ".,")), words).to_numpy(zero_copy_only=False).tolist()
+        unit = self.unit
+        unknown = list(dict.fromkeys(x for x in stems if x not in unit))
+        if unknown:
+            self._encode(unknown)
+        made = np.zeros((len(new), 2), np.int64)
+        made[:, 0] = np.fromiter(map(unit.__getitem__, stems), np.int64, len(new))
+        for end in ".,":
+            ends = pc.and_(latin, pc.ends_with(words, end)).to_numpy(zero_copy_only=False)
+            made[ends, 1] = unit[end]
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        ends = self.start[-1] + np.cumsum([len(x) for x in ids])
-        self.start = np.concatenate([self.start, ends])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
+        self.units = np.concatenate([self.units, made])
 
     def numbers(self, found: list[str]) -> np.ndarray:
+        """The number of each word."""
         if len(self.number) > REMEMBERED:
             self._forget()
         new = [w for w in found if w not in self.number]
@@ -84,12 +98,13 @@ def _encoder(tokenizer: str) -> WordIds:
 def flat_ids(texts: pa.Array, encoder: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each text's begin and end."""
     distinct, code, offsets = coded_words(texts)
-    number = encoder.numbers(distinct)[code] if distinct else np.zeros(0, np.int64)
-    first = encoder.start[number]
-    size = encoder.start[number + 1] - first
+    number = encoder.numbers(distinct)[code]
+    units = encoder.units[number].ravel()
+    first = encoder.start[units]
+    size = encoder.start[units + 1] - first
     ends = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
-    return encoder.flat[at], ends[offsets]
+    return encoder.flat[at], ends[2 * offsets]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -68,7 +68,7 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     offsets = split.offsets.to_numpy()
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
-    distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
     if "" in distinct:  # beside white space at the ends of a text
         at = distinct.index("")
         some = code != at
