@@ -206,3 +206,27 @@ def test_the_guilty_variable_ranks_first(spark):
     first, second = ranked.collect()
     assert (first.treatment_var, first.score) == ("bad", 1.0)
     assert cf.ranking(ranked, exclude_vars=["bad"]).collect() == [second]
+
+
+def test_other_outcomes_are_not_fitted(spark):
+    data = sample(spark).withColumn("Outcome", F.when(F.col("TreatmentVar") == "hot", F.col("Outcome") * 3).otherwise(F.col("Outcome")))
+    with pytest.raises(ValueError, match="'hot'"):
+        md.fit_models(data)
+
+
+def test_one_outcome_where_there_is_a_treatment(spark):
+    rows = [("t", 1.0, 1.0, "half", float(i), 1) for i in range(4)] + [("t", 1.0, 1.0, "half", None, 0)]
+    model = md.fit_models(spark.createDataFrame(rows, SCHEMA)).first()
+    assert (model.treatment_var, model.kind, model.const_class) == ("half", "constant", 1)
+
+
+def test_residuals_tell_a_finished_fit(spark):
+    data = sample(spark)
+    models = md.fit_models(data)
+    moved = models.withColumn("intercept", F.col("intercept") + 0.1)
+    good, bad = ({r.treatment_var: r for r in md.fit_residuals(data, m).collect()} for m in (models, moved))
+    share = {r.TreatmentVar: r.y for r in data.groupBy("TreatmentVar").agg(F.avg("Outcome").alias("y")).collect()}
+    assert set(good) == {"x", "hot"}
+    for var in good:
+        assert good[var].residual < 1e-6 < 1e-3 < bad[var].residual
+        assert good[var].mean_score == pytest.approx(share[var], abs=1e-6)

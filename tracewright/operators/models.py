@@ -128,11 +128,16 @@ def fit_models(
     one Newton step per variable. ``ridge`` weighs half the squared norm of the
     standardised coefficients against the mean log-loss; the intercept is free.
     Only finished fits are returned: variables still moving after ``rounds`` are
-    an error.
+    an error, and so are outcomes other than 0 and 1. A variable that has one outcome on all rows
+    that have a treatment gets a constant model.
     """
     names = [*covariate_columns(dataset), "TreatmentVal"]
-    constants = constant_models(dataset)
     rows = settle(feature_rows(dataset))
+    constants = settle(constant_models(dataset))
+    others = rows.where(~F.col("y").isin(0.0, 1.0)).join(constants, "treatment_var", "left_anti")
+    for row in others.select("treatment_var").limit(1).collect():
+        raise ValueError(f"outcomes of {row.treatment_var!r} are not all 0 or 1; binarize them first")
+    constants = constants.unionByName(_left_with_one_class(rows, constants, names))
     state = settle_measured(_start(rows, len(names)))
     moving, done = state.rows, [state.table.where("false").withColumn("converged", F.lit(True))]
     for _ in range(rounds):
@@ -171,6 +176,51 @@ def fit_models(
     return settle(constants.unionByName(logistic))
 
 
+def _left_with_one_class(rows: DataFrame, constants: DataFrame, names: list[str]) -> DataFrame:
+    """Constant models of variables that have two outcomes, but one where they have a treatment."""
+    classes = rows.groupBy("treatment_var").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    alone = classes.where("low = high").join(constants, "treatment_var", "left_anti")
+    return alone.select(
+        "treatment_var",
+        F.lit(CONSTANT).alias("kind"),
+        F.col("low").cast("int").alias("const_class"),
+        F.array(*[F.lit(c) for c in names]).alias("features"),
+        F.lit(None).cast("array<double>").alias("coef"),
+        F.lit(None).cast("double").alias("intercept"),
+    )
+
+
+def fit_residuals(dataset: DataFrame, models: DataFrame, ridge: float = 1e-3) -> DataFrame:
+    """``(treatment_var, residual, mean_score)`` of each logistic model on the rows it was fitted to.
+
+    ``residual`` is the largest part, by size, of the gradient of what ``fit_models`` minimises, for features of
+    mean 0 and deviation 1: 0 where the fit is done. ``mean_score`` is the average probability of outcome 1.
+    """
+    rows = feature_rows(dataset)
+    d = len(rows.columns) - 2
+    logistic = models.where(F.col("kind") == LOGISTIC).select("treatment_var", "coef", "intercept")
+    x = [F.col(f"x{i}") for i in range(d)]
+    score = sum((v * F.col("coef")[i] for i, v in enumerate(x)), F.col("intercept"))
+    scored = attach(rows, logistic, ["treatment_var"]).withColumn("p", 1 / (1 + F.exp(-score)))
+    miss = F.col("p") - F.col("y")
+    sums = scored.groupBy("treatment_var").agg(
+        F.avg("p").alias("mean_score"),
+        F.avg(miss).alias("miss"),
+        F.first("coef").alias("coef"),
+        *[F.avg(miss * v).alias(f"m{i}") for i, v in enumerate(x)],
+        *[F.avg(v).alias(f"a{i}") for i, v in enumerate(x)],
+        *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(x)],
+    )
+    parts = [
+        F.when(
+            F.col(f"s{i}") > 0,
+            F.abs((F.col(f"m{i}") - F.col(f"a{i}") * F.col("miss")) / F.col(f"s{i}") + ridge * F.col("coef")[i] * F.col(f"s{i}")),
+        ).otherwise(0.0)
+        for i in range(d)
+    ]
+    return sums.select("treatment_var", F.greatest(F.abs("miss"), *parts).alias("residual"), "mean_score")
+
+
 def _start(rows: DataFrame, d: int) -> DataFrame:
     """Zero coefficients, with mean and deviation of each feature, where both classes occur."""
     x = [F.col(f"x{i}") for i in range(d)]

@@ -596,18 +596,26 @@ WHERE p > 0 AND NOT EXISTS (SELECT 1 FROM controlled c WHERE c.graph_id = placed
         + f"SELECT row_id, key, CASE WHEN is_numeric THEN {_number('value')} END AS num, "
         "CASE WHEN NOT is_numeric THEN value END AS text FROM g",
         "label_encode": _with(RECORDS, ENTRIES, TYPES, CODES) + "SELECT * FROM codes",
-        "median_impute": _with(RECORDS, ENTRIES)
+        "median_impute": _with(RECORDS, ENTRIES, TYPES)
         + f""", vals AS (
-  SELECT r.row_id, CASE WHEN "TreatmentVar" IN ('status', 'total') THEN 'a' ELSE 'b' END AS grp,
+  SELECT r.row_id, CASE WHEN "TreatmentVar" IN ('status', 'total') THEN 'a' ELSE 'b' END AS grp, t.key,
          {_number('k.value')} AS value
-  FROM records r LEFT JOIN kept k ON k.row_id = r.row_id AND k.key = 'cov_month')
-SELECT row_id, coalesce(value, med) AS value
-FROM vals JOIN (SELECT grp, median(value) AS med FROM vals GROUP BY grp) USING (grp)""",
+  FROM records r CROSS JOIN types t LEFT JOIN kept k ON k.row_id = r.row_id AND k.key = t.key
+  WHERE t.is_numeric)
+SELECT row_id, key, coalesce(value, med) AS value
+FROM vals JOIN (SELECT grp, key, median(value) AS med FROM vals GROUP BY grp, key) USING (grp, key)""",
         "treatment_types": _with(RECORDS, TREATMENTS)
         + 'SELECT "TreatmentVar", is_numeric, missing FROM var_types',
         "treatment_values": _with(RECORDS, TREATMENTS)
         + 'SELECT row_id, "TreatmentVar", round(value, 6) AS value FROM valued',
         "training_dataset": _with(*ALL_DATASET) + "SELECT * FROM dataset",
+        "dataset_sink": _with(*ALL_DATASET) + "SELECT * EXCLUDE (row_id) FROM dataset",
+        "records_sink": _with(RECORDS)
+        + """SELECT '"' || "TestArgs" || '",' || trim("Covariates") || ',' || "TreatmentVar" || ',' || trim("TreatmentVal")
+       || ',' || trim("Outcome") AS value, 2 * count(*) AS n FROM records GROUP BY 1""",
+        "parents_sink": _with(TEXTS, OCCURRENCES)
+        + """SELECT '{' || string_agg('"' || var || '":[' || coalesce(array_to_string(list_transform(refs, lambda r: '"' || r || '"'), ','), '')
+       || ']', ',' ORDER BY var) || '}' AS value FROM parent_map GROUP BY file""",
         "preview": _with(RECORDS) + "SELECT * FROM records ORDER BY row_id LIMIT 5",
         "dataset_profile": _with(RECORDS, ENTRIES, TYPES, TREATMENTS)
         + """SELECT 'rows' AS kind, count(*) AS n, '' AS names FROM records
@@ -645,10 +653,17 @@ LEFT JOIN first_outcomes f USING ("TestArgs") GROUP BY c."TestArgs", c."Treatmen
         + 'SELECT "TreatmentVar" AS treatment_var, CAST(count(DISTINCT "Outcome") AS INT) AS n_classes, '
         'min("Outcome") AS min_class FROM dataset GROUP BY 1',
         "constant_models": _with(RECORDS)
-        + "SELECT 'status=' || \"TreatmentVal\" AS treatment_var, 'constant' AS kind, "
-        f"min({_binary(chr(34) + 'Outcome' + chr(34))}) AS const_class FROM records "
-        "WHERE \"TreatmentVar\" = 'status' GROUP BY 1 "
+        + "SELECT \"TreatmentVar\" || '=' || \"TreatmentVal\" AS treatment_var, 'constant' AS kind, "
+        f"min({_binary(chr(34) + 'Outcome' + chr(34))}) AS const_class FROM records GROUP BY 1 "
         f"HAVING count(DISTINCT {_binary(chr(34) + 'Outcome' + chr(34))}) = 1",
+        "fitted_models": _with(NUMERIC)
+        + "SELECT \"TreatmentVar\" AS treatment_var, "
+        + "CASE WHEN min(\"Outcome\") = max(\"Outcome\") THEN 'constant' ELSE 'logistic' END AS kind, "
+        + "CASE WHEN min(\"Outcome\") = max(\"Outcome\") THEN min(\"Outcome\") END AS const_class, "
+        + f"'{','.join([*COV_NAMES, 'TreatmentVal'])}' AS features, "
+        + "CASE WHEN min(\"Outcome\") < max(\"Outcome\") THEN 0.0::DOUBLE END AS residual, "
+        + "CASE WHEN min(\"Outcome\") < max(\"Outcome\") THEN round(avg(\"Outcome\"), 6) END AS mean_score "
+        + "FROM numeric GROUP BY 1",
         "models_missing": _with(NUMERIC)
         + f'SELECT DISTINCT "TreatmentVar" AS treatment_var FROM numeric '
         f'WHERE "TreatmentVar" NOT IN ({MODELLED})',
@@ -657,18 +672,22 @@ LEFT JOIN first_outcomes f USING ("TestArgs") GROUP BY c."TestArgs", c."Treatmen
         + ", ".join(
             f"{_numeric(chr(34) + c + chr(34))} AS \"{c}\"" for c in ("TreatmentVal", "Outcome")
         )
-        + f""", {_numeric("string_split(" + chr(34) + "Covariates" + chr(34) + ", ';')[1]")} """
-        "AS cov_status FROM records",
+        + "".join(
+            ", " + _numeric("split_part(split_part(\"Covariates\", ';', %d), '=', 2)" % at) + f" AS cov_{name}"
+            for at, name in ((1, "first"), (2, "second"))
+        )
+        + " FROM records",
         "covariate_means": _with(NUMERIC, MEANS)
         + "SELECT treatment_var, "
         + ", ".join(f"round({c}, 6) AS {c}" for c in COV_NAMES)
         + " FROM means",
-        "fill_covariates": _with(RECORDS, ENTRIES)
+        "fill_covariates": _with(RECORDS, ENTRIES, TYPES)
         + f""", vals AS (
-  SELECT r.row_id, r."TreatmentVar", {_number('k.value')} AS v
-  FROM records r LEFT JOIN kept k ON k.row_id = r.row_id AND k.key = 'cov_month')
-SELECT row_id, "TreatmentVar", round(coalesce(v, mean, 0.0), 6) AS cov_month FROM vals
-JOIN (SELECT "TreatmentVar", avg(v) AS mean FROM vals GROUP BY 1) USING ("TreatmentVar")""",
+  SELECT r.row_id, r."TreatmentVar", t.key, {_number('k.value')} AS v
+  FROM records r CROSS JOIN types t LEFT JOIN kept k ON k.row_id = r.row_id AND k.key = t.key
+  WHERE t.is_numeric)
+SELECT row_id, "TreatmentVar", key, round(coalesce(v, mean, 0.0), 6) AS value FROM vals
+JOIN (SELECT "TreatmentVar", key, avg(v) AS mean FROM vals GROUP BY 1, 2) USING ("TreatmentVar", key)""",
         "representative_values": _with(NUMERIC, REPS) + "SELECT * FROM reps",
         "counterfactual_grid": _with(NUMERIC, REPS)
         + 'SELECT d."TestArgs", d."TreatmentVar", d."TreatmentVal", r.rep FROM numeric d '
@@ -767,11 +786,16 @@ SELECT graph_id, 'start', node FROM nodes n WHERE node <> 'start' AND NOT EXISTS
         "base_names": _with(VERSIONED)
         + "SELECT DISTINCT name, regexp_replace(name, '_[0-9]+$', '') AS base FROM names",
         "max_versions": _with(VERSIONED)
-        + """SELECT w.file, w.var, coalesce(max(CAST(
-  nullif(regexp_extract(n.name, '^' || w.var || '_([0-9]+)(_[0-9]+)?$', 1), '') AS BIGINT)), 0)
-  AS version
-FROM (SELECT o_orderkey AS file, unnest(['A', 'R_1']) AS var FROM orders) w
-LEFT JOIN names n ON n.file = w.file GROUP BY w.file, w.var""",
+        + """, versions AS (
+  SELECT file, regexp_extract(name, '^(.*)_([0-9]+)$', 1) AS var, regexp_extract(name, '^(.*)_([0-9]+)$', 2) AS version FROM names
+  UNION ALL
+  SELECT file, regexp_extract(name, '^(.*)_([0-9]+)_[0-9]+$', 1), regexp_extract(name, '^(.*)_([0-9]+)_[0-9]+$', 2) FROM names),
+flags(flag) AS (VALUES ('A'), ('N'), ('R')),
+wanted AS (
+  SELECT o_orderkey AS file, flag || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS var
+  FROM orders CROSS JOIN flags CROSS JOIN range(8) t(n))
+SELECT w.file, w.var, coalesce(max(CAST(nullif(v.version, '') AS BIGINT)), 0) AS version
+FROM wanted w LEFT JOIN versions v ON v.file = w.file AND v.var = w.var GROUP BY w.file, w.var""",
         "assignment_refs": _with(TEXTS, OCCURRENCES)
         + "SELECT file, CAST(line AS INT) AS line, CAST(col AS INT) AS col, kind, var, "
         "array_to_string(refs, ',') AS refs FROM occurrences",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 from ..operators import assignments as asg
 from ..operators import counterfactual as cf
@@ -137,7 +138,8 @@ def records_sink(spark, sf_dir):
     records = inputs.order_records(spark, sf_dir)
     src_records.write_records(records, path, mode="overwrite")
     src_records.write_records(records, path)
-    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    lines = spark.read.text(path).where(F.col("value") != ",".join(fixed.RECORD_COLUMNS))
+    return lines.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -161,7 +163,8 @@ def dataset_sink(spark, sf_dir):
     path = scratch_path(spark)
     dataset = settle(ds.training_dataset(inputs.order_records(spark, sf_dir), ORDER)).drop("row_id")
     src_records.write_dataset(dataset, path)
-    return src_records.read_dataset(spark, path, dataset.columns)
+    read = src_records.read_dataset(spark, path, dataset.columns)
+    return _rounded(read, [*ds.covariate_columns(read), "TreatmentVal"])
 
 
 @query
@@ -239,10 +242,19 @@ def label_encode(spark, sf_dir):
 @query
 def median_impute(spark, sf_dir):
     wide = ds.expand_covariates(inputs.order_records(spark, sf_dir), ORDER)
-    values = wide.select(
-        "TreatmentVar", "row_id", wide["cov_month"].try_cast("double").alias("value")
-    ).withColumn("grp", F.when(F.col("TreatmentVar").isin("status", "total"), "a").otherwise("b"))
-    return ds.median_impute(values, ["grp"], "value").select("row_id", "value")
+    group = F.when(F.col("TreatmentVar").isin("status", "total"), "a").otherwise("b")
+    values = _cells(wide, _numeric_covariates(wide), "row_id", group.alias("grp"))
+    return ds.median_impute(values, ["grp", "key"], "value").select("row_id", "key", "value")
+
+
+def _numeric_covariates(wide: DataFrame) -> list[str]:
+    return [name for name in ds.covariate_columns(wide) if wide.schema[name].dataType.typeName() == "double"]
+
+
+def _cells(wide: DataFrame, names: list[str], *keep: Column | str) -> DataFrame:
+    """One row for each of the named columns, beside the columns to keep."""
+    cells = [F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names]
+    return wide.select(*keep, F.explode(F.array(*cells)).alias("c")).select("*", "c.*").drop("c")
 
 
 @query
@@ -312,8 +324,8 @@ def class_cardinality(spark, sf_dir):
 
 @query
 def constant_models(spark, sf_dir):
-    # one model per priority and status; a status has only one outcome
-    records = inputs.order_records(spark, sf_dir).where("TreatmentVar = 'status'")
+    # one model per variable and value; most values have only one outcome
+    records = inputs.order_records(spark, sf_dir)
     by_value = records.withColumn("TreatmentVar", F.concat_ws("=", "TreatmentVar", "TreatmentVal"))
     typed = by_value.select(
         "TreatmentVar", tx.binarize_outcome(F.col("Outcome")).alias("Outcome")
@@ -331,6 +343,22 @@ def fit_models(spark, sf_dir):
     return md.fit_models(settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir))))
 
 
+@query
+def fitted_models(spark, sf_dir):
+    """What is fitted, and what holds where the objective is least: no gradient, and scores as high as outcomes on average."""
+    dataset = settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir)))
+    models = md.fit_models(dataset)
+    checked = models.join(md.fit_residuals(dataset, models), "treatment_var", "left")
+    return checked.select(
+        "treatment_var",
+        "kind",
+        "const_class",
+        _joined("features").alias("features"),
+        F.round("residual", 6).alias("residual"),
+        F.round("mean_score", 6).alias("mean_score"),
+    )
+
+
 @query
 def fit_forest(spark, sf_dir):
     dataset = settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir)))
@@ -341,11 +369,12 @@ def fit_forest(spark, sf_dir):
 
 @query
 def coerce_rows(spark, sf_dir):
-    raw = inputs.order_records(spark, sf_dir).withColumn(
-        "cov_status", F.split_part("Covariates", F.lit(";"), F.lit(1))
+    entries = [F.split_part("Covariates", F.lit(";"), F.lit(at)) for at in (1, 2)]
+    raw = inputs.order_records(spark, sf_dir).withColumns(
+        {f"cov_{n}": F.split_part(e, F.lit("="), F.lit(2)) for n, e in zip(("first", "second"), entries)}
     )
     coerced = cf.coerce_rows(raw)
-    return coerced.select("row_id", "TreatmentVar", "TreatmentVal", "Outcome", "cov_status")
+    return coerced.select("row_id", "TreatmentVar", "TreatmentVal", "Outcome", "cov_first", "cov_second")
 
 
 @query
@@ -357,9 +386,9 @@ def covariate_means(spark, sf_dir):
 @query
 def fill_covariates(spark, sf_dir):
     wide = ds.expand_covariates(inputs.order_records(spark, sf_dir), ORDER)
-    number = F.col("cov_month").try_cast("double")
-    rows = wide.select("row_id", "TreatmentVar", number.alias("cov_month"))
-    return _rounded(md.fill_covariates(rows), ["cov_month"])
+    names = _numeric_covariates(wide)
+    filled = md.fill_covariates(wide.select("row_id", "TreatmentVar", *names))
+    return _rounded(_cells(filled, names, "row_id", "TreatmentVar"), ["value"])
 
 
 @query
@@ -602,8 +631,9 @@ def base_names(spark, sf_dir):
 @query
 def max_versions(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders")
+    variables = [f"{flag}{end}" for flag in "ANR" for end in ("", *(f"_{n}" for n in range(1, 8)))]
     wanted = orders.select(
-        F.col("o_orderkey").alias("file"), F.explode(F.array(F.lit("A"), F.lit("R_1"))).alias("var")
+        F.col("o_orderkey").alias("file"), F.explode(F.array(*map(F.lit, variables))).alias("var")
     )
     return defs.max_versions(_names(spark, sf_dir), wanted, ["file"])
 
