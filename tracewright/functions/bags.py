@@ -25,17 +25,9 @@ def covariate_entries(bag: Column) -> Column:
     return F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed one time per row, however often it is read later.
-
-    Spark may copy a plain column's expression into each of its uses; it does
-    not copy one out of an explode.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _parsed(records: DataFrame) -> DataFrame:
-    return once(records, "_entries", covariate_entries(F.col("Covariates")))
+    # read several times by what follows, so Spark computes it once per row; and not at all where nothing reads it
+    return records.withColumn("_entries", covariate_entries(F.col("Covariates")))
 
 
 def _repeated(start: Column, length: Column, key: Column) -> Column:
@@ -58,7 +50,7 @@ def with_bag(records: DataFrame) -> DataFrame:
     """Add ``bag``: ``key -> value`` of the record's covariates; of a repeated key the last."""
     last = F.filter("_entries", _is_last)
     bag = F.map_from_entries(F.when(_keys_differ(), F.col("_entries")).otherwise(last))
-    return once(_parsed(records), "bag", bag).drop("_entries")
+    return _parsed(records).withColumn("bag", bag).drop("_entries")
 
 
 def explode_entries(records: DataFrame) -> DataFrame:

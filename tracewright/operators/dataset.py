@@ -152,25 +152,39 @@ def variable() -> Column:
     return F.struct("TreatmentVar")
 
 
-def treatment_codes(records: DataFrame, order: list[str], types: Settled) -> DataFrame:
+def distinct_treatments(records: DataFrame, order: list[str]) -> DataFrame:
+    """``(TreatmentVar, TreatmentVal, at, n)``: each variable's distinct values, where first seen and how often.
+
+    Types, codes and medians all follow from this one pass.
+    """
+    return records.groupBy("TreatmentVar", "TreatmentVal").agg(
+        F.min(row_order(order)).alias("at"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def types_of_treatments(values: DataFrame) -> DataFrame:
+    """``treatment_types`` from the distinct values."""
+    value = F.col("TreatmentVal")
+    return values.groupBy("TreatmentVar").agg(
+        F.coalesce(F.bool_and(is_number(value)), F.lit(False)).alias("is_numeric"),
+        F.sum(F.when(to_number(value).isNull(), F.col("n")).otherwise(0)).alias("missing"),
+    )
+
+
+def treatment_codes(values: DataFrame, types: Settled) -> DataFrame:
     """``(variable, TreatmentVal, code)`` of the categorical treatment variables, ``variable`` holding ``TreatmentVar``."""
     categorical = types.table.where(~F.col("is_numeric")).select(variable().alias("variable"))
-    seen = (
-        attach(records.withColumn("variable", variable()), categorical, ["variable"], "left_semi", size=types.bytes)
-        .where(F.col("TreatmentVal").isNotNull())
-        .groupBy("variable", "TreatmentVal")
-        .agg(F.min(row_order(order)).alias("at"))
-    )
+    seen = values.where(F.col("TreatmentVal").isNotNull()).select(variable().alias("variable"), "TreatmentVal", "at")
+    seen = attach(seen, categorical, ["variable"], "left_semi", size=types.bytes)
     return encode_first_seen(seen, ["variable"], "TreatmentVal", "at")
 
 
-def treatment_medians(records: DataFrame, types: Settled) -> DataFrame:
+def treatment_medians(values: DataFrame, types: Settled) -> DataFrame:
     """``(variable, median)`` for numeric variables that miss values."""
     wanted = types.table.where("is_numeric AND missing > 0").select(variable().alias("variable"))
-    numbers = attach(records.withColumn("variable", variable()), wanted, ["variable"], "left_semi", size=types.bytes).select(
-        "variable", to_number(F.col("TreatmentVal")).alias("num")
-    )
-    counts = numbers.groupBy("variable", "num").agg(F.count(F.lit(1)).alias("n"))
+    numbers = values.select(variable().alias("variable"), to_number(F.col("TreatmentVal")).alias("num"), "n")
+    numbers = attach(numbers, wanted, ["variable"], "left_semi", size=types.bytes)
+    counts = numbers.groupBy("variable", "num").agg(F.sum("n").alias("n"))
     return exact_median(counts, ["variable"], "num", "n")
 
 
@@ -180,20 +194,21 @@ def treatment_values(records: DataFrame, order: list[str]) -> DataFrame:
     Records with a NULL variable are treated like those of any other one.
     """
     numeric = F.col("is_numeric")
+    values = settle(distinct_treatments(records, order))
     types = settle_measured(
-        treatment_types(records),
+        types_of_treatments(values),
         coded=F.count_if(~numeric),
         lacking=F.count_if(numeric & (F.col("missing") > 0)),
     )
     facts = types.table.select(variable().alias("variable"), "is_numeric")
     if types.counts["lacking"]:
-        facts = facts.join(treatment_medians(records, types), "variable", "left")
+        facts = facts.join(treatment_medians(values, types), "variable", "left")
     else:
         facts = facts.withColumn("median", F.lit(None).cast("double"))
     typed = attach(records.withColumn("variable", variable()), facts, ["variable"], "left")
     code = F.lit(fixed.MISSING_CODE)
     if types.counts["coded"]:
-        codes = treatment_codes(records, order, types)
+        codes = treatment_codes(values, types)
         typed = attach(typed, codes, ["variable", "TreatmentVal"], "left")
         code = F.coalesce("code", code)
     number = F.coalesce(to_number(F.col("TreatmentVal")), F.col("median"))
