@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.bags import with_bag
 from tracewright.operators import dataset as ds
+from tracewright.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_unread_bags_are_not_parsed(spark):
@@ -24,3 +27,9 @@ def test_treatments_follow_from_one_pass(spark):
     assert types == {tuple(r) for r in ds.treatment_types(records).collect()}
     got = ds.treatment_values(records, ["row_id"]).orderBy("row_id").collect()
     assert [r.value for r in got] == [2.0, 2.0, 2.0, 8.0, 0.0, -1.0, 7.0]
+
+
+def test_cells_are_parsed_once(spark):
+    for name in ("per_test_aggregate",):
+        read = QUERIES[name](spark, SF).inputFiles()
+        assert read and not any("orders" in f for f in read), name

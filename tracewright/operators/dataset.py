@@ -307,34 +307,43 @@ def per_test_aggregate(records: DataFrame, order: list[str]) -> DataFrame:
     test's other variables: pairs of the test that the variable itself lacks.
     """
     outcome_row = F.col("TreatmentVar") == "Outcome"
-    outcomes = records.groupBy("TestArgs").agg(
-        F.coalesce(
-            F.min_by(
-                binarize_outcome(F.col("TreatmentVal")),
-                F.when(outcome_row, row_order(order)),
-            ),
-            F.lit(0),
-        ).alias("outcome")
-    )
-    candidates = records.where(~outcome_row)
-    means = candidates.groupBy("TestArgs", "TreatmentVar").agg(
-        F.avg(to_number(F.col("TreatmentVal"))).alias("value")
-    )
     prefix = len(fixed.COVARIATE_PREFIX) + 1
+    pairs = F.transform(
+        F.map_entries("bag"),
+        lambda e: F.concat(F.substring(e["key"], prefix, 1 << 30), F.lit("="), e["value"]),
+    )
+    # one row per pair; the record's value is beside the first of them only, so that it counts once
     listed = (
-        with_bag(candidates)
-        .select("TestArgs", "TreatmentVar", F.explode_outer("bag").alias("key", "value"))
+        with_bag(records.where(F.col("TreatmentVar").isNotNull()))
         .select(
             "TestArgs",
             "TreatmentVar",
-            F.concat(F.substring("key", prefix, 1 << 30), F.lit("="), "value").alias("pair"),
+            "TreatmentVal",
+            row_order(order).alias("at"),
+            F.posexplode_outer(F.when(~outcome_row, pairs)).alias("place", "pair"),
+        )
+        .select(
+            "TestArgs",
+            "TreatmentVar",
+            "pair",
+            F.when(F.coalesce("place", F.lit(0)) == 0, to_number(F.col("TreatmentVal"))).alias("value"),
+            F.when(outcome_row, F.col("at")).alias("at"),
+            F.when(outcome_row, binarize_outcome(F.col("TreatmentVal"))).alias("outcome"),
+        )
+    )
+    own = settle(
+        listed.groupBy("TestArgs", "TreatmentVar").agg(
+            F.avg("value").alias("value"),
+            F.collect_set("pair").alias("own"),
+            F.min_by("outcome", "at").alias("outcome"),
         )
     )
-    own = listed.groupBy("TestArgs", "TreatmentVar").agg(F.collect_set("pair").alias("own"))
-    union = listed.groupBy("TestArgs").agg(F.collect_set("pair").alias("all"))
-    joined = attach(
-        means.join(own, ["TestArgs", "TreatmentVar"]), union.join(outcomes, "TestArgs"), ["TestArgs"]
+    # a test has one row of own per variable, no more than the lists it is joined with were made from
+    union = own.groupBy("TestArgs").agg(
+        F.array_distinct(F.flatten(F.collect_list("own"))).alias("all"),
+        F.coalesce(F.max("outcome"), F.lit(0)).alias("outcome"),
     )
+    joined = own.where(~outcome_row).drop("outcome").join(union, "TestArgs")
     return joined.select(
         "TestArgs",
         F.array_join(F.array_sort(F.array_except("all", "own")), ";").alias("Covariates"),
