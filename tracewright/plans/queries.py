@@ -387,7 +387,7 @@ def covariate_means(spark, sf_dir):
 def fill_covariates(spark, sf_dir):
     wide = ds.expand_covariates(inputs.order_records(spark, sf_dir), ORDER)
     names = _numeric_covariates(wide)
-    filled = md.fill_covariates(wide.select("row_id", "TreatmentVar", *names))
+    filled = md.fill_covariates(settle(wide.select("row_id", "TreatmentVar", *names)))  # read twice
     return _rounded(_cells(filled, names, "row_id", "TreatmentVar"), ["value"])
 
 
