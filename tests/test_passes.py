@@ -30,6 +30,6 @@ def test_treatments_follow_from_one_pass(spark):
 
 
 def test_cells_are_parsed_once(spark):
-    for name in ("fill_covariates", "per_test_aggregate"):
+    for name in ("median_impute", "fill_covariates", "per_test_aggregate"):
         read = QUERIES[name](spark, SF).inputFiles()
         assert read and not any("orders" in f for f in read), name

@@ -242,8 +242,10 @@ def label_encode(spark, sf_dir):
 @query
 def median_impute(spark, sf_dir):
     wide = ds.expand_covariates(inputs.order_records(spark, sf_dir), ORDER)
+    names = _numeric_covariates(wide)
+    wide = settle(wide.select("row_id", "TreatmentVar", *names))  # read twice
     group = F.when(F.col("TreatmentVar").isin("status", "total"), "a").otherwise("b")
-    values = _cells(wide, _numeric_covariates(wide), "row_id", group.alias("grp"))
+    values = _cells(wide, names, "row_id", group.alias("grp"))
     return ds.median_impute(values, ["grp", "key"], "value").select("row_id", "key", "value")
 
 
