@@ -82,6 +82,16 @@ def test_phrases_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).collect() == []
 
 
+def test_collocations_attach_little_through_the_driver(spark):
+    phrases = spark.createDataFrame([(1, 2, 0, 0, 2, 30)], "c0 bigint, c1 bigint, c2 bigint, c3 bigint, size int, a bigint")
+    parts = spark.createDataFrame([(1, 0, 0, 40), (2, 0, 0, 60)], "p0 bigint, p1 bigint, p2 bigint, f bigint")
+    for size in (1 << 20, 20 << 20):
+        found = collocations._scored(phrases, parts, size)
+        hinted = "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert hinted == (size == 1 << 20)
+        assert [(r.l, r.r, r.score) for r in found.collect()] == [(40, 60, 600000)]
+
+
 def test_shares_keep_what_has_the_same_first_words_together():
     rng = np.random.default_rng(2)
     columns = [rng.integers(1, 5, 4000).astype(np.uint64) for _ in range(4)]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import attach
+from ..operators.joins import BROADCAST_BYTES, attach
 from ..session import Settled, settle, settle_measured
 from .text import mix, only, text_bytes
 
@@ -36,6 +36,8 @@ SLICE_BYTES = 2 << 20
 #: Bits for each frequent word in the filter that cuts suffixes at rare words, and the most that it has in all (8 MB).
 FILTER_SHARE, FILTER_BITS = 16, 1 << 26
 BUCKET_BITS = 1 << 15
+#: The last plan attaches six tables, which the driver holds at the same time: each may have a share of what one may.
+ATTACH_BYTES = BROADCAST_BYTES // 8
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[:] = np.arange(256)
@@ -302,7 +304,7 @@ def _scored(phrases: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     rows = phrases.select(*WORDS, "size", "a", F.explode(cuts).alias("cut")).select(*WORDS, "size", "a", "cut.*")
     for side in "lr":
         named = parts.select(*[F.col(f"p{i}").alias(f"{side}{i}") for i in range(3)], F.col("f").alias(side))
-        rows = attach(rows, named, [f"{side}{i}" for i in range(3)], size=size)
+        rows = attach(rows, named, [f"{side}{i}" for i in range(3)], size=size, broadcast_bytes=ATTACH_BYTES, salts=4)
     wide = [F.col(c).cast("decimal(20,0)") for c in "lr"]
     rows = rows.withColumn("_top", F.col("a").cast("decimal(20,0)") * F.lit(2_000_000).cast("decimal(7,0)"))
     rows = rows.withColumn("_all", wide[0] + wide[1]).withColumn("score", F.expr("cast(_top div _all as bigint)"))
@@ -375,7 +377,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, budget: int
     found = _scored(_kept(nodes), parts.table, parts.bytes)
     for i, c in enumerate(WORDS):
         word = frequent.table.select(F.col("id").alias(c), F.col("word").alias(f"w{i}"), *(["lang"] if not i else []))
-        found = attach(found, word, [c], "left", size=frequent.bytes)
+        found = attach(found, word, [c], "left", size=frequent.bytes, broadcast_bytes=ATTACH_BYTES)
     found = found.withColumn("phrase", F.concat_ws(" ", *[f"w{i}" for i in range(LONGEST)]))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     ranked = attach(first_by(found, "lang", order, top, "phrase"), totals, ["lang"])
