@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.bags import with_bag
 from tracewright.operators import dataset as ds
+from tracewright.operators import models
+from tracewright.plans import queries
 from tracewright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +35,13 @@ def test_cells_are_parsed_once(spark):
     for name in ("median_impute", "fill_covariates", "per_test_aggregate"):
         read = QUERIES[name](spark, SF).inputFiles()
         assert read and not any("orders" in f for f in read), name
+
+
+def test_fits_write_only_what_they_read(spark, monkeypatch):
+    assert "TestArgs" not in queries._fitted_on(spark, SF).columns
+    written = []
+    monkeypatch.setattr(models, "settle", lambda df, f=models.settle: written.append(df.columns) or f(df))
+    rows = [(float(i), "v", float(i % 3), i % 2) for i in range(40)]
+    dataset = spark.createDataFrame(rows, "cov_a double, TreatmentVar string, TreatmentVal double, Outcome int")
+    assert list(models.fit_forest(dataset, ["v"], numTrees=2, maxDepth=2)) == ["v"]
+    assert written == [["y", "features"]]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import format_score, parse_numeric
-from ..session import settle, settle_measured
+from ..session import settle_measured
 from .dataset import covariate_columns, require_columns
 from .joins import attach
 from .models import CONSTANT, LOGISTIC, covariate_means, feature_rows
@@ -199,7 +199,7 @@ def score_forest(dataset: DataFrame, forests: dict, reps: DataFrame | None = Non
     from pyspark.ml.functions import array_to_vector
 
     reps = representative_values(dataset) if reps is None else reps
-    rows = settle(feature_rows(dataset))
+    rows = feature_rows(dataset)  # each forest reads its variable's rows once
     grid = attach(rows, reps, ["treatment_var"]).withColumn(
         "rep", F.explode("reps")
     )

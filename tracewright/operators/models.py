@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import Settled, scratch_path, settle, settle_measured
+from ..session import Settled, drop_settled, scratch_path, settle, settle_measured
 from .dataset import covariate_columns
 from .graphs import union_all
 from .joins import attach
@@ -369,18 +369,21 @@ def _sums_in_numpy(joined: DataFrame, d: int) -> DataFrame:
 def fit_forest(dataset: DataFrame, variables: list[str], **params) -> dict:
     """Random forest of each named variable, trained by Spark's ML library.
 
-    One training job series per variable, so name the few that matter.
+    One training job series per variable, so name the few that matter. The dataset is read once per variable, so pass a settled table.
     """
     from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = feature_rows(dataset)
-    rows = settle(rows.withColumn("features", array_to_vector(feature_array(rows))))
+    rows = rows.select("treatment_var", "y", array_to_vector(feature_array(rows)).alias("features"))
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", **{"seed": 1, **params})
     models = {}
     for variable in variables:
         path = scratch_path(dataset.sparkSession)
-        forest.fit(rows.where(F.col("treatment_var") == variable)).save(path)
+        # training reads its rows several times: only this variable's, which are gone before the next one's are written
+        own = settle(rows.where(F.col("treatment_var") == variable).drop("treatment_var"))
+        forest.fit(own).save(path)
+        drop_settled(own)
         # a reloaded model no longer refers to its training run
         models[variable] = RandomForestClassificationModel.load(path)
     return models
