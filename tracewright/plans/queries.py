@@ -340,15 +340,20 @@ def models_missing(spark, sf_dir):
     return md.models_missing(inputs.numeric_dataset(spark, sf_dir), inputs.linear_models(spark))
 
 
+def _fitted_on(spark, sf_dir):
+    # no model reads the tests' names, and they are a good part of what is written
+    return settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir).drop("TestArgs")))
+
+
 @query
 def fit_models(spark, sf_dir):
-    return md.fit_models(settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir))))
+    return md.fit_models(_fitted_on(spark, sf_dir))
 
 
 @query
 def fitted_models(spark, sf_dir):
     """What is fitted, and what holds where the objective is least: no gradient, and scores as high as outcomes on average."""
-    dataset = settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir)))
+    dataset = _fitted_on(spark, sf_dir)
     models = md.fit_models(dataset)
     checked = models.join(md.fit_residuals(dataset, models), "treatment_var", "left")
     return checked.select(
@@ -363,7 +368,7 @@ def fitted_models(spark, sf_dir):
 
 @query
 def fit_forest(spark, sf_dir):
-    dataset = settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir)))
+    dataset = _fitted_on(spark, sf_dir)
     names = [r.treatment_var for r in md.treatment_vars(dataset).orderBy("treatment_var").collect()]
     forests = md.fit_forest(dataset, names, numTrees=5, maxDepth=4)
     return cf.ranking(cf.suspiciousness(cf.score_forest(dataset, forests)))
