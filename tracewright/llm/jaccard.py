@@ -20,7 +20,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.joins import attach
 from ..session import drop_settled, settle
@@ -96,6 +95,68 @@ def _entries(rows: DataFrame, width: int, percent: int, marks: bytes | None) ->
     return rows.mapInArrow(task, schema)
 
 
+def _comparable(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, longest: int) -> np.ndarray:
+    """Which entries have another one in their list that sizes and positions let them be linked with; ``token`` and ``n`` are
+    in order. Entries of lists longer than ``longest`` all count."""
+    n, left = n.astype(np.int64), n.astype(np.int64) - pos
+    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    length = np.repeat(np.diff(cuts), np.diff(cuts))
+    after = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(token)) - 1
+    kept = length > longest
+    one, ahead = np.flatnonzero(~kept & (after > 0)), 1
+    while len(one):
+        one = one[n[one + ahead] * percent <= n[one] * 100]  # those further on are no smaller
+        other = one + ahead
+        hit = np.minimum(left[one], left[other]) >= required(n[one], n[other], percent)
+        kept[one[hit]] = kept[other[hit]] = True
+        ahead += 1
+        one = one[after[one] >= ahead]
+    return kept
+
+
+def _lists(entries: DataFrame, percent: int, longest: int) -> DataFrame:
+    """(token, id, n, pos, m): the entries of each list that have another to be compared with, and how many there are.
+
+    Two linked sets pass sizes and positions in the list of their first common token, so that no link is lost, and what
+    merely shares a token with others is neither compared with a leader nor moved again.
+    """
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_lists(parts):
+            token, n, pos = (table[c].to_numpy() for c in ("token", "n", "pos"))
+            same = token[1:] == token[:-1]
+            at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+            at = at[np.lexsort((n[at], token[at]))]
+            at = at[_comparable(token[at], n[at], pos[at], percent, longest)] if len(at) else at
+            if not len(at):
+                continue
+            _, place, m = np.unique(token[at], return_inverse=True, return_counts=True)
+            found = table.take(pa.array(at)).append_column("m", pa.array(m[place], pa.int64()))
+            yield from found.combine_chunks().to_batches()
+
+    # sizes are put in order inside the lists, of which most have one entry only
+    rows = entries.repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(task, "token bigint, id bigint, n int, pos int, m bigint")
+
+
+def _whole_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, sorted by token, in tables that end where a list does."""
+    held: list[pa.RecordBatch] = []
+    for batch in parts:
+        token = batch["token"].to_numpy()
+        if not len(token):
+            continue
+        cut = int(np.searchsorted(token, token[-1]))  # the last list may go on
+        if held and (cut or held[-1]["token"][-1].as_py() != token[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _long_lists(rows: DataFrame, width: int, percent: int, longest: int) -> bytes:
     """Bits set for tokens of lists longer than ``longest``: 2^MARK_BITS bits however many there are."""
     counted = _entries(rows, width, percent, None).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > longest)
@@ -225,8 +286,6 @@ def _left_over(lists: DataFrame, percent: int) -> DataFrame:
     names = ["id", "n", "pos", "label", "most", "beside", "near"]
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def out(table: pa.Table) -> pa.RecordBatch:
             token = table["token"].to_numpy()
             cols = {c: table[c].to_numpy() for c in names}
@@ -236,17 +295,7 @@ def _left_over(lists: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(pairs, axis=1) if pairs.size else pairs
             return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
-        for batch in parts:
-            token = batch["token"].to_numpy()
-            if not len(token):
-                continue
-            cut = int(np.searchsorted(token == token[-1], True))  # the last list may go on
-            if cut:
-                yield out(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield out(pa.Table.from_batches(held))
+        yield from map(out, _whole_lists(parts))
 
     rows = lists.repartition("token").sortWithinPartitions("token", "n", "id").select("token", *names)
     return rows.mapInArrow(task, "a bigint, b bigint").distinct()
@@ -333,8 +382,7 @@ def set_components(rows: DataFrame, width: int, percent: int, longest: int = LON
     """(id, component) of sets that are linked to any other. ``rows``: (id, text), an id for each text."""
     marks = _long_lists(rows, width, percent, longest)
     entries = _entries(rows, width, percent, marks)
-    size = F.count("*").over(Window.partitionBy("token"))
-    lists = settle(entries.withColumn("m", size).where("m > 1"))
+    lists = settle(_lists(entries, percent, longest))
 
     # the most central set of each list: its tokens are those that most others have
     central = lists.groupBy("id").agg(F.sum("m").alias("score"))
