@@ -1,9 +1,14 @@
-"""Index lists without entries that cannot be linked."""
+"""Index lists without entries that cannot be linked; words that the piece encoder remembers."""
+
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import sentencepiece
 
 from test_small import docs_of, shingle_components
-from tracewright.llm import jaccard
+from tracewright.llm import jaccard, sentencepieces
+from tracewright.llm.queries import PIECE_MODEL
 
 
 def test_comparable_against_all_pairs():
@@ -60,3 +65,21 @@ def test_sets_that_cannot_be_linked_meet_no_leader(spark, monkeypatch):
     got = jaccard.jaccard_components(docs_of(spark, rows), 4, 85)
     assert sorted(map(tuple, got.collect()), key=str) == shingle_components(rows, 4, 85)
     assert compared[0] == 1
+
+
+def test_words_met_again_are_remembered(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", 100)
+    model = public_tokenizers.path(PIECE_MODEL)
+    pieces = sentencepieces.Pieces(model)
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    made, split = Counter(), pieces.split
+    pieces.split = lambda text: made.update([text]) or split(text)
+    rng = np.random.default_rng(11)
+    for i in range(600):
+        text = f"again  {''.join(rng.choice(list('abetE1é中\U0001f600_-'), 9))} w{i}"
+        ids, decoded = pieces.encode(text)
+        expected = library.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(ids, "<u4").tolist() == expected
+        assert decoded.decode(errors="replace") == library.decode(expected)
+    assert made["▁again"] == 1
+    assert len(pieces.words) + len(pieces.older) <= 100

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +48,11 @@ class Pieces:
         self.begin, self.end = vocabulary.bos_id(), vocabulary.eos_id()
         self.hidden = {i for i in range(size) if vocabulary.is_control(i)}
         self.pairs: dict[tuple[str, str], bool] = {}
+        # words that are met again are taken over when the older half is forgotten
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.code = [i.to_bytes(4, "little") for i in range(size)]
+        self.shown = [self._shown(i) for i in range(size)]
         # merging starts from single characters, so a piece is of use only if merging gives it from them
         self.whole = {p for p in self.id if len(p) == 1 or self._merged(p) == [p]}
         self.matcher = ahocorasick.Automaton()
@@ -84,40 +87,29 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """The pieces of ``text``; characters that no piece has stand alone."""
-        last: list[str | None] = [None] * len(text)
-        at, pairs = -1, self.pairs
-        ending: list[str] = []
-        # matches come in order of their ends, each end once for each piece that ends there
+        if text in self.whole:
+            return [text]
+        last, pairs, settled = list(text), self.pairs, -1
+        # matches come in order of their ends, the longest piece first
         for end, piece in self.matcher.iter(text):
-            if end != at:
-                self._settle(text, last, at, end, ending)
-                at, ending = end, []
-            ending.append(piece)
-        self._settle(text, last, at, len(text), ending)
+            if end == settled:
+                continue
+            before = end - len(piece)
+            if before >= 0:
+                left = last[before]
+                known = pairs.get((left, piece))
+                if known is None:
+                    known = self.compatible(left, piece)
+                    pairs = self.pairs
+                if not known:
+                    continue
+            last[end], settled = piece, end
         out, i = [], len(text) - 1
         while i >= 0:
             out.append(last[i])
             i -= len(last[i])
         return out[::-1]
 
-    def _settle(self, text: str, last: list, at: int, until: int, ending: list[str]) -> None:
-        """The last piece of the prefix that ends at ``at``, and single characters up to ``until``."""
-        if at >= 0:
-            for piece in ending:
-                before = at - len(piece)
-                if before < 0:
-                    last[at] = piece
-                    break
-                left = last[before]
-                known = self.pairs.get((left, piece))
-                if known or (known is None and self.compatible(left, piece)):
-                    last[at] = piece
-                    break
-            else:
-                last[at] = text[at]
-        for i in range(at + 1, until):
-            last[i] = text[i]
-
     def ids(self, pieces: list[str]) -> list[int]:
         out = []
         for p in pieces:
@@ -127,29 +119,30 @@ class Pieces:
 
     def bytes_of(self, ids: list[int]) -> bytes:
         """What ids stand for, spaces as such: bytes as they are, control ids as nothing."""
-        out = bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                out.append(self.of_byte[i])
-            elif i not in self.hidden:
-                out += self.text[i].replace(SPACE, " ").encode()
-        return bytes(out)
+        return b"".join([self.shown[i] for i in ids])
+
+    def _shown(self, i: int) -> bytes:
+        if i in self.of_byte:
+            return bytes([self.of_byte[i]])
+        return b"" if i in self.hidden else self.text[i].replace(SPACE, " ").encode()
 
     def word(self, word: str) -> tuple[bytes, bytes]:
         """Ids of one word with the spaces before it, as little-endian numbers, and what they decode to."""
         known = self.words.get(word)
         if known is None:
-            if len(self.words) > REMEMBERED:
-                self.words = {}
-            found = self.ids(self.split(word))
-            known = np.array(found, "<u4").tobytes(), self.bytes_of(found)
+            known = self.older.get(word)
+            if known is None:
+                found = self.ids(self.split(word))
+                known = b"".join([self.code[i] for i in found]), self.bytes_of(found)
             if len(word) <= 64:
+                if len(self.words) >= REMEMBERED // 2:
+                    self.older, self.words = self.words, {}
                 self.words[word] = known
         return known
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids with begin and end, as little-endian numbers, and the bytes that decode() gives for them."""
-        ids, decoded = [np.array([self.begin], "<u4").tobytes()], []
+        ids, decoded = [self.code[self.begin]], []
         if text:
             text = SPACE + text.replace(" ", SPACE)
             for word in WORD.findall(text) if self.apart else [text]:
@@ -157,7 +150,7 @@ class Pieces:
                     found = self.words.get(word) or self.word(word)
                     ids.append(found[0])
                     decoded.append(found[1])
-        ids.append(np.array([self.end], "<u4").tobytes())
+        ids.append(self.code[self.end])
         whole = b"".join(decoded)
         return b"".join(ids), whole[1:] if whole.startswith(b" ") else whole
 
