@@ -168,3 +168,29 @@ def test_other_scalars(spark):
     assert scalar(spark, tx.normalise_label, [" a\nb ", None]) == ["a b", ""]
     assert scalar(spark, tx.escape_dot, ['f("x")']) == [r"f\(\"x\"\)"]
     assert scalar(spark, tx.base_name, ["x_1", "x_1_2", "x"]) == ["x", "x_1", "x"]
+
+
+def test_large_code_tables_stay_off_the_driver(spark, monkeypatch):
+    # texts whose codes come to 10 MB, beside a column of three
+    n = 120_000
+    at = F.col("id")
+    bag = F.concat(F.lit("text=t"), (at * 7919 % n).cast("string"), F.lit(";word=w"), (at % 3).cast("string"))
+    records = spark.range(n).select(
+        at.alias("row_id"),
+        F.lit("a").alias("TestArgs"),
+        F.when(at % 5 != 0, bag).alias("Covariates"),
+        F.lit("v").alias("TreatmentVar"),
+        F.when(at % 4 != 0, F.concat(F.lit("s"), at.cast("string"))).alias("TreatmentVal"),
+        F.lit("1").alias("Outcome"),
+    )
+    got = ds.training_dataset(records, ["row_id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # broadcast: the variable's type, and the codes of the three words
+    assert plan.count("strategy=broadcast") == 2
+    first = {}
+    for r in got.orderBy("row_id").collect():
+        i = r.row_id
+        word = {1: 0, 2: 1, 0: 2}[i % 3] if i % 5 else -1
+        text = first.setdefault(i, len(first)) if i % 5 else -1
+        value = i - i // 4 - 1 if i % 4 else -1
+        assert (r.cov_text, r.cov_word, r.TreatmentVal) == (text, word, value)

@@ -61,6 +61,23 @@ def test_salted_join(spark, how):
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
 
 
+def test_salted_join_spreads_rows_without_a_key(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, "a").alias("key"))
+        dim = spark.createDataFrame([("a", 1)], "key string, n int")
+        got = joins.salted_join(fact, dim, ["key"], "left", salts=2)
+        rows = got.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.id for r in rows}) == len(rows) == 4000 and sum(r.n is not None for r in rows) == 40
+    assert len({r.part for r in rows if r.key is None}) == 8
+
+
 def test_measured_while_written(spark):
     df = skewed(spark)
     settled = settle_measured(df, hot=F.count_if(F.col("key") == "hot"))

@@ -8,6 +8,7 @@ the data. Missing numbers are NULL inside the engine.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.bags import explode_entries, with_bag
 from ..functions.text import binarize_outcome, is_number, to_number
-from ..session import Settled, settle, settle_measured
-from .joins import attach
+from ..session import Settled, row_bytes, settle, settle_measured
+from .joins import LOOKUP_BYTES, attach
 from .ranks import exact_median, running_total
 
 MAX_COLUMNS = 5_000
+#: Copies of a lookup table too large to broadcast, so that a value that most records hold is not one task's work.
+LOOKUP_SALTS = 4
 
 
 def row_order(order: list[str]) -> Column:
@@ -205,17 +208,33 @@ def treatment_values(records: DataFrame, order: list[str]) -> DataFrame:
         facts = facts.join(treatment_medians(values, types), "variable", "left")
     else:
         facts = facts.withColumn("median", F.lit(None).cast("double"))
-    typed = attach(records.withColumn("variable", variable()), facts, ["variable"], "left")
+    limits = {"broadcast_bytes": LOOKUP_BYTES, "salts": LOOKUP_SALTS}
+    typed = attach(records.withColumn("variable", variable()), facts, ["variable"], "left", **limits)
     code = F.lit(fixed.MISSING_CODE)
     if types.counts["coded"]:
         codes = treatment_codes(values, types)
-        typed = attach(typed, codes, ["variable", "TreatmentVal"], "left")
+        typed = attach(typed, codes, ["variable", "TreatmentVal"], "left", **limits)
         code = F.coalesce("code", code)
     number = F.coalesce(to_number(F.col("TreatmentVal")), F.col("median"))
     value = F.when(numeric, number).otherwise(code.cast("double"))
     return typed.withColumn("value", value).drop("median", "code", "variable")
 
 
+def _code_bytes(summary: CovariateSummary) -> dict[str, int]:
+    """The categorical keys, those with the fewest codes first, each with the size of its codes and all before.
+
+    Lookups are broadcast as far as they fit ``LOOKUP_BYTES`` together, so a key
+    with many texts neither fills the driver nor moves the records for the others.
+    """
+    if not summary.codes or summary.codes.bytes <= LOOKUP_BYTES:
+        return dict.fromkeys(summary.categorical, 0)
+    table = summary.codes.table
+    sizes = table.groupBy("key").agg(F.sum(row_bytes(table)).alias("bytes")).limit(MAX_COLUMNS).collect()
+    size_of = dict.fromkeys(summary.categorical, 0) | {r["key"]: r["bytes"] for r in sizes}
+    keys = sorted(size_of, key=lambda key: (size_of[key], key))
+    return dict(zip(keys, accumulate(size_of[key] for key in keys)))
+
+
 def training_dataset(
     records: DataFrame, order: list[str], summary: CovariateSummary | None = None
 ) -> DataFrame:
@@ -227,13 +246,15 @@ def training_dataset(
     summary = summary or summarise_covariates(records, order)
     shaped = with_bag(treatment_values(records, order)).drop("Covariates")
     bag = F.col("bag")
-    code_of = {key: f"_code_{i}" for i, key in enumerate(summary.categorical)}
+    upto = _code_bytes(summary)
+    code_of = {key: f"_code_{i}" for i, key in enumerate(upto)}
     for key, code in code_of.items():
         lookup = summary.codes.table.where(F.col("key") == key).select(
             F.col("value").alias("_text"), F.col("code").alias(code)
         )
         shaped = shaped.withColumn("_text", bag[key])
-        shaped = attach(shaped, lookup, ["_text"], "left", size=summary.codes.bytes).drop("_text")
+        limits = {"broadcast_bytes": LOOKUP_BYTES, "salts": LOOKUP_SALTS}
+        shaped = attach(shaped, lookup, ["_text"], "left", size=upto[key], **limits).drop("_text")
     columns = {
         key: F.coalesce(to_number(bag[key]), F.lit(summary.medians[key]).cast("double"))
         for key in summary.numeric
