@@ -7,7 +7,7 @@ import public_tokenizers
 import sentencepiece
 
 from test_small import docs_of, shingle_components
-from tracewright.llm import jaccard, sentencepieces
+from tracewright.llm import jaccard, sentencepieces, text
 from tracewright.llm.queries import PIECE_MODEL
 
 
@@ -83,3 +83,21 @@ def test_words_met_again_are_remembered(monkeypatch):
         assert decoded.decode(errors="replace") == library.decode(expected)
     assert made["▁again"] == 1
     assert len(pieces.words) + len(pieces.older) <= 100
+
+
+def test_shingles_of_many_documents_at_once():
+    rng = np.random.default_rng(3)
+    for sizes in ([], [0], [2, 0, 1], [3, 4, 0, 5], rng.integers(0, 12, 200)):
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        hashed = rng.integers(0, 5, offsets[-1])
+        for width in (1, 4, 5):
+            for step in (1, 7, 1 << 15):
+                got = [s.tolist() for s in text.all_shingles(hashed, offsets, width, step)]
+                assert got == [text.shingles(hashed[a:b], width).tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def test_sizes_of_sets(spark):
+    texts = ["", " \t ", "a", "A b", "a b\x0bc d a B c D a b", "x " * 40, "é É é É e\u00a0f g h", " one  two\nthree four five "]
+    rows = [(i if i else None, i, t) for i, t in enumerate(texts)]
+    got = jaccard._sizes(spark.createDataFrame(rows, "doc_id bigint, id bigint, text string"), 4).collect()
+    assert {(r.doc_id, r.id): r.n_shingles for r in got} == dict(zip([(r[0], r[1]) for r in rows], [0, 0, 1, 1, 4, 1, 4, 2]))

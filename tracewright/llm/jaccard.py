@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import attach
 from ..session import drop_settled, settle
 from .components import components
-from .text import ascii_lower, batches, grouped, only, shingles, word_hashes, words
+from .text import all_shingles, batches, grouped, only, word_hashes
 
 #: Lists longer than this come late in the order of tokens.
 LONG_LIST = 64
@@ -55,8 +55,21 @@ def _marked(tokens: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
     values, offsets = word_hashes(pc.ascii_lower(batch["text"]))
-    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-        yield i, np.unique(shingles(values[a:b], width))
+    for i, s in enumerate(all_shingles(values, offsets, width)):
+        s = np.sort(s)
+        new = s[1:] != s[:-1]
+        yield i, s if new.all() else s[np.append(True, new)]
+
+
+def _sizes(rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, id, n_shingles) of every row of ``rows`` (doc_id, id, text)."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts, 500):
+            size = pa.array([len(s) for _, s in _sets(batch, width)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], size], ["doc_id", "id", "n_shingles"])
+
+    return rows.select("doc_id", "id", "text").mapInArrow(task, "doc_id bigint, id bigint, n_shingles bigint")
 
 
 def _entries(rows: DataFrame, width: int, percent: int, marks: bytes | None) -> DataFrame:
@@ -443,8 +456,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, longe
     """
     base = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("id", F.xxhash64(F.lit(1), "text"))
-    counted = base.select("doc_id", "id", words(ascii_lower(F.col("text"))).alias("w"))
-    members = settle(counted.select("doc_id", "id", _n_shingles(F.col("w"), width).alias("n_shingles")))
+    members = settle(_sizes(base, width))
     real = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     firsts = settle(members.where(real).groupBy("id").agg(F.min("doc_id").alias("first")))
     copies = members.where(real).join(firsts, "id").where("doc_id > first").select("doc_id", "id", F.lit(True).alias("copy")).distinct()
@@ -457,10 +469,3 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, longe
     return members.join(by_set, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
-
-
-def _n_shingles(w: Column, width: int) -> Column:
-    """Distinct shingles of the words ``w``."""
-    starts = F.slice(w, 1, F.greatest(F.size(w) - width + 1, F.least(F.size(w), F.lit(1))))
-    each = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)]))
-    return F.size(F.array_distinct(each)).cast("bigint")
