@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import format_score, parse_numeric
 from ..session import settle_measured
 from .dataset import covariate_columns, require_columns
+from .forests import counted, points_of
 from .joins import attach
 from .models import CONSTANT, LOGISTIC, covariate_means, feature_rows
 from .ranks import running_total
@@ -195,22 +196,27 @@ def ranking_lines(scores: DataFrame) -> DataFrame:
 
 
 def score_forest(dataset: DataFrame, forests: dict, reps: DataFrame | None = None) -> DataFrame:
-    """``avg_outcome_by_rep`` for random forests, one per named variable."""
+    """``avg_outcome_by_rep`` for random forests, one per named variable.
+
+    Rows whose covariates lie between the same thresholds of a forest are predicted the same, so they are counted and
+    predicted once.
+    """
     from pyspark.ml.functions import array_to_vector
 
-    reps = representative_values(dataset) if reps is None else reps
+    known = settle_measured(representative_values(dataset) if reps is None else reps)
     rows = feature_rows(dataset)  # each forest reads its variable's rows once
-    grid = attach(rows, reps, ["treatment_var"]).withColumn(
-        "rep", F.explode("reps")
-    )
-    covariates = [F.col(f"x{i}") for i in range(len(covariate_columns(dataset)))]
-    grid = grid.withColumn("features", array_to_vector(F.array(*covariates, F.col("rep"))))
-    parts = [
-        model.transform(grid.where(F.col("treatment_var") == var))
-        .groupBy("treatment_var", "rep")
-        .agg(F.avg(F.when(F.col("prediction") == 1, 1.0).otherwise(0.0)).alias("avg_outcome"))
-        for var, model in forests.items()
-    ]
+    width = len(covariate_columns(dataset))
+    parts = []
+    for var, model in forests.items():
+        points = points_of(model)
+        own = rows.where(F.col("treatment_var") == var).select("treatment_var", *[f"x{i}" for i in range(width)])
+        cells, covariates = counted(own, points and points[:width])
+        grid = attach(cells, known.table, ["treatment_var"], size=known.bytes).withColumn("rep", F.explode("reps"))
+        grid = grid.withColumn("features", array_to_vector(F.array(*covariates, F.col("rep"))))
+        ones = F.sum(F.when(F.col("prediction") == 1, F.col("n")).otherwise(0))
+        parts.append(
+            model.transform(grid).groupBy("treatment_var", "rep").agg((ones / F.sum("n")).alias("avg_outcome"))
+        )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

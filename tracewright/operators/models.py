@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import Settled, drop_settled, scratch_path, settle, settle_measured
+from ..session import Settled, drop_settled, settle, settle_measured
 from .dataset import covariate_columns
+from .forests import as_model, bagged_cells, facts_of, grow
 from .graphs import union_all
 from .joins import attach
 
@@ -367,25 +368,22 @@ def _sums_in_numpy(joined: DataFrame, d: int) -> DataFrame:
 
 
 def fit_forest(dataset: DataFrame, variables: list[str], **params) -> dict:
-    """Random forest of each named variable, trained by Spark's ML library.
+    """Random forest of each named variable, a model of Spark's ML library; ``params`` are those of its ``RandomForestClassifier``.
 
-    One training job series per variable, so name the few that matter. The dataset is read once per variable, so pass a settled table.
+    The trees grow by the library's rules, but from counts of rows that no split can tell apart (see ``forests``), so the
+    dataset is read once per variable, not once per level. One job series per variable, so name the few that matter;
+    pass a settled table.
     """
-    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.classification import RandomForestClassifier
 
     rows = feature_rows(dataset)
-    rows = rows.select("treatment_var", "y", array_to_vector(feature_array(rows)).alias("features"))
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", **{"seed": 1, **params})
     models = {}
-    for variable in variables:
-        path = scratch_path(dataset.sparkSession)
-        # training reads its rows several times: only this variable's, which are gone before the next one's are written
-        own = settle(rows.where(F.col("treatment_var") == variable).drop("treatment_var"))
-        forest.fit(own).save(path)
+    for variable, facts in facts_of(rows, variables, forest).items():
+        # every level reads the cells: only this variable's, which are gone before the next one's are written
+        own = settle(bagged_cells(rows.where(F.col("treatment_var") == variable), facts, forest))
+        models[variable] = as_model(grow(own, facts, forest), facts, forest, dataset.sparkSession)
         drop_settled(own)
-        # a reloaded model no longer refers to its training run
-        models[variable] = RandomForestClassificationModel.load(path)
     return models
 
 
