@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from tracewright.operators import counterfactual as cf
 from tracewright.operators import forests
 from tracewright.operators import models as md
+from tracewright.plans import inputs
+from tracewright.session import settle
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "cov_a double, cov_b double, cov_c double, TreatmentVar string, TreatmentVal double, Outcome int"
 
 
@@ -137,12 +141,16 @@ def test_rows_the_library_refuses(spark):
     for spoilt, said in (
         (data.withColumn("Outcome", F.lit(-1)), "outcomes of 'x'"),
         (data.withColumn("Outcome", F.lit(None).cast("int")), "outcomes of 'x'"),
-        (data.withColumn("TreatmentVal", F.lit(float("inf"))), "features of 'x'"),
-        (data.withColumn("TreatmentVal", F.lit(float("nan"))), "features of 'x'"),
+        (data.withColumn("Outcome", F.lit(0.5)), "outcomes of 'x'"),
+        (data.withColumn("Outcome", F.lit(float("nan"))), "outcomes of 'x'"),
         (data.where("TreatmentVar = 'z'"), "no rows of 'x'"),
     ):
         with pytest.raises(ValueError, match=said):
             md.fit_forest(spoilt, ["x"], numTrees=2)
+    for value in ("inf", "-inf", "nan"):
+        one = F.when(F.col("cov_b") > 30, F.lit(float(value))).otherwise(F.col("TreatmentVal"))
+        with pytest.raises(PySparkException, match="must not be NaN or infinite"):
+            md.fit_forest(data.withColumn("TreatmentVal", one), ["x"], numTrees=2)
 
 
 def test_draws_of_a_cell_are_those_of_its_rows(spark):
@@ -158,3 +166,13 @@ def test_draws_of_a_cell_are_those_of_its_rows(spark):
             drawn = cells[key]
             assert drawn.mean() == pytest.approx(n * mean, rel=0.01)
             assert drawn.var() == pytest.approx(n * spread, rel=0.25)
+
+
+def test_treatments_of_written_lines(spark):
+    asked = inputs.numeric_dataset(spark, SF)
+    got = inputs.treatments_of(settle(inputs.numeric_lines(spark, SF, spread_out=True)))
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in asked.schema]
+    assert asked.count() == got.count() and not asked.exceptAll(got).count()
+    # who asks for one variable reads the lines once
+    plan = got.where("TreatmentVar = 'tax'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1

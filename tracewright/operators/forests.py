@@ -9,7 +9,7 @@ or binomial as those of single rows are, so a cell is drawn once and nothing is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -79,34 +79,32 @@ def split_points(values: list[float], counts: list[int], bins: int) -> list[floa
     return sorted(set(found))
 
 
-def facts_of(rows: DataFrame, variables: list[str], forest) -> dict[str, Facts]:
-    """Facts of each named variable's ``feature_rows``.
+def facts_of(labels: DataFrame, variables: list[str], forest, sampled: Callable[[float], DataFrame]) -> dict[str, Facts]:
+    """Facts of each named variable, from ``(treatment_var, y)`` of all rows; labels the library refuses are an error.
 
-    Labels the library refuses, and features that are not finite, are an error. As in the library, the thresholds of a
-    feature are those of a sample of ``max(maxBins ** 2, 10000)`` rows; which of them split a node, all rows say.
+    As in the library, the thresholds of a feature are those of a sample of ``max(maxBins ** 2, 10000)`` rows; which of
+    them split a node, all rows say. ``sampled`` gives ``feature_rows`` of a share of the rows.
     """
-    d, max_bins = len(rows.columns) - 2, forest.getMaxBins()
-    y, x = F.col("y"), [F.col(f"x{i}") for i in range(d)]
-    rows = rows.where(F.col("treatment_var").isin(*variables))
+    max_bins = forest.getMaxBins()
     wanted = max(max_bins**2, SAMPLED)
+    named = F.col("treatment_var").isin(*variables)
     facts = settle_measured(
-        rows.groupBy("treatment_var").agg(
+        labels.where(named).groupBy("treatment_var").agg(
             F.count(F.lit(1)).alias("n"),
             F.least(F.lit(1.0), wanted / F.count(F.lit(1))).alias("share"),
+            F.count("y").alias("labelled"),
+            F.min("y").alias("low"),
             F.max("y").alias("top"),
-            F.count_if(y.isNull() | ~y.between(0, MOST_CLASSES - 1) | (y != F.floor(y))).alias("unlabelled"),
-            # NaN is above all numbers
-            F.count_if(F.greatest(F.lit(0.0), *[F.abs(v) for v in x]) >= float("inf")).alias("unbounded"),
+            F.max(F.abs(F.col("y") - F.rint("y"))).alias("rest"),
         )
     )
     known = {r.treatment_var: r for r in facts.table.collect()}
     for variable in variables:
         if variable not in known:
             raise ValueError(f"no rows of {variable!r} to train on")
-        if known[variable].unlabelled:
+        r = known[variable]
+        if r.labelled < r.n or not (0 <= r.low and r.top < MOST_CLASSES and r.rest == 0):
             raise ValueError(f"outcomes of {variable!r} are not all whole numbers from 0 to {MOST_CLASSES - 1}")
-        if known[variable].unbounded:
-            raise ValueError(f"features of {variable!r} are not all finite")
 
     def points(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("value")
@@ -114,8 +112,15 @@ def facts_of(rows: DataFrame, variables: list[str], forest) -> dict[str, Facts]:
         return pd.DataFrame({"treatment_var": part["treatment_var"].iloc[:1], "no": part["no"].iloc[:1], "points": [found]})
 
     shares = facts.table.select("treatment_var", "share", F.col("n").alias("rows"))
-    sample = attach(rows, shares, ["treatment_var"], size=facts.bytes).where(F.rand(forest.getSeed()) < F.col("share"))
-    values = sample.select("treatment_var", "rows", F.posexplode(F.array(*x)).alias("no", "value"))
+    most = max((r.share for r in known.values()), default=1.0)
+    sample = sampled(most)
+    d = len(sample.columns) - 2
+    drawn = attach(sample, shares, ["treatment_var"], size=facts.bytes)
+    drawn = drawn.where(F.rand(forest.getSeed() + 1) < F.col("share") / most)
+    x = F.array(*[F.col(f"x{i}") for i in range(d)])
+    values = drawn.select("treatment_var", "rows", F.posexplode(x).alias("no", "value"))
+    # values that are not finite are an error where all rows are read
+    values = values.where(F.abs("value") < float("inf"))
     counts = values.groupBy("treatment_var", "rows", "no", "value").agg(F.count(F.lit(1)).alias("n"))
     found = counts.groupBy("treatment_var", "no").applyInPandas(points, "treatment_var string, no int, points array<double>")
     result = {v: Facts(known[v].n, int(known[v].top) + 1, [[] for _ in range(d)]) for v in variables}
@@ -129,8 +134,7 @@ def _below(name: str, points: list[float], first: int = 0) -> str:
     if not points:
         return str(first)
     mid = len(points) // 2
-    point = "double('Infinity')" if points[mid] == float("inf") else f"{float(points[mid])!r}D"
-    return f"IF({name} <= {point}, {_below(name, points[:mid], first)}, {_below(name, points[mid + 1:], first + mid + 1)})"
+    return f"IF({name} <= double('{float(points[mid])!r}'), {_below(name, points[:mid], first)}, {_below(name, points[mid + 1:], first + mid + 1)})"
 
 
 def placed(rows: DataFrame, points: list[list[float]]) -> DataFrame:
@@ -152,11 +156,15 @@ def bagged_cells(rows: DataFrame, facts: Facts, forest) -> DataFrame:
     """``(y, features)`` of one variable's rows: the cells with their draws.
 
     The draws follow the seed and the cell's place among the sorted cells of its partition, so a task that runs again
-    draws alike.
+    draws alike. A feature that is not finite is an error, as in the library.
     """
     trees, rate, bootstrap = forest.getNumTrees(), forest.getSubsamplingRate(), forest.getBootstrap()
     seed, classes, points = forest.getSeed() % (1 << 64), facts.classes, facts.points
     names, together = [f"x{i}" for i in range(len(points))], few_enough(points)
+    # NaN is above all numbers
+    finite = F.greatest(F.lit(0.0), *[F.abs(n) for n in names]) < float("inf")
+    label = F.when(finite, F.col("y")).otherwise(F.raise_error(F.lit("features of a forest must not be NaN or infinite")))
+    rows = rows.withColumn("y", label)
     own = [(F.col("y") == c).cast("long") for c in range(classes)]
     if together:
         counted = placed(rows, points).groupBy(*names).agg(*[F.sum(c).alias(f"n{i}") for i, c in enumerate(own)])

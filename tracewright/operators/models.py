@@ -95,14 +95,21 @@ def fill_covariates(dataset: DataFrame, means: DataFrame | None = None) -> DataF
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in dataset.columns])
 
 
-def feature_rows(dataset: DataFrame) -> DataFrame:
+def feature_rows(dataset: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """``(treatment_var, y, x0, x1, ..)``: covariates, missing ones filled, then the treatment.
 
     Rows without treatment are left out.
     """
-    filled = fill_covariates(dataset)
-    names = [*covariate_columns(dataset), "TreatmentVal"]
-    return filled.where(
+    return _treated(fill_covariates(dataset, means), [*covariate_columns(dataset), "TreatmentVal"])
+
+
+def label_rows(dataset: DataFrame) -> DataFrame:
+    """``(treatment_var, y)`` of ``feature_rows``, for which no covariate need be filled."""
+    return _treated(dataset, [])
+
+
+def _treated(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.where(
         F.col("TreatmentVar").isNotNull() & F.col("TreatmentVal").isNotNull()
     ).select(
         F.col("TreatmentVar").alias("treatment_var"),
@@ -376,10 +383,16 @@ def fit_forest(dataset: DataFrame, variables: list[str], **params) -> dict:
     """
     from pyspark.ml.classification import RandomForestClassifier
 
-    rows = feature_rows(dataset)
+    means = settle_measured(covariate_means(dataset)).table
+    rows = feature_rows(dataset, means)
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", **{"seed": 1, **params})
+
+    def sampled(share: float) -> DataFrame:
+        # drawn from the dataset, since what is left out need not be filled
+        return feature_rows(dataset.where(F.rand(forest.getSeed()) < share), means)
+
     models = {}
-    for variable, facts in facts_of(rows, variables, forest).items():
+    for variable, facts in facts_of(label_rows(dataset), variables, forest, sampled).items():
         # every level reads the cells: only this variable's, which are gone before the next one's are written
         own = settle(bagged_cells(rows.where(F.col("treatment_var") == variable), facts, forest))
         models[variable] = as_model(grow(own, facts, forest), facts, forest, dataset.sparkSession)

@@ -25,6 +25,7 @@ PARENTS = [
     ("click", 1, "refund"),
 ]
 
+LINE_NUMBERS = ["quantity", "discount", "tax", "extendedprice"]
 LINEAR_FEATURES = ["cov_discount", "cov_extendedprice", "cov_quantity", "cov_tax", "TreatmentVal"]
 LINEAR_MODELS = [
     ("quantity", LOGISTIC, None, LINEAR_FEATURES, [8.0, -0.00002, 0.0, 5.0, 0.05], -1.0),
@@ -92,23 +93,32 @@ def log_deliveries(spark: SparkSession, sf_dir: str, deliveries: int = 3, source
     return placed.join(F.broadcast(totals), "source").select(cut, "source", "pos", "line")
 
 
-def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four treatments per order line, each with the other three as covariates."""
+def numeric_lines(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """Order lines with the four numbers that are treatments, and their order's outcome.
+
+    ``spread_out`` spreads lines over all cores before the join, for who writes them: the splits of a join cannot be
+    counted without running it.
+    """
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         (F.col("o_orderstatus") == "F").cast("int").alias("Outcome"),
     )
-    names = ["quantity", "discount", "tax", "extendedprice"]
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *[f"l_{n}" for n in names])
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *[f"l_{n}" for n in LINE_NUMBERS])
+    lines = (spread(lines) if spread_out else lines).join(orders, "l_orderkey")
+    return lines.withColumn("TestArgs", F.col("l_orderkey").cast("string")).drop("l_orderkey")
+
+
+def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four treatments per order line, each with the other three as covariates."""
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("var"), F.col(f"l_{n}").alias("val")) for n in names])
+        F.array(*[F.struct(F.lit(n).alias("var"), F.col(f"l_{n}").alias("val")) for n in LINE_NUMBERS])
     )
-    rows = lines.join(orders, "l_orderkey").select("*", pairs.alias("t"))
+    rows = numeric_lines(spark, sf_dir).select("*", pairs.alias("t"))
     return rows.select(
-        F.col("l_orderkey").cast("string").alias("TestArgs"),
+        "TestArgs",
         *[
             F.when(F.col("t.var") != n, F.col(f"l_{n}")).alias(f"{fixed.COVARIATE_PREFIX}{n}")
-            for n in sorted(names)
+            for n in sorted(LINE_NUMBERS)
         ],
         F.col("t.var").alias("TreatmentVar"),
         F.col("t.val").alias("TreatmentVal"),
@@ -116,6 +126,28 @@ def numeric_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def treatments_of(lines: DataFrame) -> DataFrame:
+    """The rows of ``numeric_dataset`` from settled ``numeric_lines``, with or without ``TestArgs``.
+
+    One treatment after the other, so that who asks for one reads each line once.
+    """
+    return union_all(
+        [
+            lines.select(
+                *[c for c in lines.columns if c == "TestArgs"],
+                *[
+                    (F.lit(None).cast("double") if n == var else F.col(f"l_{n}")).alias(f"{fixed.COVARIATE_PREFIX}{n}")
+                    for n in sorted(LINE_NUMBERS)
+                ],
+                F.lit(var).alias("TreatmentVar"),
+                F.col(f"l_{var}").alias("TreatmentVal"),
+                "Outcome",
+            )
+            for var in LINE_NUMBERS
+        ]
+    )
+
+
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five text records per order, ordered by ``row_id``, with untidy bags."""
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]

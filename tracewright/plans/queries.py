@@ -341,8 +341,8 @@ def models_missing(spark, sf_dir):
 
 
 def _fitted_on(spark, sf_dir):
-    # no model reads the tests' names, and they are a good part of what is written
-    return settle(inputs.spread(inputs.numeric_dataset(spark, sf_dir).drop("TestArgs")))
+    # lines are written, not four rows of each; no model reads the tests' names, a good part of a line
+    return inputs.treatments_of(settle(inputs.numeric_lines(spark, sf_dir, spread_out=True).drop("TestArgs")))
 
 
 @query
